@@ -51,7 +51,7 @@ def bound_batches(spark: SparkSession) -> None:
 def partitions_for(df: DataFrame) -> int:
     """Partitions for a shuffle of corpus-sized data: by the planner's size of the input, the session's number at least."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(own, min(size // PARTITION_BYTES, 200_000) if size < 1 << 50 else own)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing
+from . import lines, mixing, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mixing": op1_mixing, "op6_line_dedup": op6_line_dedup}
+    return {
+        "op1_mixing": op1_mixing,
+        "op6_line_dedup": op6_line_dedup,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 #: White space as a DuckDB expression.
@@ -74,5 +83,29 @@ FROM m GROUP BY doc_id
 """
 
 
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+), k AS (
+  SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM p
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM k) WHERE doc_id > least
+), g AS (
+  SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM r) GROUP BY doc_id
+), u AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d
+), m AS (
+  SELECT u.doc_id, word, u.j, x.j IS NOT NULL AS goes
+  FROM u LEFT JOIN (SELECT doc_id, unnest(js) AS j FROM g) x ON u.doc_id = x.doc_id AND u.j = x.j
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (goes) AS n, string_agg(word, ' ' ORDER BY j) FILTER (NOT goes) AS kept FROM m GROUP BY doc_id
+) a ON d.doc_id = a.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op1_mixing": OP1_SQL, "op6_line_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
