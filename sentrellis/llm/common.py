@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker's memory is bounded by a few long documents and not by 10,000."""
+def prepare(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, and bound their Arrow batches: documents can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if not getattr(context, "_sentrellis_sent", False):
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="sentrellis-code-"), f"{root.name}-{uuid.uuid4().hex}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(path))
+        context._sentrellis_sent = True
 
 
 def partitions_for(df: DataFrame) -> int:

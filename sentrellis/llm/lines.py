@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bound_batches, encoded, materialise
+from .common import WS, encoded, materialise, prepare
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -47,7 +47,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``row`` (the document's own columns), n_lines, n_dropped and kept (the text that is left)."""
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     lines = materialise(hashed_lines(docs, min_chars))
     shared = lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
     shared = materialise(shared.select("key", "keeper"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, encoded
+from .common import chunks, encoded, prepare
 from .latent import document_frequencies, idf_weights, project, text_terms, tf_idf
 
 WIDTH = 1 << 14
@@ -69,7 +69,7 @@ def randomised_svd(row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int,
 
 def fit(docs: DataFrame, labels: DataFrame, learns: Column, reference_rows: int = REFERENCE_ROWS) -> dict | None:
     """The broadcastable model: idf, right singular vectors, reference vectors and their labels."""
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     df, n = document_frequencies(docs, WIDTH)
     idf = idf_weights(df, n)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of"), "quality").filter(learns)

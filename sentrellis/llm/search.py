@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialise
+from .common import materialise, prepare
 
 QUERY_BLOCK = 16_384
 SAMPLE = 4096
@@ -105,6 +105,7 @@ class Searcher:
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` other vectors with the largest product with each query."""
     spark = vectors.sparkSession
+    prepare(spark)
     own = materialise(whole(vectors, scale))
     shape = own.agg(F.max(F.size("v")).alias("width"), F.count_if(is_query).alias("queries")).first()
     width, blocks = shape["width"] or 0, -(-shape["queries"] // QUERY_BLOCK)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, encoded, materialise, partitions_for
+from .common import chunks, encoded, materialise, partitions_for, prepare
 from .components import components, forest
 
 SHINGLE = 3
@@ -64,7 +64,7 @@ def text_fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bound_batches, chunks, encoded, materialise, mix, partitions_for, span_hashes
+from .common import Words, chunks, encoded, materialise, mix, partitions_for, prepare, span_hashes
 
 WINDOW = 13
 GRAM = 3
@@ -194,7 +194,7 @@ def _repeats(payloads: list[bytes], window: int) -> Iterator[tuple[np.ndarray, .
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, rid (hash of the text), start and end: ranges of words that repeat a document with a smaller id."""
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     buckets = partitions_for(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
