@@ -76,7 +76,7 @@ def idf_weights(df: np.ndarray, n: int) -> np.ndarray:
 
 def tf_idf(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
     """Weights of the entries, so that each row has length 1."""
-    w = (1 + np.log(count)).astype(np.float32) * idf[term]
+    w = (1 + np.log(count.astype(np.float32))) * idf[term]
     norm = np.sqrt(np.bincount(row, w * w, minlength=rows))
     return w / np.maximum(norm, 1e-12)[row].astype(np.float32)
 
@@ -86,6 +86,9 @@ def project(row: np.ndarray, term: np.ndarray, w: np.ndarray, v: np.ndarray, row
     out = np.zeros((rows, v.shape[1]), np.float32)
     if len(row):
         first = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[first]] = np.add.reduceat(v[term] * w[:, None], first, axis=0)
+        for a in range(0, len(first), 1024):  # of so many rows at a time
+            b = first[a + 1024] if a + 1024 < len(first) else len(row)
+            part = slice(first[a], b)
+            out[row[first[a : a + 1024]]] = np.add.reduceat(v[term[part]] * w[part, None], first[a : a + 1024] - first[a], axis=0)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.maximum(norm, 1e-12)

@@ -25,7 +25,7 @@ from .latent import document_frequencies, idf_weights, project, text_terms, tf_i
 
 WIDTH = 1 << 14
 DIMENSIONS = 48
-REFERENCE_ROWS = 8192
+REFERENCE_ROWS = 4096
 NEIGHBOURS = 24
 THRESHOLD = 0.3
 FOLDS = 5
@@ -53,13 +53,13 @@ def _entries(docs: DataFrame) -> DataFrame:
 def randomised_svd(row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, width: int, k: int) -> np.ndarray:
     """The k right singular vectors (width x k) of sparse rows, by subspace iteration on blocks of rows."""
     basis = np.random.default_rng(7).standard_normal((width, k + 12)).astype(np.float32)
-    cut = np.searchsorted(row, np.arange(0, rows + 256, 256))
+    cut = np.searchsorted(row, np.arange(0, rows + 128, 128))
     for _ in range(3):
         basis, _ = np.linalg.qr(basis)
         new = np.zeros_like(basis)
         for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-            block = np.zeros((256, width), np.float32)
-            block[row[a:b] - 256 * i, term[a:b]] = w[a:b]
+            block = np.zeros((128, width), np.float32)
+            block[row[a:b] - 128 * i, term[a:b]] = w[a:b]
             new += block.T @ (block @ basis)
         basis = new
     q, r = np.linalg.qr(basis)
@@ -81,13 +81,15 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, reference_rows: int
     rows, terms, counts = [], [], []
     for i, packed in enumerate(got["packed"].to_pylist()):
         m = len(packed) // 6
-        rows.append(np.full(m, i))
-        terms.append(np.frombuffer(packed, "<u2", m).astype(np.int64))
+        rows.append(np.full(m, i, np.int32))
+        terms.append(np.frombuffer(packed, "<u2", m))
         counts.append(np.frombuffer(packed, "<u4", m, 2 * m))
-    row, term, count = (np.concatenate(x) for x in (rows, terms, counts))
+    row, term, count = np.concatenate(rows), np.concatenate(terms).astype(np.int32), np.concatenate(counts)
+    del rows, terms, counts
     w = tf_idf(row, term, count, idf, got.num_rows)
     v = randomised_svd(row, term, w, got.num_rows, WIDTH, DIMENSIONS)
-    return {"idf": idf, "v": v, "vectors": project(row, term, w, v, got.num_rows), "labels": got["label"].to_numpy().astype(np.float32)}
+    labels = got["label"].to_numpy().astype(np.float64)
+    return {"idf": idf, "v": v, "vectors": project(row, term, w, v, got.num_rows), "labels": labels}
 
 
 def votes(texts: list[bytes], model: dict, neighbours: int = NEIGHBOURS) -> np.ndarray:
