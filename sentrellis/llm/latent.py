@@ -22,8 +22,8 @@ def _term(values: np.ndarray, kind: int, width: int) -> np.ndarray:
 
 
 def text_terms(texts: list[bytes], width: int, shapes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, term and count, sorted by row: words in lower case; with ``shapes`` also how words look, and the text's
-    length, word length, share of distinct words and of lines, each in coarse steps."""
+    """row, term and count, sorted by row: words in lower case; with ``shapes`` also how words look, if they repeat
+    the word before, and the text's length, word length, share of distinct words and of lines, each in coarse steps."""
     words = Words([t.lower() for t in texts])
     rows, terms = [words.text], [_term(words.hashes, 0, width)]
     if shapes:
@@ -38,7 +38,13 @@ def text_terms(texts: list[bytes], width: int, shapes: bool = True) -> tuple[np.
         look = look * np.uint64(256) + np.where(plain, 0, last).astype(np.uint64)
         rows.append(words.text)
         terms.append(_term(look, 1, width))
+        again = np.flatnonzero((words.hashes[1:] == words.hashes[:-1]) & (words.text[1:] == words.text[:-1]))
         count = np.maximum(words.counts, 1)
+        echo = np.bincount(words.text[again], minlength=n) / count
+        for step in (0, 1, 2, 3):  # a word that repeats the one before it, told apart by how often that happens
+            some = again[echo[words.text[again]] * 8 >= step]
+            rows.append(words.text[some])
+            terms.append(_term(np.full(len(some), step), 6, width))
         own = np.unique(words.text * (1 << 40) + (words.hashes >> np.uint64(24)).astype(np.int64))
         distinct = np.bincount(own >> 40, minlength=n) / count
         length = np.bincount(words.text, size, minlength=n) / count

@@ -3,7 +3,8 @@
 Inverse document frequencies come from all documents. A sample of the labelled rows, ``REFERENCE_ROWS`` at most
 (the smallest hashes of their ids), gives the latent space by randomised SVD and is the reference set: its vectors
 have a fixed size bound and are broadcast. Every document's cosines with all of them are computed exactly, in
-blocks; its score is the mean label of the ``NEIGHBOURS`` nearest, weighted by similarity.
+blocks; its score is the mean label of the ``NEIGHBOURS`` nearest, weighted by similarity and by how rare a label is
+among the references, so that 0.5 says that both labels are as common here as there.
 
 Only the text enters a score. Defined cases: a null or empty text is scored as a text without words; labels that
 are null or belong to no document are not learned from; several labels of one document count as their mean;
@@ -89,7 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, reference_rows: int
     w = tf_idf(row, term, count, idf, got.num_rows)
     v = randomised_svd(row, term, w, got.num_rows, WIDTH, DIMENSIONS)
     labels = got["label"].to_numpy().astype(np.float64)
-    return {"idf": idf, "v": v, "vectors": project(row, term, w, v, got.num_rows), "labels": labels}
+    high = min(max(labels.mean(), 0.05), 0.95)
+    return {"idf": idf, "v": v, "vectors": project(row, term, w, v, got.num_rows), "labels": labels, "rarity": labels / high + (1 - labels) / (1 - high)}
 
 
 def votes(texts: list[bytes], model: dict, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -103,6 +105,7 @@ def votes(texts: list[bytes], model: dict, neighbours: int = NEIGHBOURS) -> np.n
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
         near.sort(axis=1)
         weight = np.maximum(np.take_along_axis(cos, near, axis=1), 1e-6).astype(np.float64)
+        weight *= model["rarity"][near]
         out[a : a + 256] = (weight * labels[near]).sum(axis=1) / weight.sum(axis=1)
     return np.clip(out, 0, 1)
 
