@@ -29,10 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder, and a cluster one below its warehouse, which is shared.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="sentrellis-")
+        local = spark.sparkContext.master.startswith("local")
+        path = tempfile.mkdtemp(prefix="sentrellis-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
