@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, lines, mixing, quality, search, secrets, simhash, substrings, tokens
+from . import decontam, language, lines, mixing, quality, search, secrets, secrets_sql, simhash, substrings, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    found = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [found(k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
     every = F.array_sort(F.concat("base", "added"))
     return out.select("row.doc_id", *counts, F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(every).alias("spans"))
 
@@ -169,4 +170,4 @@ FROM d LEFT JOIN (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op6_line_dedup": OP6_SQL, "op9_topk": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_secrets": secrets_sql.query(), "op6_line_dedup": OP6_SQL, "op9_topk": OP9_SQL, "op10_substring_dedup": OP10_SQL}

@@ -2,7 +2,7 @@
 
 import re
 
-from sentrellis.llm import secrets
+from sentrellis.llm import queries, secrets
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,3 +44,11 @@ def test_models_tell_random_from_ordinary(spark):
     ordinary = ["get_user_name_from_request", "internationalization-support", "ResponseHandlerFactoryBuilder", "thhaerblethionatingereds", "MAX_CONNECTION_RETRY_COUNT"]
     docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(random + ordinary)], "doc_id long, text string")
     assert [added for _, _, added in run(docs)] == [[t] for t in random] + [[]] * len(ordinary)
+
+
+def test_counts_of_the_query(spark):
+    got = queries.op4_secrets(spark, SF).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in got:
+        kinds = [k for _, k, _ in plain(texts[r["doc_id"]])]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [kinds.count(k) for k in range(3)]
