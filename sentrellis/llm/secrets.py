@@ -97,7 +97,7 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
 def find_secrets(docs: DataFrame, model: list[float] | None = None, ratio: float = RATIO) -> DataFrame:
     """``row`` (the document's own columns), base and added: arrays of (start, kind, end, match) in order."""
     model = train(labelled_samples(docs.sparkSession)) if model is None else model
-    table = F.lit(model)
+    table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folds to one literal
     text = F.coalesce(F.col("row.text"), F.lit(""))
     assign = _spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_VALUE)
     base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
