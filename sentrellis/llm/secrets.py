@@ -48,7 +48,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     base = spark.range(n, numPartitions=1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
     b64 = F.base64(F.unhex("h"))
     random = base.select(F.explode(F.array(b64, F.translate(b64, "+/=", "-_"), F.col("h"), F.upper(F.translate(b64, "+/=", "XYZ")))).alias("text"), F.lit(1).alias("label"))
-    words = F.array(*map(F.lit, PARTS))
+    words = F.split(F.lit(" ".join(PARTS)), " ")  # folds to one literal
     pick = lambda k: F.element_at(words, (F.conv(F.substring("h", 1 + 6 * k, 6), 16, 10).cast("int") % len(PARTS)) + 1)
     w = [pick(k) for k in range(5)]
     camel = F.concat(w[0], *(F.initcap(x) for x in w[1:4]))
