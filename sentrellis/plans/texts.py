@@ -212,11 +212,11 @@ def txt33_34_36_markers(spark: SparkSession, d: str) -> DataFrame:
     return part(spark, d).select("p_partkey", X.corrected_response(text).alias("corrected"), F.replace(X.image_tag_first(tagged), F.concat("p_name", F.lit("\n")), F.col("p_name")).alias("tagged"), X.user_assistant(F.col("p_name"), F.when(even, "").otherwise(F.col("p_brand"))).alias("prompt"))
 
 
-@query("txt38_40_names", """SELECT p_partkey, 'llava_' || p_size || 'b' AS shown, p_size || 'b' AS size, 'v1.5' AS version, p_name AS stripped FROM part""")
+@query("txt38_40_names", """SELECT p_partkey, 'vlm_' || p_size || 'b' AS shown, p_size || 'b' AS size, 'v1.5' AS version, p_name AS stripped FROM part""")
 def txt38_40_names(spark: SparkSession, d: str) -> DataFrame:
     """TXT38-40: names of models from paths, their size and version, stripped output."""
-    name = F.concat(F.lit("llava_"), F.col("p_size").cast("string"), F.lit("b"))
-    return part(spark, d).select("p_partkey", X.display_name(F.concat(F.lit("/models/"), name, F.lit("/"))).alias("shown"), X.model_size(name).alias("size"), X.model_version(F.concat(F.lit("llava-v1.5-"), name), ["v1.6", "v1.5"]).alias("version"), X.strip_output(F.concat(F.lit(" "), "p_name", F.lit("\n\n"))).alias("stripped"))
+    name = F.concat(F.lit("vlm_"), F.col("p_size").cast("string"), F.lit("b"))
+    return part(spark, d).select("p_partkey", X.display_name(F.concat(F.lit("/models/"), name, F.lit("/"))).alias("shown"), X.model_size(name).alias("size"), X.model_version(F.concat(F.lit("vlm-v1.5-"), name), ["v1.6", "v1.5"]).alias("version"), X.strip_output(F.concat(F.lit(" "), "p_name", F.lit("\n\n"))).alias("stripped"))
 
 
 CHAT = "SELECT conv_id, list({'role': role, 'message': text} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id"
