@@ -1,16 +1,17 @@
 """Scores of a hierarchical Pitman-Yor language model, its seating sampled by Gibbs.
 
-The restaurants: one for each context, all with one parent over the same dishes, whose base is uniform. A context is
-the word before (the text's end before the first word) if it is one of the ``CONTEXTS`` most frequent words, else
-one of 32 classes by its last byte. Dishes are the ``DISHES`` most frequent words and one that stands for all
-others. That dish is refined by a restaurant over all remaining words, whose seating depends on counts alone; it
-grows with the corpus and stays distributed. So hot words are handled in tables of a fixed size bound, which are
-pre-aggregated by each task, brought to the driver for sampling and broadcast, and the join with the counts of all
-other words has no hot key: each of them is less frequent than ``DISHES`` others.
-
-Each sweep reseats the customers of every context given the parent's current predictive probabilities, then the
-parent's customers (one per table below) given the base. Predictive probabilities are averaged over the sweeps
-after the first few.
+The restaurants: one for each context, which is the word before (the text's end before the first word), all with one
+parent over all words, whose base is uniform. Every context and every word has its own counts and its own seating:
+pairs (context, word), contexts and words are distributed tables that grow with the corpus. Each sweep reseats the
+customers of every pair given its context's tables and the parent's predictive probability of its word, then the
+parent's customers (one per table below) given the base. A pair that occurs once has one table whatever is drawn,
+so only the others are drawn. The parent's probabilities depend on a word's customers alone: one row for each
+number of customers is brought to the driver. Predictive probabilities are averaged over the sweeps after the first
+few. Every draw is a hash of the sweep, the pair and its step, so no order of rows matters.
+
+Hot contexts and words: pairs are counted by each task before they are shuffled and summed by (context, word);
+tables per context and per word are sums with partial sums; joins have both sides shuffled, so that adaptive
+execution can split a hot key.
 
 Defined cases: a null text is empty and has one token, its end; null ids are trained on (their fold is no held-out
 one); repeated rows count as often as they occur and get equal scores; without training rows every probability is
@@ -26,15 +27,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, encoded, materialise, prepare
+from .common import Words, chunks, encoded, materialise, mix, prepare
 
+#: The size of ``sample``, the same model in memory, which tests hold; the distributed model has no such bound.
 CONTEXTS = 512
 DISHES = 8192
 CLASSES = 32
 SWEEPS, BURN_IN = 6, 3
 STRENGTH = 1.0
 FOLDS, FOLD = 7, 2
-#: Distinct counts of infrequent words up to which their table, 16 bytes a row, is broadcast.
+#: Draws of the parent for each number of customers in each round; three rounds of each of three sweeps are averaged.
+CHAINS = 8
+#: Tokens that a task counts at a time, and rows of a batch that it gives back.
+HELD_TOKENS, OUT_ROWS = 4_000_000, 100_000
+#: Distinct numbers of customers up to which their table, 16 bytes a row, is broadcast.
 BROADCAST_COUNTS = 1_000_000
 #: The hash of the token that ends a text; no word of up to 8 bytes is likely to have it, none is checked against it.
 END = np.uint64(0x5E17A1B0C3D2E4F7)
@@ -45,88 +51,58 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Tokens:
-    """Tokens of several texts, one end after each: hash, text and the context class by the last byte."""
+    """Tokens of several texts, one end after each: hash, text and context, the token before."""
 
     def __init__(self, texts: list[bytes]):
         words = Words([t.lower() for t in texts])
         n = len(words.starts) + len(texts)
         own = np.arange(len(words.starts)) + words.text
         ends = np.cumsum(words.counts) + np.arange(len(texts))
-        self.hash, self.text, self.kind = np.empty(n, np.uint64), np.empty(n, np.int64), np.zeros(n, np.int64)
+        self.hash, self.text = np.empty(n, np.uint64), np.empty(n, np.int64)
         self.hash[own], self.hash[ends] = words.hashes, END
         self.text[own], self.text[ends] = words.text, np.arange(len(texts))
-        self.kind[own] = words.buffer[words.ends - 1] & (CLASSES - 1)
-
-    def dishes(self, top: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Rank of each token among the frequent words, DISHES for all others. ``top`` is sorted, ``rank`` goes with it."""
-        if not len(top):
-            return np.full(len(self.hash), DISHES)
-        at = np.minimum(np.searchsorted(top, self.hash), len(top) - 1)
-        return np.where(top[at] == self.hash, rank[at], DISHES)
-
-    def contexts(self, dishes: np.ndarray) -> np.ndarray:
-        own = np.where(dishes < CONTEXTS, dishes, CONTEXTS + self.kind)
-        end = own[-1:]  # every text is followed by its end, the last one too
-        return np.concatenate((end, own[:-1]))
+        self.context = np.concatenate((self.hash[-1:], self.hash[:-1]))  # every text is followed by its end
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in encoded(batch["text"])]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n, its tokens in ``docs``, the end included; summed by each task before they are shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def rows() -> pa.RecordBatch:
-            word, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+def _key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
-        for batch in batches:
-            texts = _texts(batch)
-            for a, b in chunks([len(t) for t in texts]):
-                held.append(Tokens(texts[a:b]).hash)
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield rows()
-                    held, size = [], 0
-        if held:
-            yield rows()
 
-    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def pair_counts(docs: DataFrame, top: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """context * (DISHES + 1) + dish, and how often; at most (CONTEXTS + CLASSES) * (DISHES + 1) of them."""
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """context, word (hashes) and n: all pairs in ``docs``; summed by each task before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held, size = [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, m = np.unique(np.concatenate(held), return_counts=True)
-            both, at = np.unique(np.concatenate((key, new)), return_inverse=True)
-            return both, np.bincount(at, np.concatenate((n, m)), minlength=len(both)).astype(np.int64)
+        def rows() -> Iterator[pa.RecordBatch]:
+            context, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, n = np.unique(_key(context, word), return_index=True, return_counts=True)
+            out = pa.RecordBatch.from_arrays([_signed(context[at]), _signed(word[at]), pa.array(n)], ["context", "word", "n"])
+            for i in range(0, len(at), OUT_ROWS):
+                yield out.slice(i, OUT_ROWS)
 
         for batch in batches:
             texts = _texts(batch)
             for a, b in chunks([len(t) for t in texts]):
                 tokens = Tokens(texts[a:b])
-                dishes = tokens.dishes(top, rank)
-                held.append(tokens.contexts(dishes) * (DISHES + 1) + dishes)
-                size += len(dishes)
-                if size > 2_000_000:
-                    key, n = merged()
+                held.append((tokens.context, tokens.hash))
+                size += len(tokens.hash)
+                if size > HELD_TOKENS:
+                    yield from rows()
                     held, size = [], 0
         if held:
-            key, n = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(n)], ["key", "n"])
+            yield from rows()
 
-    got = docs.select("text").mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    order = np.argsort(got["key"].to_numpy())
-    return got["key"].to_numpy()[order].astype(np.int64), got["n"].to_numpy()[order]
+    counted = docs.select("text").mapInArrow(count, "context long, word long, n long")
+    return counted.groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
 def discount(counts: np.ndarray, many: np.ndarray | None = None) -> float:
@@ -136,7 +112,39 @@ def discount(counts: np.ndarray, many: np.ndarray | None = None) -> float:
     return float(np.clip(one / (one + 2 * two) if one + two else 0.5, 0.1, 0.95))
 
 
-def seat(customers: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+class Hashed:
+    """Draws for rows that have keys: the same for a key and a step, in whatever order the rows come."""
+
+    def __init__(self, key: np.ndarray, sweep: int):
+        self.key, self.step = mix(key + np.uint64((sweep + 1) * 0xD6E8FEB86659FD93 % (1 << 64))), 0
+
+    def random(self, some: np.ndarray) -> np.ndarray:
+        self.step += 1
+        return (mix(self.key[some] + np.uint64(self.step * 0xA0761D6478BD642F % (1 << 64))) >> np.uint64(11)) * 2.0**-53
+
+    def binomial(self, some: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """By inversion, or from a normal draw where the variance is large."""
+        u, v = self.random(some), self.random(some)
+        spread = np.sqrt(n * p * (1 - p))
+        normal = np.sqrt(-2 * np.log(np.maximum(u, 1e-300))) * np.cos(2 * np.pi * v)
+        out = np.clip(np.rint(n * p + spread * normal), 0, n)
+        few = np.flatnonzero(spread < 6)
+        n, p, u = n[few], np.minimum(p[few], 1 - 1e-12), u[few]
+        flip = p > 0.5
+        q = np.where(flip, 1 - p, p)
+        part = np.exp(n * np.log1p(-q))
+        total, k = part.copy(), np.zeros(len(few))
+        left = np.flatnonzero((u > total) & (k < n))
+        while len(left):
+            part[left] *= (n[left] - k[left]) / (k[left] + 1) * q[left] / (1 - q[left])
+            k[left] += 1
+            total[left] += part[left]
+            left = left[(u[left] > total[left]) & (k[left] < n[left]) & (k[left] < 1000)]
+        out[few] = np.where(flip, n - k, k)
+        return out
+
+
+def seat(customers: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator | Hashed) -> np.ndarray:
     """Tables after seating the customers of each dish in turn; ``new``: the weight of a new table for it.
 
     The first 24 customers are seated one by one, later ones in blocks that grow with the number seated.
@@ -144,19 +152,23 @@ def seat(customers: np.ndarray, new: np.ndarray, d: float, rng: np.random.Genera
     tables = np.minimum(customers, 1).astype(np.float64)
     seated = 1
     some = np.flatnonzero(customers > 1)
+    hashed = isinstance(rng, Hashed)
     while len(some):
         block = 1 if seated < 24 else seated // 8
         many = np.minimum(customers[some] - seated, block)
         weight = new[some]
         chance = weight / (weight + np.maximum(seated + (many - 1) / 2 - d * tables[some], 1e-9))
-        tables[some] += rng.random(len(some)) < chance if block == 1 else rng.binomial(many.astype(np.int64), chance)
+        if block == 1:
+            tables[some] += rng.random(some if hashed else len(some)) < chance
+        else:
+            tables[some] += rng.binomial(some, many, chance) if hashed else rng.binomial(many.astype(np.int64), chance)
         seated += block
         some = some[customers[some] > seated]
     return tables
 
 
 def sample(key: np.ndarray, n: np.ndarray, uniform: float) -> dict:
-    """Averaged predictive probabilities of the contexts: what the broadcast model holds of them."""
+    """Averaged predictive probabilities of contexts and dishes of a bounded number, in memory: a plain version."""
     rng = np.random.default_rng(3)
     rooms = CONTEXTS + CLASSES
     room, dish = key // (DISHES + 1), key % (DISHES + 1)
@@ -183,12 +195,12 @@ def sample(key: np.ndarray, n: np.ndarray, uniform: float) -> dict:
     return {"key": key, "kept": kept, "back": np.array(back), "above": np.array(above)}
 
 
-def refine(count: np.ndarray, words: np.ndarray, uniform: float) -> tuple[np.ndarray, float]:
+def refine(count: np.ndarray, words: np.ndarray, uniform: float, most_chains: int = 64) -> tuple[np.ndarray, float]:
     """Probability of a word by its count (those in ``count``, each of so many ``words``), and of an unseen one."""
     rng = np.random.default_rng(5)
     total = float((count * words).sum())
     d = discount(count, words)
-    chains, kept, unseen = max(1, min(64, 4_000_000 // max(len(count), 1))), np.zeros(len(count)), 0.0
+    chains, kept, unseen = max(1, min(most_chains, 4_000_000 // max(len(count), 1))), np.zeros(len(count)), 0.0
     tables = np.ones(len(count))
     for sweep in range(SWEEPS):
         weight = STRENGTH + d * float((tables * words).sum())
@@ -201,93 +213,133 @@ def refine(count: np.ndarray, words: np.ndarray, uniform: float) -> tuple[np.nda
     return kept, unseen
 
 
-def fit(train: DataFrame) -> tuple[DataFrame, dict]:
-    """Counts of all words, and the bounded model that is broadcast."""
-    counts = materialise(word_counts(train))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
-    best = counts.orderBy(F.col("n").desc(), "word").limit(DISHES).toArrow()
-    words, n = best["word"].to_numpy().view(np.uint64), best["n"].to_numpy()
-    order = np.argsort(words)
-    top, rank = words[order], order.astype(np.int64)
-    uniform = 1 / (sums["words"] + 1)
-    key, pairs = pair_counts(train, top, rank)
-    model = {"top": top, "rank": rank, "n": n, "tokens": sums["tokens"], "words": sums["words"]} | sample(key, pairs, 1 / (DISHES + 1))
-    frequent = F.broadcast(train.sparkSession.createDataFrame(pa.table({"word": words.view(np.int64)}))) if len(words) else None
-    others = counts.join(frequent, "word", "left_anti") if frequent is not None else counts
-    classes = others.groupBy("n").agg(F.count("*").alias("words")).toArrow()
-    by_count = np.argsort(classes["n"].to_numpy())
-    count, many = classes["n"].to_numpy()[by_count].astype(np.float64), classes["words"].to_numpy()[by_count].astype(np.float64)
-    chance, unseen = refine(count, many, uniform)
-    return counts, model | {"count": count, "chance": chance, "unseen": unseen}
-
-
-def _local(model: dict, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dish of each token, its log10 probability in its context, and its log10 base probability if it is frequent."""
-    dish = tokens.dishes(model["top"], model["rank"])
-    context = tokens.contexts(dish)
-    key = context * (DISHES + 1) + dish
-    p = np.zeros(len(key))
-    for back, above in zip(model["back"], model["above"], strict=True):
-        p += back[context] * above[dish]
-    p /= len(model["back"])
-    if len(model["key"]):
-        at = np.minimum(np.searchsorted(model["key"], key), len(model["key"]) - 1)
-        p += np.where(model["key"][at] == key, model["kept"][at], 0)
-    base = np.append(np.log10((model["n"] + 1) / (model["tokens"] + model["words"] + 1)), np.zeros(DISHES + 1 - len(model["n"])))
-    return dish, np.log10(p), base[dish]
+def _chances(words: DataFrame, uniform: float) -> tuple[DataFrame, float]:
+    """``words`` with chance, the parent's probability by a word's ``served`` customers, and that of an unseen word."""
+    classes = words.groupBy("served").agg(F.count("*").alias("words")).toArrow()
+    order = np.argsort(classes["served"].to_numpy())
+    count, many = (classes[k].to_numpy()[order].astype(np.float64) for k in ("served", "words"))
+    chance, unseen = refine(count, many, uniform, CHAINS)
+    by_count = words.sparkSession.createDataFrame(pa.table({"c": pa.array(count, pa.int64()), "chance": pa.array(chance, pa.float64())}))
+    if len(count) <= BROADCAST_COUNTS:
+        by_count = F.broadcast(by_count)
+    return words.join(by_count, F.col("served") == F.col("c")).drop("c"), unseen
+
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of OUT_ROWS rows or a little more: short ones cost as much as long ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= OUT_ROWS:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    prepare(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    counts, model = fit(own.filter(~held_out(F.col("doc_id"))))
-    sent = spark.sparkContext.broadcast(model)
-    kind = "doc_id long, rid long, word long, many int, rows int, n_tokens long, n_known long, base double, score double"
+
+def reseat(pairs: DataFrame, d: float, sweep: int) -> DataFrame:
+    """context, word, n, sum and t: the tables drawn in this sweep for rows that have tables and chance."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches):
+            col = lambda k: batch[k].to_numpy(zero_copy_only=False)
+            key = _key(col("context").view(np.uint64), col("word").view(np.uint64))
+            t = seat(col("n"), (STRENGTH + d * col("tables")) * col("chance"), d, Hashed(key, sweep)).astype(np.int64)
+            total = col("sum") + t if sweep >= BURN_IN else col("sum")
+            yield pa.RecordBatch.from_arrays([batch["context"], batch["word"], batch["n"], pa.array(total), pa.array(t)], ["context", "word", "n", "sum", "t"])
+
+    return pairs.mapInArrow(draw, "context long, word long, n long, sum long, t long")
+
+
+def fit(train: DataFrame) -> dict:
+    """Tables of all pairs (n, mean number of tables), contexts and words, and what holds for all of them.
+
+    ``back`` of a context and ``above`` of a word have an entry for each sweep that counts, ``unseen`` too.
+    """
+    pairs = materialise(pair_counts(train))
+    sides = lambda key, total: materialise(pairs.groupBy(key).agg(F.sum("n").alias(total), F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("tables")))
+    rooms, words = sides("context", "total"), sides("word", "known").withColumnRenamed("tables", "served")
+    sums = words.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
+    first = pairs.agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
+    d, uniform = discount(np.array([1, 2]), np.array([first["one"], first["two"]])), 1 / (sums["words"] + 1)
+    none = F.array().cast("array<double>")
+    rooms, unseen = rooms.withColumn("back", none), []
+    words, _ = _chances(words.withColumn("above", none), uniform)
+    drawn = pairs.filter("n > 1").withColumn("sum", F.lit(0).cast("long"))
+    for sweep in range(SWEEPS):
+        given = drawn.select("context", "word", "n", "sum").join(rooms.select("context", "tables"), "context").join(words.select("word", "chance"), "word")
+        drawn = materialise(reseat(given.select("context", "word", "n", "sum", "tables", "chance"), d, sweep))
+        more = lambda key: drawn.groupBy(key).agg(F.sum("t").alias("t"))  # noqa: B023, E731
+        tables = F.col("single") + F.coalesce("t", F.lit(0))
+        rooms = rooms.join(more("context"), "context", "left").withColumn("tables", tables).drop("t")
+        words = words.drop("chance").join(more("word"), "word", "left").withColumn("served", tables).drop("t")
+        words, none_seen = _chances(materialise(words), uniform)
+        if sweep >= BURN_IN:
+            back = (STRENGTH + d * F.col("tables")) / (STRENGTH + F.col("total"))
+            rooms = rooms.withColumn("back", F.concat("back", F.array(back)))
+            words = words.withColumn("above", F.concat("above", F.array("chance")))
+            unseen.append(none_seen)
+        rooms = materialise(rooms)
+    mean = F.col("sum") / F.lit(float(SWEEPS - BURN_IN))
+    once = pairs.filter("n = 1").select("context", "word", "n", F.lit(1.0).alias("mean"))
+    seated = once.union(drawn.select("context", "word", "n", mean.alias("mean")))
+    return {"pairs": seated, "rooms": rooms.select("context", "total", "back"), "words": materialise(words.select("word", "known", "above")), "d": d, "unseen": unseen, "tokens": sums["tokens"], "kinds": sums["words"]}
+
+
+def probabilities(rows: DataFrame, model: dict) -> DataFrame:
+    """``rows`` (context, word, and n and mean of the pair, null for an unseen one) with known, the word's tokens, and p."""
+    found = rows.join(model["rooms"], "context", "left").join(model["words"], "word", "left")
+    kept = F.coalesce((F.col("n") - model["d"] * F.col("mean")) / (STRENGTH + F.col("total")), F.lit(0.0))
+    sweeps = F.lit(float(SWEEPS - BURN_IN))
+    back = F.coalesce("back", F.array(*[F.lit(1.0)] * (SWEEPS - BURN_IN)))
+    above = F.coalesce("above", F.array(*map(F.lit, model["unseen"])))
+    rest = F.aggregate(F.zip_with(back, above, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / sweeps
+    return found.withColumns({"known": F.coalesce("known", F.lit(0)), "p": kept + rest}).drop("n", "mean", "total", "back", "above")
+
+
+def document_pairs(docs: DataFrame) -> DataFrame:
+    """A row for each document's distinct pairs, how ``many``; the first of a document has rows 1 and its n_tokens."""
+    kind = "doc_id long, rid long, context long, word long, many int, rows int, n_tokens long"
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums for each document, and one for each of its infrequent words."""
-        model = sent.value
         for batch in batches:
             texts, ids, rids = _texts(batch), batch["doc_id"], batch["rid"]
             for a, b in chunks([len(t) for t in texts]):
                 tokens = Tokens(texts[a:b])
-                dish, inner, base = _local(model, tokens)
-                n, rare = b - a, np.flatnonzero(dish == DISHES)
-                size = np.bincount(tokens.text, minlength=n)
-                order = rare[np.lexsort((tokens.hash[rare], tokens.text[rare]))]
-                text, word = tokens.text[order], tokens.hash[order]
-                first = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (word[1:] != word[:-1])))) if len(order) else order
-                many = np.diff(np.append(first, len(order)))
-                at, zeros = text[first], np.zeros(len(first))
-                whose = pa.array(np.concatenate((np.arange(n), at)) + a)
-                words = pa.array(np.concatenate((np.zeros(n, np.int64), word[first].view(np.int64))), mask=np.arange(n + len(first)) < n)
-                join = lambda x, y, t=None: pa.array(np.concatenate((x, y)), t)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(whose), rids.take(whose), words, join(np.zeros(n, np.int64), many, pa.int32()), join(np.ones(n, np.int64), np.zeros(len(first), np.int64), pa.int32()), join(size, np.zeros(len(first), np.int64)), join(np.bincount(tokens.text[dish < DISHES], minlength=n), np.zeros(len(first), np.int64)), join(np.bincount(tokens.text, base, minlength=n), zeros), join(np.bincount(tokens.text, inner, minlength=n), zeros)],
-                    [x.split()[0] for x in kind.split(", ")],
-                )
-
-    rows = own.withColumn("rid", F.xxhash64("text")).mapInArrow(parts, kind)
-    return _summed(rows, counts, model)
-
-
-def _summed(rows: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
-    """Sums for each document over its own row and its infrequent words, whose counts come by a join."""
-    tokens, words = model["tokens"], model["words"]
-    by_count = rows.sparkSession.createDataFrame(pa.table({"c": pa.array(model["count"], pa.int64()), "chance": pa.array(model["chance"], pa.float64())}))
-    if len(model["count"]) <= BROADCAST_COUNTS:
-        by_count = F.broadcast(by_count)
-    known = counts.join(by_count, F.col("n") == F.col("c"), "left")
-    known = known.select(F.col("word").alias("known"), "n", F.log10("chance").alias("chance"))
-    joined = rows.join(known, F.col("word") == F.col("known"), "left")
-    rare = F.col("word").isNotNull()
-    many, n = F.col("many"), F.coalesce("n", F.lit(0))
-    base = F.when(rare, many * F.log10((n + 1) / F.lit(float(tokens + words + 1)))).otherwise(F.col("base"))
-    inner = F.when(rare, many * F.coalesce("chance", F.lit(float(np.log10(model["unseen"]))))).otherwise(F.col("score"))
-    seen = F.when(rare, F.when(n > 0, many).otherwise(0)).otherwise(F.col("n_known"))
-    sums = joined.groupBy("doc_id", "rid").agg(F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(seen).alias("n_known"), F.sum(base).alias("base_score"), F.sum(inner).alias("score"))
+                order = np.lexsort((_key(tokens.context, tokens.hash), tokens.text))
+                text, context, word = tokens.text[order], tokens.context[order], tokens.hash[order]
+                same = (text[1:] == text[:-1]) & (context[1:] == context[:-1]) & (word[1:] == word[:-1])
+                first = np.flatnonzero(np.concatenate(([True], ~same)))
+                many, text = np.diff(np.append(first, len(order))), text[first]
+                one = np.diff(text, prepend=-1) != 0
+                size = np.where(one, np.bincount(tokens.text, minlength=b - a)[text], 0)
+                whose = pa.array(text + a)
+                out = [ids.take(whose), rids.take(whose), _signed(context[first]), _signed(word[first]), pa.array(many, pa.int32()), pa.array(one.astype(np.int32)), pa.array(size)]
+                yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in kind.split(", ")])
+
+    return docs.withColumn("rid", F.xxhash64("text")).mapInArrow(parts, kind)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    prepare(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    out = held_out(F.col("doc_id"))
+    model = fit(own.filter(~out))
+    # All pairs of the training rows are in the model, so their probabilities are joined to the pairs and not to the tokens.
+    seen = document_pairs(own.filter(~out)).join(probabilities(model["pairs"], model), ["context", "word"])
+    new = probabilities(document_pairs(own.filter(out)).join(model["pairs"], ["context", "word"], "left"), model)
+    return _summed(seen.unionByName(new), model)
+
+
+def _summed(rows: DataFrame, model: dict) -> DataFrame:
+    """Sums for each document over its distinct pairs."""
+    tokens, words = model["tokens"], model["kinds"]
+    many = F.col("many")
+    base = many * F.log10((F.col("known") + 1) / F.lit(float(tokens + words + 1)))
+    seen = F.when(F.col("known") > 0, many).otherwise(0)
+    sums = rows.groupBy("doc_id", "rid").agg(F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(seen).alias("n_known"), F.sum(base).alias("base_score"), F.sum(many * F.log10("p")).alias("score"))
     sums = sums.withColumn("copy", F.explode(F.expr("array_repeat(1, int(rows))")))
     return sums.select(
         "doc_id",

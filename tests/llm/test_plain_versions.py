@@ -175,6 +175,39 @@ def test_language_probabilities_sum_to_one():
     assert chance @ [10, 2] + unseen == pytest.approx(1)
 
 
+def test_language_scores_use_every_context(spark):
+    """Infrequent words after infrequent words: the right context says which comes next, however many there are."""
+    word = lambda i: f"w{i:05d}x"
+    train = [(i, " ".join(f"{word(k)} {word(k + 10_000)}" for k in range(i * 100, i * 100 + 100))) for i in range(100)] * 3
+    inside = [i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    right, wrong = (" ".join(f"{word(k)} {word((k + by) % 10_000 + 10_000)}" for k in range(0, 10_000, 50)) for by in (0, 5000))
+    got = {r["doc_id"]: r for r in language.score(odd(spark, [*train, (inside[0], right), (inside[1], wrong)])).collect() if r["held_out"]}
+    a, b = got[inside[0]], got[inside[1]]
+    assert a["base_score"] == pytest.approx(b["base_score"])
+    assert a["score"] > b["score"] + 0.5 * 200
+
+
+def test_language_probabilities_of_all_words_sum_to_one(spark):
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(f"v{x}" for x in rng.zipf(1.5, 40).clip(0, 60))) for i in range(60)]
+    model = language.fit(odd(spark, texts))
+    words, rooms = model["words"].select("word"), model["rooms"].select("context").limit(5)
+    every = rooms.crossJoin(words).join(model["pairs"], ["context", "word"], "left")
+    sums = language.probabilities(every, model).groupBy("context").agg(F.sum("p").alias("p")).collect()
+    total = dict(model["rooms"].select("context", (language.STRENGTH + F.col("total"))).collect())
+    back = dict(model["rooms"].select("context", "back").collect())
+    assert len(sums) == 5 and all(total[r["context"]] > 1 for r in sums)
+    for r in sums:  # what is missing is that of an unseen word
+        assert r["p"] + np.mean(np.array(back[r["context"]]) * model["unseen"]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("n,p", [(3, 0.2), (40, 0.9), (5000, 0.001), (5000, 0.4)])
+def test_hashed_draws(n, p):
+    draws = language.Hashed(np.arange(20_000, dtype=np.uint64), 0).binomial(np.arange(20_000), np.full(20_000, n), np.full(20_000, p))
+    assert draws.mean() == pytest.approx(n * p, rel=0.03) and draws.var() == pytest.approx(n * p * (1 - p), rel=0.06)
+    assert draws.min() >= 0 and draws.max() <= n
+
+
 def test_quality_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
