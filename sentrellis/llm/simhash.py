@@ -202,7 +202,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every document."""
     prints = materialise(fingerprints(docs, shingle))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = materialise(components(fingerprint_links(nodes, max_bits)))
+    return named(prints, nodes, fingerprint_links(nodes, max_bits))
+
+
+def named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, fp) with component_id, from ``nodes`` (fp, first: the smallest doc_id) and edges (a, b)."""
+    roots = materialise(components(edges))
     member = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     member = materialise(member)
     least = member.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
