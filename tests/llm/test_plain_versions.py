@@ -124,13 +124,15 @@ def test_repeats_of_an_empty_table(spark):
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     good = [(int(i), [float(x) for x in rng.standard_normal(24).round(1)]) for i in range(300)]
-    rows = good + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 24), (303, [float("inf")] * 24), (304, [1.0, 2.0]), (305, []), (7, good[7][1])]
+    rows = good + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 24), (303, [float("inf")] * 24), (304, [1.0, 2.0]), (305, []), (7, good[7][1]), (7, good[9][1]), (50, good[8][1]), (None, good[3][1])]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, v int")
-    full = {i: np.floor(256 * np.pad(np.array(v, np.float32).astype(float), (0, 24 - len(v)))).astype(int) for i, v in good + [(304, [1.0, 2.0]), (305, [])]}
+    takes_part = good + [(304, [1.0, 2.0]), (305, []), (7, good[7][1]), (7, good[9][1]), (50, good[8][1])]
+    full = [(i, np.floor(256 * np.pad(np.array(v, np.float32).astype(float), (0, 24 - len(v)))).astype(int)) for i, v in takes_part]
     want = []
-    for q in (i for i in full if i % 50 == 0):
-        best = sorted((-int(full[q] @ full[x]), x) for x in full if x != q)[:5]
-        want += [(q, k + 1, x, -s) for k, (s, x) in enumerate(best)]
+    for at, (q, v) in enumerate(full):
+        if q % 50 == 0:
+            best = sorted((-int(v @ theirs), x) for n, (x, theirs) in enumerate(full) if n != at)[:5]
+            want += [(q, k + 1, x, -s) for k, (s, x) in enumerate(best)]
     got = search.top_k(table, F.col("vec_id") % 50 == 0, 5).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
     few = search.top_k(table.filter("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0, 5).collect()
@@ -142,10 +144,35 @@ def test_top_k_prunes(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((20, 64)) * 3
     v = np.floor(256 * (centres[np.arange(2000) % 20] + 0.1 * rng.standard_normal((2000, 64)))).astype(np.int64)
-    s = search.Searcher(np.arange(40), v[:40], 5)
+    s = search.Searcher(np.arange(40), v[:40].astype(float), 5)
     for a in range(0, 2000, 500):
-        s.see(np.arange(a, a + 500), v[a : a + 500])
-    assert s.exact < 0.5 * 40 * 2000
+        s.see(np.arange(a, a + 500), np.arange(a, a + 500), v[a : a + 500].astype(float))
+    assert s.seen[-1] < 0.5 * 40 * 2000
+
+
+def test_top_k_of_many_queries_is_bounded():
+    """Equal vectors, so that every pair reaches the bar: what is kept stays k a query."""
+    import resource
+
+    n = 16_384
+    v = np.tile(np.arange(1.0, 9.0), (n, 1))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    s = search.Searcher(np.arange(n), v, 5)
+    s.see(np.arange(2048), np.arange(2048), v[:2048])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 * 1024
+    q, ids, _ = s.found
+    assert len(q) == 5 * n and ids[:5].tolist() == [1, 2, 3, 4, 5] and ids[-5:].tolist() == [0, 1, 2, 3, 4]
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.0]), (3, [1e12, 3.0]), (4, [1e12, 5.0]), (50, [1e12, 7.0])]
+    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 3).collect()
+    big = (1 << 63) - 1
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 0] == [(1, big), (3, big), (4, big)]
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 50] == [(0, big), (1, big), (3, big)]
+    small = [(i, [float(a), 1.0]) for i, a in ((50, 3e6), (1, 3e6), (2, 3e6 + 1))]
+    got = search.top_k(spark.createDataFrame(small, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 3).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 65536 * (3000000 * 3000001 + 1)), (1, 65536 * (3000000**2 + 1))]
 
 
 def test_language_scores(spark):
