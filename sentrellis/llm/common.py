@@ -10,7 +10,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: ASCII white space, and a run of anything else: what "word" means in every operator here.
 WS = " \t\n\x0b\f\r"
@@ -20,8 +22,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
 #: Input bytes for each partition of a shuffle that carries corpus-sized data.
 PARTITION_BYTES = 10 << 20
-#: Rows of an Arrow batch; documents can be long.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch; documents can be long.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,17 +45,41 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, has known size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sentrellis/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for these files goes once they are written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete files of ``materialise`` that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_row(own: DataFrame, more: str) -> StructType:
+    """The schema of ``row``, as in ``own``, and further columns; names in ``row`` can be of any kind."""
+    return StructType([own.schema["row"], *StructType.fromDDL(more).fields])
 
 
 def prepare(spark: SparkSession) -> None:
     """Send this package to the executors, once a context, and bound their Arrow batches: documents can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if not getattr(context, "_sentrellis_sent", False):
         root = Path(__file__).resolve().parents[1]
@@ -141,6 +169,25 @@ def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes at a time are mixed into the hash so far; of long words, XXH64."""
+    size = (ends - starts).astype(np.uint64)
+    windows = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))  # the eight bytes from each place on
+    out = mix(size * np.uint64(0xD6E8FEB86659FD93) + np.uint64(_BASE))
+    some, at = slice(None), starts
+    rest = np.minimum(size, np.uint64(LONG_WORD))
+    while len(at):
+        last = np.minimum(rest, np.uint64(8)) * np.uint64(8)
+        block = windows[at] & (np.uint64(_MASK) >> (np.uint64(64) - last))
+        out[some] = mix(out[some] ^ block)
+        more = rest > 8
+        at, rest = at[more] + 8, rest[more] - np.uint64(8)
+        some = np.flatnonzero(more) if isinstance(some, slice) else some[more]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
 class Words:
     """Words of several texts: bytes, spans, hashes and the index of each word's text."""
 
@@ -152,4 +199,4 @@ class Words:
         first = np.searchsorted(self.starts, at)
         self.counts = np.diff(first)
         self.text = np.repeat(np.arange(len(texts)), self.counts)
-        self.hashes = span_hashes(self.buffer, self.starts, self.ends) if hashed and len(self.buffer) else np.zeros(len(self.starts), np.uint64)
+        self.hashes = word_hashes(self.bytes, self.starts, self.ends) if hashed else np.zeros(len(self.starts), np.uint64)

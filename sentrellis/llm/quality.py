@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, encoded, prepare
+from .common import chunks, encoded, prepare, with_row
 from .latent import document_frequencies, idf_weights, project, text_terms, tf_idf
 
 WIDTH = 1 << 14
@@ -125,8 +125,7 @@ def score(docs: DataFrame, labels: DataFrame, learns: Column | None = None, refe
             parts = [votes(texts[a:b], sent.value) for a, b in chunks([len(t) for t in texts])]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["row", "score"])
 
-    kind = own.schema["row"].dataType.simpleString()
-    return own.select("row", F.col("row.text").alias("text")).mapInArrow(each, f"row {kind}, score double")
+    return own.select("row", F.col("row.text").alias("text")).mapInArrow(each, with_row(own, "score double"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

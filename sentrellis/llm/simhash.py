@@ -9,7 +9,7 @@ pairs of chunks, and a task returns a spanning forest of the links it finds, nev
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; fewer words than a
 shingle make one shingle; rows of one id are one document; null ids take part but never name a component unless
-all its ids are null; an empty table gives an empty result; further columns are ignored.
+all its ids are null; of a stage, equal rows stay or go together; more than 60 rounds of components raise an error; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,17 +62,22 @@ def text_fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def holder() -> Column:
+    """Names a row by its id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, holder (names the row by id and text) and fp, the fingerprint as a signed long."""
     prepare(docs.sparkSession)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = text_fingerprints([t or b"" for t in encoded(batch["text"])], shingle)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["holder"], pa.array(found.view(np.int64))], ["doc_id", "holder", "fp"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(one, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), holder().alias("holder"), "text")
+    return own.mapInArrow(one, "doc_id long, holder long, fp long")
 
 
 _ODD = np.uint64(0x55555555)
@@ -199,21 +204,21 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = MAX_BITS, cell_rows: int
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that links reach) of every document."""
+    """doc_id, holder, fp and component_id (the smallest doc_id that links reach) of every document."""
     prints = materialise(fingerprints(docs, shingle))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     return named(prints, nodes, fingerprint_links(nodes, max_bits))
 
 
 def named(prints: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``prints`` (doc_id, fp) with component_id, from ``nodes`` (fp, first: the smallest doc_id) and edges (a, b)."""
+    """``prints`` (doc_id, holder, fp) with component_id, from ``nodes`` (fp, first: the smallest doc_id) and edges (a, b)."""
     roots = materialise(components(edges))
     member = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     member = materialise(member)
     least = member.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     least = materialise(least.filter("n > 1").drop("n"))
     member = materialise(member.join(least, F.col("root") == F.col("of"), "left").select(F.col("fp").alias("own"), F.coalesce("component_id", "first").alias("component_id")))
-    return prints.join(member, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
+    return prints.join(member, F.col("fp") == F.col("own")).select("doc_id", "holder", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -222,6 +227,13 @@ def hex_digits(fp: Column) -> Column:
 
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents that name their component: one of each group of near copies stays."""
-    stay = near_duplicates(docs, shingle, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return those_that_stay(docs, near_duplicates(docs, shingle, max_bits))
+
+
+def those_that_stay(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id names their component in ``members``; equal rows are one document and stay together."""
+    name = "holder_"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    stay = members.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("holder").alias(name)).distinct()
+    return docs.join(stay, holder() == F.col(name), "left_semi")

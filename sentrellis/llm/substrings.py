@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, encoded, materialise, mix, partitions_for, prepare, span_hashes
+from .common import Words, chunks, encoded, materialise, mix, partitions_for, prepare, span_hashes, with_row
 
 WINDOW = 13
 GRAM = 3
@@ -235,5 +235,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = docs.select(F.struct("*").alias("row"))
     same = (F.col("row.doc_id") == F.col("of")) & (F.xxhash64("row.text") == F.col("of_rid"))
     joined = own.join(goes, same, "left").select("row", F.col("row.text").alias("text"), "goes")
-    kind = own.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_cut, f"row {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(_cut, with_row(own, "n_words long, n_removed long, kept string"))

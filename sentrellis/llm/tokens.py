@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, prepare
+from .common import encoded, prepare, with_row
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -106,5 +106,4 @@ def token_counts(docs: DataFrame, path: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["row", "n_words", "n_tokens"])
 
     own = docs.select(F.struct("*").alias("row"))
-    kind = own.schema["row"].dataType.simpleString()
-    return own.select("row", F.col("row.text").alias("text")).mapInArrow(count, f"row {kind}, n_words long, n_tokens long")
+    return own.select("row", F.col("row.text").alias("text")).mapInArrow(count, with_row(own, "n_words long, n_tokens long"))
