@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -118,6 +119,20 @@ def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def pack(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
+
+
+def unpack(packed: bytes, n: int) -> list[bytes]:
+    """The ``n`` parts that were packed."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    sizes, at, out = np.frombuffer(raw, np.int64, n), 8 * n, []
+    for size in sizes:
+        out.append(raw[at : at + size])
+        at += size
+    return out
+
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -1,17 +1,19 @@
 """Scores of a hierarchical Pitman-Yor language model, its seating sampled by Gibbs.
 
 The restaurants: one for each context, which is the word before (the text's end before the first word), all with one
-parent over all words, whose base is uniform. Every context and every word has its own counts and its own seating:
-pairs (context, word), contexts and words are distributed tables that grow with the corpus. Each sweep reseats the
-customers of every pair given its context's tables and the parent's predictive probability of its word, then the
-parent's customers (one per table below) given the base. A pair that occurs once has one table whatever is drawn,
-so only the others are drawn. The parent's probabilities depend on a word's customers alone: one row for each
-number of customers is brought to the driver. Predictive probabilities are averaged over the sweeps after the first
-few. Every draw is a hash of the sweep, the pair and its step, so no order of rows matters.
-
-Hot contexts and words: pairs are counted by each task before they are shuffled and summed by (context, word);
-tables per context and per word are sums with partial sums; joins have both sides shuffled, so that adaptive
-execution can split a hot key.
+parent over all words, whose base is uniform. Every context and every word has its own counts and its own seating,
+however many there are. A sweep empties each dish of its customers and seats them anew given all others (``seating``),
+first in the contexts, then, with one customer for each table below, in the parent. A pair that occurs once has one
+table whatever is drawn, so only the others are drawn. Averages over the sweeps after the first few are taken of each
+pair's tables, each context's tables and the parent's probability of each word; what they predict sums to one. Every
+draw is a hash of its sweep and pair, so no order of rows matters.
+
+How it is spread out: pairs (context, word) are dealt to buckets by their context, those of a frequent context by their
+word as well. A task counts what it has read and packs, for each bucket, sorted hashes and the texts that hold them;
+so a pair leaves a task once, whatever number of texts hold it. Pairs that hold over ``HOT`` of all tokens, which
+bounds their number, are looked up in a broadcast table and do not travel. Buckets give back sums for each text, packed
+too. What a sweep knows of contexts and words are tables that are joined by their hashes, both sides shuffled; only one
+row for each number of customers of the parent comes to the driver.
 
 Defined cases: a null text is empty and has one token, its end; null ids are trained on (their fold is no held-out
 one); repeated rows count as often as they occur and get equal scores; without training rows every probability is
@@ -24,26 +26,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, encoded, materialise, mix, prepare
+from .common import Words, chunks, discard, encoded, materialise, mix, pack, partitions_for, prepare, unpack
+from .seating import Seating
 
-#: The size of ``sample``, the same model in memory, which tests hold; the distributed model has no such bound.
-CONTEXTS = 512
-DISHES = 8192
-CLASSES = 32
-SWEEPS, BURN_IN = 6, 3
+SWEEPS, BURN_IN = 4, 1
 STRENGTH = 1.0
 FOLDS, FOLD = 7, 2
-#: Draws of the parent for each number of customers in each round; three rounds of each of three sweeps are averaged.
+#: Share of all tokens from which a pair is looked up in a broadcast table; bounds their number to its inverse.
+HOT = 2.0**-16
+#: Draws of the parent for each number of customers in each sweep.
 CHAINS = 8
-#: Tokens that a task counts at a time, and rows of a batch that it gives back.
-HELD_TOKENS, OUT_ROWS = 4_000_000, 100_000
+#: Tokens that a task packs at a time, and rows of a batch that it gives back.
+HELD_TOKENS, OUT_ROWS = 2_000_000, 100_000
 #: Distinct numbers of customers up to which their table, 16 bytes a row, is broadcast.
 BROADCAST_COUNTS = 1_000_000
-#: The hash of the token that ends a text; no word of up to 8 bytes is likely to have it, none is checked against it.
+#: The hash of the token that ends a text.
 END = np.uint64(0x5E17A1B0C3D2E4F7)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of packed rows; what the model knows comes before the texts.
+PAIRS, ROOMS, WORDS, TEXTS, SUMS = range(5)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,40 +74,171 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+    return mix(context * _GOLDEN + word)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """context, word (hashes) and n: all pairs in ``docs``; summed by each task before they are shuffled."""
+def _unsigned(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64) if isinstance(column, pa.Array) else column.to_numpy().view(np.uint64)
+
+
+class Dealer:
+    """The bucket of a pair: by its context, or by both words if the context is frequent."""
+
+    def __init__(self, buckets: int, frequent: np.ndarray):
+        self.buckets, self.frequent = buckets, np.sort(frequent)
+
+    def often(self, context: np.ndarray) -> np.ndarray:
+        return _found(self.frequent, context)[1]
+
+    def __call__(self, context: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+        h = mix(context ^ _GOLDEN)
+        if word is not None and len(self.frequent):
+            h = np.where(self.often(context), _key(word, context), h)
+        return (h % np.uint64(self.buckets)).astype(np.int32)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int = HELD_TOKENS) -> Iterator[tuple]:
+    """doc_ids, train (by row) and tokens' context, hash and row, for about ``most`` tokens at a time."""
+    ids, train, held, size, rows = [], [], [], 0, 0
+
+    def give() -> tuple:
+        context, word, row = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.concat_arrays(ids), np.concatenate(train), context, word, row
+
+    for batch in batches:
+        texts, learns = _texts(batch), batch["train"].to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in chunks([len(t) for t in texts]):
+            tokens = Tokens(texts[a:b])
+            held.append((tokens.context, tokens.hash, tokens.text + rows))
+            ids.append(batch["doc_id"].slice(a, b - a))
+            train.append(learns[a:b])
+            rows += b - a
+            size += len(tokens.hash)
+            if size > most:
+                yield give()
+                ids, train, held, size, rows = [], [], [], 0, 0
+    if held:
+        yield give()
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of runs of rows with equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """key (a word's hash) and known, its tokens in training rows; summed by each task before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        for _, train, _, word, row in _held(batches, 2 * HELD_TOKENS):
+            key, n = np.unique(word[train[row]], return_counts=True)
+            for i in range(0, len(key), OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([_signed(key[i : i + OUT_ROWS]), pa.array(n[i : i + OUT_ROWS])], ["key", "known"])
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            context, word = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, at, n = np.unique(_key(context, word), return_index=True, return_counts=True)
-            out = pa.RecordBatch.from_arrays([_signed(context[at]), _signed(word[at]), pa.array(n)], ["context", "word", "n"])
-            for i in range(0, len(at), OUT_ROWS):
-                yield out.slice(i, OUT_ROWS)
+    return docs.mapInArrow(count, "key long, known long").groupBy("key").agg(F.sum("known").alias("known"))
+
+
+def _packed(bucket: np.ndarray, context: np.ndarray, word: np.ndarray, rest: list[np.ndarray], refs: tuple[np.ndarray, list[np.ndarray]] | None = None) -> Iterator[tuple[int, bytes]]:
+    """(bucket, payload) of pairs sorted by bucket, context and word; ``refs``: first of each pair, and its entries."""
+    cuts = np.append(_runs(bucket), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        first = np.append(_runs(context[a:b]), b - a)
+        step = np.diff(word[a:b], prepend=np.uint64(0))  # small steps compress; where a context begins they wrap around
+        parts = [context[a:b][first[:-1]], np.diff(first).astype(np.int32), step, *(x[a:b] for x in rest)]
+        if refs:
+            begin, entries = refs
+            x, y = begin[a], begin[b]
+            parts += [np.diff(begin[a : b + 1]).astype(np.int32), *(e[x:y] for e in entries)]
+        yield int(bucket[a]), pack(*(p.tobytes() for p in parts))
+
+
+def _pairs_of(packed: bytes, kinds: list[type]) -> list[np.ndarray]:
+    """Contexts, pairs of each, words, then the other arrays of a payload."""
+    parts = unpack(packed, 3 + len(kinds))
+    out = [np.frombuffer(p, k) for p, k in zip(parts, (np.uint64, np.int32, np.uint64, *kinds), strict=True)]
+    out[2] = np.cumsum(out[2], dtype=np.uint64)
+    return out
 
-        for batch in batches:
-            texts = _texts(batch)
-            for a, b in chunks([len(t) for t in texts]):
-                tokens = Tokens(texts[a:b])
-                held.append((tokens.context, tokens.hash))
-                size += len(tokens.hash)
-                if size > HELD_TOKENS:
-                    yield from rows()
-                    held, size = [], 0
-        if held:
-            yield from rows()
 
-    counted = docs.select("text").mapInArrow(count, "context long, word long, n long")
-    return counted.groupBy("context", "word").agg(F.sum("n").alias("n"))
+_ROW = "bucket int, kind int, payload binary"
+
+
+def _rows(found: list[tuple[int, int, bytes]], names: tuple[str, ...] = ("bucket", "kind", "payload")) -> pa.RecordBatch:
+    a, kind, payload = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64() if names[0] == "chunk" else pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], list(names))
+
+
+def count_pairs(docs: DataFrame, deal: Dealer, sizes: tuple[int, ...]) -> DataFrame:
+    """Rows of what the buckets count, by kind.
+
+    PAIRS: a context, b word, n tokens in training rows, of those with n > 1 or in both kinds of rows; ROOMS: a context
+    and WORDS: a bucket, b word, with n pairs that occur once; SUMS: a = 1, 2 with n pairs that occur so often.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(deal)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, train, context, word, row in _held(batches):
+            bucket = sent.value(context, word)
+            order = np.lexsort((word, context, bucket))
+            bucket, context, word, learns = bucket[order], context[order], word[order], train[row[order]]
+            first = _runs(bucket, context, word)
+            n = np.add.reduceat(learns, first, dtype=np.int32)
+            other = np.add.reduceat(~learns, first, dtype=np.int32) > 0
+            yield _rows([(k, PAIRS, p) for k, p in _packed(bucket[first], context[first], word[first], [n, other])])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for k, payload in zip(batch["bucket"].to_pylist(), batch["payload"].to_pylist(), strict=True):
+                of.setdefault(k, []).append(payload)
+        for k, payloads in of.items():
+            got = []
+            for payload in payloads:
+                room, size, word, n, other = _pairs_of(payload, [np.int32, bool])
+                got.append((np.repeat(room, size), word, n, other))
+            payloads.clear()
+            context, word, n, other = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
+            order = np.lexsort((word, context))
+            context, word, n, other = context[order], word[order], n[order], other[order]
+            first = _runs(context, word)
+            context, word = context[first], word[first]
+            n, other = np.add.reduceat(n, first, dtype=np.int64), np.logical_or.reduceat(other, first)
+            once, kept = n == 1, np.flatnonzero((n > 1) | (n == 1) & other)
+            rooms = _runs(context)
+            single = np.add.reduceat(once, rooms, dtype=np.int64)
+            some = np.flatnonzero(single)
+            order = np.argsort(word, kind="stable")
+            words = _runs(word[order])
+            zero = lambda m: np.zeros(m, np.uint64)
+            parts = [
+                (PAIRS, context[kept], word[kept], n[kept]),
+                (ROOMS, context[rooms][some], zero(len(some)), single[some]),
+                (WORDS, zero(len(words)) + np.uint64(k), word[order][words], np.add.reduceat(once[order], words, dtype=np.int64)),
+                (SUMS, np.array([1, 2], np.uint64), zero(2), np.array([once.sum(), (n == 2).sum()])),
+            ]
+            for kind, a, b, m in parts:
+                for i in range(0, len(a), OUT_ROWS):
+                    j = slice(i, i + OUT_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[j]), kind, np.int32)), _signed(a[j]), _signed(b[j]), pa.array(m[j])], ["kind", "a", "b", "n"])
+
+    return docs.mapInArrow(send, _ROW).repartitionById(deal.buckets, F.col("bucket")).mapInArrow(count, "kind int, a long, b long, n long")
 
 
 def discount(counts: np.ndarray, many: np.ndarray | None = None) -> float:
@@ -112,126 +248,45 @@ def discount(counts: np.ndarray, many: np.ndarray | None = None) -> float:
     return float(np.clip(one / (one + 2 * two) if one + two else 0.5, 0.1, 0.95))
 
 
-class Hashed:
-    """Draws for rows that have keys: the same for a key and a step, in whatever order the rows come."""
-
-    def __init__(self, key: np.ndarray, sweep: int):
-        self.key, self.step = mix(key + np.uint64((sweep + 1) * 0xD6E8FEB86659FD93 % (1 << 64))), 0
-
-    def random(self, some: np.ndarray) -> np.ndarray:
-        self.step += 1
-        return (mix(self.key[some] + np.uint64(self.step * 0xA0761D6478BD642F % (1 << 64))) >> np.uint64(11)) * 2.0**-53
-
-    def binomial(self, some: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """By inversion, or from a normal draw where the variance is large."""
-        u, v = self.random(some), self.random(some)
-        spread = np.sqrt(n * p * (1 - p))
-        normal = np.sqrt(-2 * np.log(np.maximum(u, 1e-300))) * np.cos(2 * np.pi * v)
-        out = np.clip(np.rint(n * p + spread * normal), 0, n)
-        few = np.flatnonzero(spread < 6)
-        n, p, u = n[few], np.minimum(p[few], 1 - 1e-12), u[few]
-        flip = p > 0.5
-        q = np.where(flip, 1 - p, p)
-        part = np.exp(n * np.log1p(-q))
-        total, k = part.copy(), np.zeros(len(few))
-        left = np.flatnonzero((u > total) & (k < n))
-        while len(left):
-            part[left] *= (n[left] - k[left]) / (k[left] + 1) * q[left] / (1 - q[left])
-            k[left] += 1
-            total[left] += part[left]
-            left = left[(u[left] > total[left]) & (k[left] < n[left]) & (k[left] < 1000)]
-        out[few] = np.where(flip, n - k, k)
-        return out
-
-
-def seat(customers: np.ndarray, new: np.ndarray, d: float, rng: np.random.Generator | Hashed) -> np.ndarray:
-    """Tables after seating the customers of each dish in turn; ``new``: the weight of a new table for it.
-
-    The first 24 customers are seated one by one, later ones in blocks that grow with the number seated.
-    """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    seated = 1
-    some = np.flatnonzero(customers > 1)
-    hashed = isinstance(rng, Hashed)
-    while len(some):
-        block = 1 if seated < 24 else seated // 8
-        many = np.minimum(customers[some] - seated, block)
-        weight = new[some]
-        chance = weight / (weight + np.maximum(seated + (many - 1) / 2 - d * tables[some], 1e-9))
-        if block == 1:
-            tables[some] += rng.random(some if hashed else len(some)) < chance
-        else:
-            tables[some] += rng.binomial(some, many, chance) if hashed else rng.binomial(many.astype(np.int64), chance)
-        seated += block
-        some = some[customers[some] > seated]
-    return tables
-
-
-def sample(key: np.ndarray, n: np.ndarray, uniform: float) -> dict:
-    """Averaged predictive probabilities of contexts and dishes of a bounded number, in memory: a plain version."""
-    rng = np.random.default_rng(3)
-    rooms = CONTEXTS + CLASSES
-    room, dish = key // (DISHES + 1), key % (DISHES + 1)
-    total = np.bincount(room, n, minlength=rooms)
-    d, d0 = discount(n), 0.5
-    parent = np.bincount(dish, n, minlength=DISHES + 1).astype(np.float64)
-    p = (parent + 1) / (parent.sum() + DISHES + 1)
-    tables = np.minimum(n, 1).astype(np.float64)
-    kept, back, above = np.zeros(len(n)), [], []
-    for sweep in range(SWEEPS):
-        in_room = np.bincount(room, tables, minlength=rooms)
-        tables = seat(n, (STRENGTH + d * in_room[room]) * p[dish], d, rng)
-        in_room = np.bincount(room, tables, minlength=rooms)
-        served = np.bincount(dish, tables, minlength=DISHES + 1)
-        d0 = discount(served)
-        own = np.minimum(served, 1)
-        own = seat(served, (STRENGTH + d0 * own.sum()) * np.full(len(served), uniform), d0, rng)
-        p = (served - d0 * own + (STRENGTH + d0 * own.sum()) * uniform) / (STRENGTH + served.sum())
-        if sweep >= BURN_IN:
-            kept += (n - d * tables) / (STRENGTH + total[room])
-            back.append((STRENGTH + d * in_room) / (STRENGTH + total))
-            above.append(p)
-    kept /= len(back)
-    return {"key": key, "kept": kept, "back": np.array(back), "above": np.array(above)}
+def uniforms(key: np.ndarray, sweep: int) -> np.ndarray:
+    """A number in [0, 1) for each key and sweep."""
+    return (mix(key + np.uint64((sweep + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> np.uint64(11)) * 2.0**-53
 
 
-def refine(count: np.ndarray, words: np.ndarray, uniform: float, most_chains: int = 64) -> tuple[np.ndarray, float]:
-    """Probability of a word by its count (those in ``count``, each of so many ``words``), and of an unseen one."""
+def refine(count: np.ndarray, words: np.ndarray, uniform: float, sweeps: int = 4, most_chains: int = CHAINS) -> tuple[np.ndarray, float]:
+    """The parent's probability of a word by its customers (``count``, each of so many ``words``), and of an unseen one."""
     rng = np.random.default_rng(5)
-    total = float((count * words).sum())
-    d = discount(count, words)
-    chains, kept, unseen = max(1, min(most_chains, 4_000_000 // max(len(count), 1))), np.zeros(len(count)), 0.0
-    tables = np.ones(len(count))
-    for sweep in range(SWEEPS):
-        weight = STRENGTH + d * float((tables * words).sum())
-        drawn = seat(np.tile(count, chains), np.full(len(count) * chains, weight * uniform), d, rng)
+    total, d = float((count * words).sum()), discount(count, words)
+    seating, chains = Seating(d), max(1, min(most_chains, 4_000_000 // max(len(count), 1)))
+    tables, kept, rest = np.ones(len(count)), np.zeros(len(count)), 0.0
+    for _ in range(sweeps):
+        for_all = np.tile(STRENGTH + d * (float((tables * words).sum()) - tables), chains)
+        drawn = seating.draw(np.tile(count, chains), for_all, np.full(len(for_all), uniform), rng.random(len(for_all)))
         tables = drawn.reshape(chains, -1).mean(axis=0) if len(count) else tables
-        if sweep >= BURN_IN:
-            rest = (STRENGTH + d * float((tables * words).sum())) / (STRENGTH + total) * uniform
-            kept += ((count - d * tables) / (STRENGTH + total) + rest) / (SWEEPS - BURN_IN)
-            unseen += rest / (SWEEPS - BURN_IN)
-    return kept, unseen
+    rest = (STRENGTH + d * float((tables * words).sum())) / (STRENGTH + total) * uniform
+    kept = (count - d * tables) / (STRENGTH + total) + rest
+    return kept, rest
 
 
-def _chances(words: DataFrame, uniform: float) -> tuple[DataFrame, float]:
-    """``words`` with chance, the parent's probability by a word's ``served`` customers, and that of an unseen word."""
-    classes = words.groupBy("served").agg(F.count("*").alias("words")).toArrow()
+def _chances(types: DataFrame, uniform: float) -> tuple[DataFrame, float]:
+    """``types`` with chance, the parent's probability by a word's ``served`` customers, and that of an unseen word."""
+    classes = types.groupBy("served").agg(F.count("*").alias("words")).toArrow()
     order = np.argsort(classes["served"].to_numpy())
     count, many = (classes[k].to_numpy()[order].astype(np.float64) for k in ("served", "words"))
-    chance, unseen = refine(count, many, uniform, CHAINS)
-    by_count = words.sparkSession.createDataFrame(pa.table({"c": pa.array(count, pa.int64()), "chance": pa.array(chance, pa.float64())}))
+    chance, unseen = refine(count, many, uniform)
+    by_count = types.sparkSession.createDataFrame(pa.table({"c": pa.array(count, pa.int64()), "chance": pa.array(chance, pa.float64())}))
     if len(count) <= BROADCAST_COUNTS:
         by_count = F.broadcast(by_count)
-    return words.join(by_count, F.col("served") == F.col("c")).drop("c"), unseen
+    return types.join(by_count, F.col("served") == F.col("c")).drop("c"), unseen
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of OUT_ROWS rows or a little more: short ones cost as much as long ones."""
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of ``most`` rows or a little more: short ones cost as much as long ones."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += len(batch)
-        if size >= OUT_ROWS:
+        if size >= most:
             yield pa.concat_batches(held)
             held, size = [], 0
     if held:
@@ -239,114 +294,291 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def reseat(pairs: DataFrame, d: float, sweep: int) -> DataFrame:
-    """context, word, n, sum and t: the tables drawn in this sweep for rows that have tables and chance."""
+    """context, word, n, sum and t: a draw for rows that have t (the last draw), tables (of the context) and chance."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seating = Seating(d)
         for batch in _gathered(batches):
             col = lambda k: batch[k].to_numpy(zero_copy_only=False)
-            key = _key(col("context").view(np.uint64), col("word").view(np.uint64))
-            t = seat(col("n"), (STRENGTH + d * col("tables")) * col("chance"), d, Hashed(key, sweep)).astype(np.int64)
+            key = _key(_unsigned(batch["context"]), _unsigned(batch["word"]))
+            t = seating.draw(col("n"), STRENGTH + d * (col("tables") - col("t")), col("chance"), uniforms(key, sweep))
             total = col("sum") + t if sweep >= BURN_IN else col("sum")
             yield pa.RecordBatch.from_arrays([batch["context"], batch["word"], batch["n"], pa.array(total), pa.array(t)], ["context", "word", "n", "sum", "t"])
 
     return pairs.mapInArrow(draw, "context long, word long, n long, sum long, t long")
 
 
-def fit(train: DataFrame) -> dict:
-    """Tables of all pairs (n, mean number of tables), contexts and words, and what holds for all of them.
+def fit(docs: DataFrame) -> dict:
+    """The model of ``docs`` (doc_id, text, train).
 
-    ``back`` of a context and ``above`` of a word have an entry for each sweep that counts, ``unseen`` too.
+    ``pairs``: context, word, n and mean (tables) of all pairs that buckets need; ``types``: key, known (tokens), room
+    (the mean share of the parent in its context) and above (the parent's mean probability of it), of all words.
     """
-    pairs = materialise(pair_counts(train))
-    sides = lambda key, total: materialise(pairs.groupBy(key).agg(F.sum("n").alias(total), F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("tables")))
-    rooms, words = sides("context", "total"), sides("word", "known").withColumnRenamed("tables", "served")
-    sums = words.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
-    first = pairs.agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-    d, uniform = discount(np.array([1, 2]), np.array([first["one"], first["two"]])), 1 / (sums["words"] + 1)
-    none = F.array().cast("array<double>")
-    rooms, unseen = rooms.withColumn("back", none), []
-    words, _ = _chances(words.withColumn("above", none), uniform)
-    drawn = pairs.filter("n > 1").withColumn("sum", F.lit(0).cast("long"))
+    known = materialise(word_counts(docs))
+    sums = known.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
+    tokens, kinds = sums["tokens"], sums["words"]
+    buckets = partitions_for(docs)
+    often = known.filter(F.col("known") > tokens / (4 * buckets)).select("key").toArrow()["key"]  # fewer than 4 a bucket
+    deal = Dealer(buckets, _unsigned(often))
+    counted = materialise(count_pairs(docs, deal, ()))
+    of = lambda kind: counted.filter(F.col("kind") == kind)
+    first = dict(of(SUMS).groupBy("a").agg(F.sum("n")).collect())
+    d, uniform = discount(np.array([1, 2]), np.array([first.get(1, 0), first.get(2, 0)])), 1 / (kinds + 1)
+    pairs = of(PAIRS).filter("n > 1").select(F.col("a").alias("context"), F.col("b").alias("word"), "n")
+    # Tables of the pairs that occur once, as a context's and as a word's, then one of each other pair to begin with.
+    single = of(ROOMS).select(F.col("a").alias("key"), F.col("n").alias("r"), F.lit(0).alias("w")).union(of(WORDS).select(F.col("b").alias("key"), F.lit(0).alias("r"), F.col("n").alias("w")))
+    zero = F.lit(0).cast("long")
+    types = known.join(single.groupBy("key").agg(F.sum("r").alias("room_once"), F.sum("w").alias("word_once")), "key", "left")
+    types = types.withColumns({k: F.coalesce(k, zero) for k in ("room_once", "word_once")})
+
+    def counted_again(types: DataFrame, drawn: DataFrame) -> DataFrame:
+        """``types`` with tables, of its context, and served, customers of the parent."""
+        both = drawn.select(F.explode(F.array(F.struct(F.col("context").alias("key"), F.col("t").alias("r"), zero.alias("w")), F.struct(F.col("word").alias("key"), zero.alias("r"), F.col("t").alias("w")))).alias("x")).select("x.*")
+        now = both.groupBy("key").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
+        types = types.drop("tables", "served", "chance").join(now, "key", "left")
+        return types.withColumns({"tables": F.col("room_once") + F.coalesce("r", zero), "served": F.col("word_once") + F.coalesce("w", zero)}).drop("r", "w")
+
+    drawn = pairs.withColumns({"sum": zero, "t": F.lit(1).cast("long")})
+    nothing = F.lit(0.0)
+    types = materialise(counted_again(types, drawn).withColumns({"rooms": zero, "above": nothing}))
+    unseen, old = 0.0, []
     for sweep in range(SWEEPS):
-        given = drawn.select("context", "word", "n", "sum").join(rooms.select("context", "tables"), "context").join(words.select("word", "chance"), "word")
-        drawn = materialise(reseat(given.select("context", "word", "n", "sum", "tables", "chance"), d, sweep))
-        more = lambda key: drawn.groupBy(key).agg(F.sum("t").alias("t"))  # noqa: B023, E731
-        tables = F.col("single") + F.coalesce("t", F.lit(0))
-        rooms = rooms.join(more("context"), "context", "left").withColumn("tables", tables).drop("t")
-        words = words.drop("chance").join(more("word"), "word", "left").withColumn("served", tables).drop("t")
-        words, none_seen = _chances(materialise(words), uniform)
+        types_now, none_seen = _chances(types, uniform)
+        given = drawn.join(types.select(F.col("key").alias("context"), "tables"), "context").join(types_now.select(F.col("key").alias("word"), "chance"), "word")
+        drawn = materialise(reseat(given.select("context", "word", "n", "sum", "t", "tables", "chance"), d, sweep))
+        if sweep > BURN_IN:
+            types_now = types_now.withColumn("above", F.col("above") + F.col("chance"))
+            unseen += none_seen
+        types = counted_again(types_now, drawn)
         if sweep >= BURN_IN:
-            back = (STRENGTH + d * F.col("tables")) / (STRENGTH + F.col("total"))
-            rooms = rooms.withColumn("back", F.concat("back", F.array(back)))
-            words = words.withColumn("above", F.concat("above", F.array("chance")))
-            unseen.append(none_seen)
-        rooms = materialise(rooms)
-    mean = F.col("sum") / F.lit(float(SWEEPS - BURN_IN))
-    once = pairs.filter("n = 1").select("context", "word", "n", F.lit(1.0).alias("mean"))
-    seated = once.union(drawn.select("context", "word", "n", mean.alias("mean")))
-    return {"pairs": seated, "rooms": rooms.select("context", "total", "back"), "words": materialise(words.select("word", "known", "above")), "d": d, "unseen": unseen, "tokens": sums["tokens"], "kinds": sums["words"]}
-
-
-def probabilities(rows: DataFrame, model: dict) -> DataFrame:
-    """``rows`` (context, word, and n and mean of the pair, null for an unseen one) with known, the word's tokens, and p."""
-    found = rows.join(model["rooms"], "context", "left").join(model["words"], "word", "left")
-    kept = F.coalesce((F.col("n") - model["d"] * F.col("mean")) / (STRENGTH + F.col("total")), F.lit(0.0))
-    sweeps = F.lit(float(SWEEPS - BURN_IN))
-    back = F.coalesce("back", F.array(*[F.lit(1.0)] * (SWEEPS - BURN_IN)))
-    above = F.coalesce("above", F.array(*map(F.lit, model["unseen"])))
-    rest = F.aggregate(F.zip_with(back, above, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) / sweeps
-    return found.withColumns({"known": F.coalesce("known", F.lit(0)), "p": kept + rest}).drop("n", "mean", "total", "back", "above")
-
-
-def document_pairs(docs: DataFrame) -> DataFrame:
-    """A row for each document's distinct pairs, how ``many``; the first of a document has rows 1 and its n_tokens."""
-    kind = "doc_id long, rid long, context long, word long, many int, rows int, n_tokens long"
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            types = types.withColumn("rooms", F.col("rooms") + F.col("tables"))
+        types = materialise(types)
+        discard(*old)
+        old = [drawn, types]
+    types, none_seen = _chances(types, uniform)
+    kept = float(SWEEPS - BURN_IN)
+    above = (F.col("above") + F.col("chance")) / kept
+    room = (STRENGTH + d * F.col("rooms") / kept) / (STRENGTH + F.col("known"))
+    types = materialise(types.select("key", "known", room.alias("room"), above.alias("above")))
+    seated = drawn.select("context", "word", "n", (F.col("sum") / kept).alias("mean"))
+    once = of(PAIRS).filter("n = 1").select(F.col("a").alias("context"), F.col("b").alias("word"), "n", F.lit(1.0).alias("mean"))
+    bucket_words = of(WORDS).select(F.col("a").cast("int").alias("bucket"), F.col("b").alias("key"))
+    return {"pairs": seated.union(once), "types": types, "bucket_words": bucket_words, "deal": deal, "d": d, "unseen": (unseen + none_seen) / kept, "tokens": tokens, "kinds": kinds}
+
+
+def probability(n, mean, known, room, above, d: float):
+    """Of a word after a context that has ``known`` tokens, ``n`` of them this word at ``mean`` tables."""
+    return (n - d * mean) / (STRENGTH + known) + room * above
+
+
+def _hot(model: dict) -> dict:
+    """Pairs over HOT of all tokens, sorted by key: their probabilities and the words' tokens; at most 1 / HOT rows."""
+    types = model["types"]
+    hot = model["pairs"].filter(F.col("n") > max(model["tokens"] * HOT, 1.0))
+    hot = hot.join(types.select(F.col("key").alias("context"), F.col("known").alias("total"), "room"), "context").join(types.select(F.col("key").alias("word"), "known", "above"), "word")
+    hot = hot.select("context", "word", "known", probability(F.col("n"), F.col("mean"), F.col("total"), F.col("room"), F.col("above"), model["d"]).alias("p")).toArrow()
+    key = _key(_unsigned(hot["context"]), _unsigned(hot["word"]))
+    order = np.argsort(key)
+    return {"key": key[order], "context": _unsigned(hot["context"])[order], "word": _unsigned(hot["word"])[order], "log": np.log10(hot["p"].to_numpy()[order]), "known": hot["known"].to_numpy()[order]}
+
+
+def _model_rows(model: dict) -> DataFrame:
+    """What the buckets must know, packed: pairs, contexts (frequent ones are sent to all tasks) and words."""
+    deal = model["deal"]
+    sent = model["types"].sparkSession.sparkContext.broadcast(deal)
+
+    def rows(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.append(_runs(bucket[order]), len(order)) if len(order) else np.zeros(1, np.int64)
+        return _rows([(int(bucket[order[a]]), kind, pack(*(c[order[a:b]].tobytes() for c in columns))) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, 10 * OUT_ROWS):
+            context, word = _unsigned(batch["context"]), _unsigned(batch["word"])
+            order = np.lexsort((word, context))
+            context, word = context[order], word[order]
+            yield rows(PAIRS, sent.value(context, word), context, word, batch["n"].to_numpy()[order], batch["mean"].to_numpy()[order].astype(np.float32))
+
+    def rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, 10 * OUT_ROWS):
+            key = _unsigned(batch["key"])
+            some = np.flatnonzero(~sent.value.often(key))
+            some = some[np.argsort(key[some])]
+            yield rows(ROOMS, sent.value(key[some]), key[some], batch["known"].to_numpy()[some], batch["room"].to_numpy()[some])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, 10 * OUT_ROWS):
+            key = _unsigned(batch["key"])
+            order = np.argsort(key)
+            bucket = batch["bucket"].to_numpy()[order]
+            yield rows(WORDS, bucket, key[order], batch["known"].to_numpy()[order], batch["above"].to_numpy()[order])
+
+    types = model["types"]
+    wanted = model["bucket_words"].join(types.select("key", "known", "above"), "key")
+    return model["pairs"].mapInArrow(pairs, _ROW).union(types.select("key", "known", "room").mapInArrow(rooms, _ROW)).union(wanted.mapInArrow(words, _ROW))
+
+
+class Known:
+    """What a bucket knows, as sorted arrays."""
+
+    def __init__(self, frequent: tuple[np.ndarray, ...]):
+        self.held: dict[int, list[list[np.ndarray]]] = {PAIRS: [], ROOMS: [list(frequent)], WORDS: []}
+        self.ready = False
+
+    def add(self, kind: int, payload: bytes) -> None:
+        kinds = {PAIRS: (np.uint64, np.uint64, np.int64, np.float32), ROOMS: (np.uint64, np.int64, np.float64), WORDS: (np.uint64, np.int64, np.float64)}[kind]
+        self.held[kind].append([np.frombuffer(x, k) for x, k in zip(unpack(payload, len(kinds)), kinds, strict=True)])
+
+    def settle(self) -> None:
+        if not self.ready:
+            got = {k: [np.concatenate(x) for x in zip(*v, strict=True)] if v else [np.zeros(0, np.uint64)] * 4 for k, v in self.held.items()}
+            self.held.clear()
+            context, word, n, mean = got[PAIRS]
+            self.pairs = self._sorted(_key(context, word), context, word, n, mean)
+            self.rooms, self.words = self._sorted(*got[ROOMS][:3]), self._sorted(*got[WORDS][:3])
+            self.ready = True
+
+    @staticmethod
+    def _sorted(*columns: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(columns[0])
+        return [c[order] for c in columns]
+
+    def scores(self, rooms: np.ndarray, size: np.ndarray, word: np.ndarray, d: float, unseen: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability of each pair if it occurs in training rows, if not, and the word's tokens there."""
+        self.settle()
+        at, there = _found(self.rooms[0], rooms)
+        total = np.repeat(np.where(there, self.rooms[1][at] if len(self.rooms[0]) else 0, 0), size)
+        room = np.repeat(np.where(there, self.rooms[2][at] if len(self.rooms[0]) else 1.0, 1.0), size)
+        distinct, back = np.unique(word, return_inverse=True)
+        at, there = _found(self.words[0], distinct)
+        known = np.where(there, self.words[1][at] if len(self.words[0]) else 0, 0)[back]
+        above = np.where(there, self.words[2][at] if len(self.words[0]) else unseen, unseen)[back]
+        context = np.repeat(rooms, size)
+        key, has, theirs, n, mean = self.pairs
+        at, there = _found(key, _key(context, word))
+        if len(key):
+            there &= (has[at] == context) & (theirs[at] == word)
+            n, mean = np.where(there, n[at], 0), np.where(there, mean[at], 0)
+        else:
+            n = mean = np.zeros(len(word))
+        unknown = probability(n, mean, total, room, above, d)
+        once = np.where(there, unknown, probability(1, 1, total, room, above, d))
+        return np.log10(once), np.log10(unknown), known
+
+
+def _score_rows(docs: DataFrame, model: dict) -> DataFrame:
+    """chunk, kind and payload: TEXTS (ids, folds, tokens and own sums of a chunk's texts) and SUMS of buckets."""
+    spark, deal, d, unseen = docs.sparkSession, model["deal"], model["d"], model["unseen"]
+    frequent = model["types"].join(F.broadcast(spark.createDataFrame(pa.table({"f": _signed(deal.frequent)}))), F.col("key") == F.col("f")).select("key", "known", "room").toArrow()
+    frequent = tuple(x.to_numpy() for x in frequent.columns)
+    frequent = (frequent[0].view(np.uint64), *frequent[1:])
+    sent = spark.sparkContext.broadcast((deal, frequent, _hot(model)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal, _, hot = sent.value
+        part, seq = TaskContext.get().partitionId(), 0
+        for ids, train, context, word, row in _held(batches):
+            chunk = (part << 32) + seq
+            seq += 1
+            tokens = np.bincount(row, minlength=len(train))
+            at, there = _found(hot["key"], _key(context, word))
+            if len(hot["key"]):
+                there &= (hot["context"][at] == context) & (hot["word"][at] == word)
+            at, whose = at[there], row[there]
+            score = np.bincount(whose, hot["log"][at], minlength=len(train))
+            known = np.bincount(whose, minlength=len(train))
+            base = np.bincount(whose, np.log10(hot["known"][at] + 1), minlength=len(train))
+            missing = ids.is_null().to_numpy(zero_copy_only=False)
+            named = ids.fill_null(0).to_numpy()
+            own = pack(*(np.ascontiguousarray(x).tobytes() for x in (named, missing, train, tokens, known.astype(np.int64), base, score)))
+            out = [(chunk % deal.buckets, TEXTS, np.int64(chunk).tobytes() + b"\x01" + own)]
+            context, word, row = context[~there], word[~there], row[~there].astype(np.int32)
+            bucket = deal(context, word)
+            order = np.lexsort((row, word, context, bucket))
+            bucket, context, word, row = bucket[order], context[order], word[order], row[order]
+            entry = _runs(bucket, context, word, row)  # a text that holds the pair, so many times
+            many = np.diff(np.append(entry, len(row))).astype(np.int32)
+            bucket, context, word, row = bucket[entry], context[entry], word[entry], row[entry]
+            first = _runs(bucket, context, word)
+            refs = (np.append(first, len(row)), [row * 2 + train[row], many])
+            head = np.int64(chunk).tobytes() + b"\x00"
+            out += [(k, TEXTS, head + p) for k, p in _packed(bucket[first], context[first], word[first], [], refs)]
+            for i in range(0, len(out), 64):
+                yield _rows(out[i : i + 64])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, None
         for batch in batches:
-            texts, ids, rids = _texts(batch), batch["doc_id"], batch["rid"]
-            for a, b in chunks([len(t) for t in texts]):
-                tokens = Tokens(texts[a:b])
-                order = np.lexsort((_key(tokens.context, tokens.hash), tokens.text))
-                text, context, word = tokens.text[order], tokens.context[order], tokens.hash[order]
-                same = (text[1:] == text[:-1]) & (context[1:] == context[:-1]) & (word[1:] == word[:-1])
-                first = np.flatnonzero(np.concatenate(([True], ~same)))
-                many, text = np.diff(np.append(first, len(order))), text[first]
-                one = np.diff(text, prepend=-1) != 0
-                size = np.where(one, np.bincount(tokens.text, minlength=b - a)[text], 0)
-                whose = pa.array(text + a)
-                out = [ids.take(whose), rids.take(whose), _signed(context[first]), _signed(word[first]), pa.array(many, pa.int32()), pa.array(one.astype(np.int32)), pa.array(size)]
-                yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in kind.split(", ")])
-
-    return docs.withColumn("rid", F.xxhash64("text")).mapInArrow(parts, kind)
+            out = []
+            for k, kind, payload in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "payload")), strict=True):
+                if k != now:
+                    now, known = k, Known(sent.value[1])
+                if kind != TEXTS:
+                    known.add(kind, payload)
+                    continue
+                chunk, own = int(np.frombuffer(payload[:8], np.int64)[0]), payload[8:9] == b"\x01"
+                if own:
+                    out.append((chunk, TEXTS, payload[9:]))
+                    continue
+                rooms, size, word, refs, row, many = _pairs_of(payload[9:], [np.int32, np.int32, np.int32])
+                once, unknown, tokens = known.scores(rooms, size, word, d, unseen)
+                pair = np.repeat(np.arange(len(word)), refs)
+                log = np.where(row & 1, once[pair], unknown[pair]) * many
+                base, seen = (np.log10(tokens + 1)[pair] * many), np.where(tokens > 0, 1, 0)[pair] * many
+                some, at = np.unique(row >> 1, return_inverse=True)
+                sums = [np.bincount(at, x, minlength=len(some)) for x in (seen, base, log)]
+                out.append((chunk, SUMS, pack(some.astype(np.int32).tobytes(), sums[0].astype(np.int32).tobytes(), sums[1].tobytes(), sums[2].tobytes())))
+            if out:
+                yield _rows(out, ("chunk", "kind", "payload"))
+
+    every = _model_rows(model).union(docs.mapInArrow(send, _ROW))
+    dealt = every.repartitionById(deal.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(look_up, "chunk long, kind int, payload binary")
+
+
+def _summed(rows: DataFrame, model: dict, parts: int) -> DataFrame:
+    """The scores of every text, from the sums of its chunk."""
+    tokens, kinds = model["tokens"], model["kinds"]
+    least = np.log10(tokens + kinds + 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def result() -> pa.RecordBatch:
+            ids, missing, train, n, known, base, score = held
+            folds = [pa.array(ids, mask=missing), pa.array(~train), pa.array(n), pa.array(known), pa.array(base - n * least), pa.array(score)]
+            return pa.RecordBatch.from_arrays(folds, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+        for batch in batches:
+            for chunk, kind, payload in zip(*(batch[c].to_pylist() for c in ("chunk", "kind", "payload")), strict=True):
+                if chunk != now:
+                    if held:
+                        yield result()
+                    now = chunk
+                if kind == TEXTS:
+                    kinds = (np.int64, bool, bool, np.int64, np.int64, np.float64, np.float64)
+                    held = [np.frombuffer(x, k).copy() for x, k in zip(unpack(payload, 7), kinds, strict=True)]
+                else:
+                    some, *sums = (np.frombuffer(x, k) for x, k in zip(unpack(payload, 4), (np.int32, np.int32, np.float64, np.float64), strict=True))
+                    for total, x in zip(held[4:], sums, strict=True):
+                        total[some] += x
+        if held:
+            yield result()
+
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    dealt = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+    return dealt.mapInArrow(add, kind)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    out = held_out(F.col("doc_id"))
-    model = fit(own.filter(~out))
-    # All pairs of the training rows are in the model, so their probabilities are joined to the pairs and not to the tokens.
-    seen = document_pairs(own.filter(~out)).join(probabilities(model["pairs"], model), ["context", "word"])
-    new = probabilities(document_pairs(own.filter(out)).join(model["pairs"], ["context", "word"], "left"), model)
-    return _summed(seen.unionByName(new), model)
-
-
-def _summed(rows: DataFrame, model: dict) -> DataFrame:
-    """Sums for each document over its distinct pairs."""
-    tokens, words = model["tokens"], model["kinds"]
-    many = F.col("many")
-    base = many * F.log10((F.col("known") + 1) / F.lit(float(tokens + words + 1)))
-    seen = F.when(F.col("known") > 0, many).otherwise(0)
-    sums = rows.groupBy("doc_id", "rid").agg(F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(seen).alias("n_known"), F.sum(base).alias("base_score"), F.sum(many * F.log10("p")).alias("score"))
-    sums = sums.withColumn("copy", F.explode(F.expr("array_repeat(1, int(rows))")))
-    return sums.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.expr("n_tokens div rows").alias("n_tokens"),
-        F.expr("n_known div rows").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") / F.col("rows")).alias("base_score"),
-        (F.col("score") / F.col("rows")).alias("score"),
-    )
+    own = own.withColumn("train", ~held_out(F.col("doc_id")))
+    return predict(own, fit(own))
+
+
+def predict(own: DataFrame, model: dict) -> DataFrame:
+    """Scores of ``own``, the rows that the model was fitted on (doc_id, text, train)."""
+    out = _summed(materialise(_score_rows(own, model)), model, model["deal"].buckets)
+    return out.withColumn("train_tokens", F.lit(model["tokens"]).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, encoded, materialise, mix, partitions_for, prepare, span_hashes, with_row
+from .common import Words, chunks, encoded, materialise, mix, pack, partitions_for, prepare, span_hashes, unpack, with_row
 
 WINDOW = 13
 GRAM = 3
@@ -60,19 +59,6 @@ def super_kmers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     return valid[new], np.diff(np.append(new, len(valid))), order[least[new]]
 
 
-def _pack(*parts: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts))
-
-
-def _unpack(packed: bytes, n: int) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    sizes, at, out = np.frombuffer(raw, np.int64, n), 8 * n, []
-    for size in sizes:
-        out.append(raw[at : at + size])
-        at += size
-    return out
-
-
 class _Held:
     """Packed strings of one task until they are sent: each distinct string once, its places beside it."""
 
@@ -107,7 +93,7 @@ class _Held:
             own, at = np.unique(uid[rows], return_inverse=True)
             back = np.argsort(rows)  # in the order of the documents: long runs of equal ids
             rows, at = rows[back], at[back]
-            blobs.append(_pack(b"\n".join([strings[i] for i in own]), least[own].tobytes(), at.astype(np.int32).tobytes(), doc[rows].tobytes(), rid[rows].tobytes(), pos[rows].astype(np.int32).tobytes()))
+            blobs.append(pack(b"\n".join([strings[i] for i in own]), least[own].tobytes(), at.astype(np.int32).tobytes(), doc[rows].tobytes(), rid[rows].tobytes(), pos[rows].astype(np.int32).tobytes()))
             keys.append(int(bucket[rows[0]]))
         self.__init__()
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "payload"])
@@ -133,7 +119,7 @@ def _repeats(payloads: list[bytes], window: int) -> Iterator[tuple[np.ndarray, .
     """doc, rid, start and end (words) of what goes, from all packed strings of a bucket."""
     parts, hashes, docs = [], [], []
     for packed in payloads:
-        strings, least, at, doc, rid, pos = _unpack(packed, 6)
+        strings, least, at, doc, rid, pos = unpack(packed, 6)
         words = Words(strings.split(b"\n"))
         n = len(words.starts)
         valid = np.flatnonzero(words.text[: n - window + 1] == words.text[window - 1 :]).astype(np.int32)
