@@ -133,6 +133,16 @@ def unpack(packed: bytes, n: int) -> list[bytes]:
     return out
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of whole numbers, first bytes first: those that are mostly alike lie together and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    k = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(k, -1).T).view(kind).ravel()
+
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

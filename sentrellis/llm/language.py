@@ -30,20 +30,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, discard, encoded, materialise, mix, pack, partitions_for, prepare, unpack
+from .common import Words, chunks, discard, encoded, from_planes, materialise, mix, pack, partitions_for, planes, prepare, unpack
 from .seating import Seating
 
 SWEEPS, BURN_IN = 4, 1
 STRENGTH = 1.0
 FOLDS, FOLD = 7, 2
 #: Share of all tokens from which a pair is looked up in a broadcast table; bounds their number to its inverse.
-HOT = 2.0**-16
+HOT = 2.0**-17
 #: Draws of the parent for each number of customers in each sweep.
 CHAINS = 8
 #: Tokens that a task packs at a time, and rows of a batch that it gives back.
-HELD_TOKENS, OUT_ROWS = 2_000_000, 100_000
+HELD_TOKENS, OUT_ROWS = 3_000_000, 100_000
 #: Distinct numbers of customers up to which their table, 16 bytes a row, is broadcast.
 BROADCAST_COUNTS = 1_000_000
+#: Words whose tables change from sweep to sweep, up to which these, 24 bytes each, are broadcast and not joined.
+BROADCAST_TYPES = 1 << 20
 #: The hash of the token that ends a text.
 END = np.uint64(0x5E17A1B0C3D2E4F7)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +148,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """key (a word's hash) and known, its tokens in training rows; summed by each task before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, train, _, word, row in _held(batches, 2 * HELD_TOKENS):
+        for _, train, _, word, row in _held(batches, HELD_TOKENS):
             key, n = np.unique(word[train[row]], return_counts=True)
             for i in range(0, len(key), OUT_ROWS):
                 yield pa.RecordBatch.from_arrays([_signed(key[i : i + OUT_ROWS]), pa.array(n[i : i + OUT_ROWS])], ["key", "known"])
@@ -154,26 +156,52 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "key long, known long").groupBy("key").agg(F.sum("known").alias("known"))
 
 
-def _packed(bucket: np.ndarray, context: np.ndarray, word: np.ndarray, rest: list[np.ndarray], refs: tuple[np.ndarray, list[np.ndarray]] | None = None) -> Iterator[tuple[int, bytes]]:
-    """(bucket, payload) of pairs sorted by bucket, context and word; ``refs``: first of each pair, and its entries."""
-    cuts = np.append(_runs(bucket), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        first = np.append(_runs(context[a:b]), b - a)
-        step = np.diff(word[a:b], prepend=np.uint64(0))  # small steps compress; where a context begins they wrap around
-        parts = [context[a:b][first[:-1]], np.diff(first).astype(np.int32), step, *(x[a:b] for x in rest)]
-        if refs:
-            begin, entries = refs
-            x, y = begin[a], begin[b]
-            parts += [np.diff(begin[a : b + 1]).astype(np.int32), *(e[x:y] for e in entries)]
-        yield int(bucket[a]), pack(*(p.tobytes() for p in parts))
+class Coded:
+    """Tokens of a chunk by their places in its sorted vocabulary, and its distinct pairs, sorted."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, row: np.ndarray, some: np.ndarray | slice = slice(None)):
+        self.vocabulary, both = np.unique(np.concatenate((word, context[:1])), return_inverse=True)
+        places = both.astype(np.int64)
+        before = np.concatenate((places[-1:], places[:-2]))  # a context is the token before; the first one's is the end
+        many, rows = len(self.vocabulary), int(row.max()) + 1
+        code = ((before * many + places[:-1]) * rows + row)[some]
+        if many * many * rows >= 1 << 62:
+            raise ValueError("too many words for one chunk")
+        code.sort()
+        entry = _runs(code)
+        self.many = np.diff(np.append(entry, len(code))).astype(np.int32)
+        code, row = np.divmod(code[entry], rows)
+        self.row = row.astype(np.int32)
+        self.first = _runs(code)
+        code = code[self.first]
+        self.context, self.word = (x.astype(np.int32) for x in np.divmod(code, many))
+
+    def by_bucket(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket and its pairs."""
+        order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
+        cuts = np.append(_runs(bucket[order]), len(order)) if len(order) else np.zeros(1, np.int64)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield int(bucket[order[a]]), order[a:b]
+
+    def packed(self, pairs: np.ndarray) -> list[bytes]:
+        """Contexts, pairs of each, words, and the place of each pair's word."""
+        context = self.context[pairs]
+        first = np.append(_runs(context), len(pairs))
+        words, at = np.unique(self.word[pairs], return_inverse=True)
+        return [_steps(self.vocabulary[context[first[:-1]]]), planes(np.diff(first).astype(np.int32)), _steps(self.vocabulary[words]), planes(at.astype(np.int32))]
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys by the steps between them."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _pairs_of(packed: bytes, kinds: list[type]) -> list[np.ndarray]:
-    """Contexts, pairs of each, words, then the other arrays of a payload."""
-    parts = unpack(packed, 3 + len(kinds))
-    out = [np.frombuffer(p, k) for p, k in zip(parts, (np.uint64, np.int32, np.uint64, *kinds), strict=True)]
-    out[2] = np.cumsum(out[2], dtype=np.uint64)
-    return out
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
+
+
+def _pairs_of(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    return _from_steps(parts[0]), from_planes(parts[1], np.int32), _from_steps(parts[2]), from_planes(parts[3], np.int32)
 
 
 _ROW = "bucket int, kind int, payload binary"
@@ -184,7 +212,7 @@ def _rows(found: list[tuple[int, int, bytes]], names: tuple[str, ...] = ("bucket
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64() if names[0] == "chunk" else pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], list(names))
 
 
-def count_pairs(docs: DataFrame, deal: Dealer, sizes: tuple[int, ...]) -> DataFrame:
+def count_pairs(docs: DataFrame, deal: Dealer) -> DataFrame:
     """Rows of what the buckets count, by kind.
 
     PAIRS: a context, b word, n tokens in training rows, of those with n > 1 or in both kinds of rows; ROOMS: a context
@@ -194,13 +222,12 @@ def count_pairs(docs: DataFrame, deal: Dealer, sizes: tuple[int, ...]) -> DataFr
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, train, context, word, row in _held(batches):
-            bucket = sent.value(context, word)
-            order = np.lexsort((word, context, bucket))
-            bucket, context, word, learns = bucket[order], context[order], word[order], train[row[order]]
-            first = _runs(bucket, context, word)
-            n = np.add.reduceat(learns, first, dtype=np.int32)
-            other = np.add.reduceat(~learns, first, dtype=np.int32) > 0
-            yield _rows([(k, PAIRS, p) for k, p in _packed(bucket[first], context[first], word[first], [n, other])])
+            pairs = Coded(context, word, row)
+            learns = train[pairs.row]
+            n = np.add.reduceat(np.where(learns, pairs.many, 0), pairs.first, dtype=np.int64).astype(np.int32)
+            other = np.logical_or.reduceat(~learns, pairs.first)
+            bucket = sent.value(pairs.vocabulary[pairs.context], pairs.vocabulary[pairs.word])
+            yield _rows([(k, PAIRS, pack(*pairs.packed(of), planes(n[of]), other[of].tobytes())) for k, of in pairs.by_bucket(bucket)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[int, list[bytes]] = {}
@@ -210,16 +237,19 @@ def count_pairs(docs: DataFrame, deal: Dealer, sizes: tuple[int, ...]) -> DataFr
         for k, payloads in of.items():
             got = []
             for payload in payloads:
-                room, size, word, n, other = _pairs_of(payload, [np.int32, bool])
-                got.append((np.repeat(room, size), word, n, other))
+                parts = unpack(payload, 6)
+                got.append((*_pairs_of(parts), from_planes(parts[4], np.int32), np.frombuffer(parts[5], bool)))
             payloads.clear()
-            context, word, n, other = (np.concatenate(x) for x in zip(*got, strict=True))
+            keys = np.unique(np.concatenate([x for g in got for x in (g[0], g[2])]))
+            code = [np.repeat(np.searchsorted(keys, room) * len(keys), size) + np.searchsorted(keys, words)[at] for room, size, words, at, _, _ in got]
+            code, n, other = np.concatenate(code), np.concatenate([g[4] for g in got]), np.concatenate([g[5] for g in got])
             del got
-            order = np.lexsort((word, context))
-            context, word, n, other = context[order], word[order], n[order], other[order]
-            first = _runs(context, word)
-            context, word = context[first], word[first]
+            order = np.argsort(code)
+            code, n, other = code[order], n[order], other[order]
+            first = _runs(code)
+            context, word = (keys[x] for x in np.divmod(code[first], len(keys)))
             n, other = np.add.reduceat(n, first, dtype=np.int64), np.logical_or.reduceat(other, first)
+            del code, order
             once, kept = n == 1, np.flatnonzero((n > 1) | (n == 1) & other)
             rooms = _runs(context)
             single = np.add.reduceat(once, rooms, dtype=np.int64)
@@ -268,16 +298,34 @@ def refine(count: np.ndarray, words: np.ndarray, uniform: float, sweeps: int = 4
     return kept, rest
 
 
-def _chances(types: DataFrame, uniform: float) -> tuple[DataFrame, float]:
-    """``types`` with chance, the parent's probability by a word's ``served`` customers, and that of an unseen word."""
-    classes = types.groupBy("served").agg(F.count("*").alias("words")).toArrow()
-    order = np.argsort(classes["served"].to_numpy())
-    count, many = (classes[k].to_numpy()[order].astype(np.float64) for k in ("served", "words"))
-    chance, unseen = refine(count, many, uniform)
-    by_count = types.sparkSession.createDataFrame(pa.table({"c": pa.array(count, pa.int64()), "chance": pa.array(chance, pa.float64())}))
-    if len(count) <= BROADCAST_COUNTS:
+def _classes(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of customers of the parent, and how many words have each."""
+    got = types.groupBy("served").agg(F.count("*").alias("words")).toArrow()
+    return got["served"].to_numpy(), got["words"].to_numpy()
+
+
+class Parent:
+    """The parent's probabilities by the customers of a word, summed over the sweeps that count."""
+
+    def __init__(self, passive: tuple[np.ndarray, np.ndarray], uniform: float):
+        self.passive, self.uniform = passive, uniform
+        self.kept, self.unseen = np.zeros(len(passive[0])), 0.0
+
+    def chances(self, active: tuple[np.ndarray, np.ndarray], counts: bool) -> tuple[np.ndarray, np.ndarray]:
+        customers, at = np.unique(np.concatenate((self.passive[0], active[0])), return_inverse=True)
+        words = np.bincount(at, np.concatenate((self.passive[1], active[1])), minlength=len(customers))
+        chance, unseen = refine(customers.astype(np.float64), words, self.uniform)
+        if counts:
+            self.kept += chance[at[: len(self.kept)]]
+            self.unseen += unseen
+        return customers, chance
+
+
+def _by_class(types: DataFrame, customers: np.ndarray, values: np.ndarray, name: str) -> DataFrame:
+    by_count = types.sparkSession.createDataFrame(pa.table({"c": pa.array(customers, pa.int64()), name: pa.array(values, pa.float64())}))
+    if len(customers) <= BROADCAST_COUNTS:
         by_count = F.broadcast(by_count)
-    return types.join(by_count, F.col("served") == F.col("c")).drop("c"), unseen
+    return types.join(by_count, F.col("served") == F.col("c")).drop("c")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
@@ -293,22 +341,55 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int = OUT_ROWS) -> Iterat
         yield pa.concat_batches(held)
 
 
-def reseat(pairs: DataFrame, d: float, sweep: int) -> DataFrame:
-    """context, word, n, sum and t: a draw for rows that have t (the last draw), tables (of the context) and chance."""
+def reseat(pairs: DataFrame, active: DataFrame, d: float, sweep: int, broadcast_types: int) -> DataFrame:
+    """A draw for ``pairs`` (context, word, n, sum and t, the last draw) given ``active`` (key, tables and chance).
+
+    Rows have the same columns; those with t = 0 say that ``context``, as a key, has n tables more, as a word sum.
+    """
+    sent = None
+    if active.count() <= broadcast_types:
+        got = active.toArrow()
+        order = np.argsort(_unsigned(got["key"]))
+        sent = pairs.sparkSession.sparkContext.broadcast((_unsigned(got["key"])[order], got["tables"].to_numpy()[order], got["chance"].to_numpy()[order]))
+    else:
+        pairs = pairs.join(active.select(F.col("key").alias("context"), "tables"), "context").join(active.select(F.col("key").alias("word"), "chance"), "word")
+        pairs = pairs.select("context", "word", "n", "sum", "t", "tables", "chance")
+    names = ["context", "word", "n", "sum", "t"]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seating = Seating(d)
+        seating, held = Seating(d), []
+
+        def more() -> Iterator[pa.RecordBatch]:
+            keys, r, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, at = np.unique(keys, return_inverse=True)
+            r, w = (np.bincount(at, x, minlength=len(key)).astype(np.int64) for x in (r, w))
+            for i in range(0, len(key), OUT_ROWS):
+                j = slice(i, i + OUT_ROWS)
+                zero = pa.array(np.zeros(len(key[j]), np.int64))
+                yield pa.RecordBatch.from_arrays([_signed(key[j]), zero, pa.array(r[j]), pa.array(w[j]), zero], names)
+
         for batch in _gathered(batches):
-            col = lambda k: batch[k].to_numpy(zero_copy_only=False)
-            key = _key(_unsigned(batch["context"]), _unsigned(batch["word"]))
-            t = seating.draw(col("n"), STRENGTH + d * (col("tables") - col("t")), col("chance"), uniforms(key, sweep))
-            total = col("sum") + t if sweep >= BURN_IN else col("sum")
-            yield pa.RecordBatch.from_arrays([batch["context"], batch["word"], batch["n"], pa.array(total), pa.array(t)], ["context", "word", "n", "sum", "t"])
+            context, word = _unsigned(batch["context"]), _unsigned(batch["word"])
+            n, total, t = (batch[k].to_numpy(zero_copy_only=False) for k in ("n", "sum", "t"))
+            if sent:
+                keys, tables, chance = sent.value
+                tables, chance = tables[np.searchsorted(keys, context)], chance[np.searchsorted(keys, word)]
+            else:
+                tables, chance = batch["tables"].to_numpy(), batch["chance"].to_numpy()
+            t = seating.draw(n, STRENGTH + d * (tables - t), chance, uniforms(_key(context, word), sweep))
+            total = total + t if sweep >= BURN_IN else total
+            yield pa.RecordBatch.from_arrays([batch["context"], batch["word"], batch["n"], pa.array(total), pa.array(t)], names)
+            for keys, as_context in ((context, 1), (word, 0)):
+                key, at = np.unique(keys, return_inverse=True)
+                sums = np.bincount(at, t, minlength=len(key))
+                held.append((key, sums * as_context, sums * (1 - as_context)))
+        if held:
+            yield from more()
 
-    return pairs.mapInArrow(draw, "context long, word long, n long, sum long, t long")
+    return pairs.mapInArrow(draw, ", ".join(f"{k} long" for k in names))
 
 
-def fit(docs: DataFrame) -> dict:
+def fit(docs: DataFrame, broadcast_types: int = BROADCAST_TYPES) -> dict:
     """The model of ``docs`` (doc_id, text, train).
 
     ``pairs``: context, word, n and mean (tables) of all pairs that buckets need; ``types``: key, known (tokens), room
@@ -320,50 +401,49 @@ def fit(docs: DataFrame) -> dict:
     buckets = partitions_for(docs)
     often = known.filter(F.col("known") > tokens / (4 * buckets)).select("key").toArrow()["key"]  # fewer than 4 a bucket
     deal = Dealer(buckets, _unsigned(often))
-    counted = materialise(count_pairs(docs, deal, ()))
+    counted = materialise(count_pairs(docs, deal))
     of = lambda kind: counted.filter(F.col("kind") == kind)
     first = dict(of(SUMS).groupBy("a").agg(F.sum("n")).collect())
     d, uniform = discount(np.array([1, 2]), np.array([first.get(1, 0), first.get(2, 0)])), 1 / (kinds + 1)
     pairs = of(PAIRS).filter("n > 1").select(F.col("a").alias("context"), F.col("b").alias("word"), "n")
     # Tables of the pairs that occur once, as a context's and as a word's, then one of each other pair to begin with.
-    single = of(ROOMS).select(F.col("a").alias("key"), F.col("n").alias("r"), F.lit(0).alias("w")).union(of(WORDS).select(F.col("b").alias("key"), F.lit(0).alias("r"), F.col("n").alias("w")))
     zero = F.lit(0).cast("long")
-    types = known.join(single.groupBy("key").agg(F.sum("r").alias("room_once"), F.sum("w").alias("word_once")), "key", "left")
+    single = of(ROOMS).select(F.col("a").alias("key"), F.col("n").alias("r"), zero.alias("w")).union(of(WORDS).filter("n > 0").select(F.col("b").alias("key"), zero.alias("r"), F.col("n").alias("w")))
+    others = pairs.select(F.col("context").alias("key"), F.lit(1).alias("r"), F.lit(0).alias("w")).union(pairs.select(F.col("word"), F.lit(0), F.lit(1)))
+    others = others.groupBy("key").agg(F.sum("r").alias("tables"), F.sum("w").alias("served"))
+    types = known.join(single.groupBy("key").agg(F.sum("r").alias("room_once"), F.sum("w").alias("word_once")), "key", "left").join(others, "key", "left")
     types = types.withColumns({k: F.coalesce(k, zero) for k in ("room_once", "word_once")})
-
-    def counted_again(types: DataFrame, drawn: DataFrame) -> DataFrame:
-        """``types`` with tables, of its context, and served, customers of the parent."""
-        both = drawn.select(F.explode(F.array(F.struct(F.col("context").alias("key"), F.col("t").alias("r"), zero.alias("w")), F.struct(F.col("word").alias("key"), zero.alias("r"), F.col("t").alias("w")))).alias("x")).select("x.*")
-        now = both.groupBy("key").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
-        types = types.drop("tables", "served", "chance").join(now, "key", "left")
-        return types.withColumns({"tables": F.col("room_once") + F.coalesce("r", zero), "served": F.col("word_once") + F.coalesce("w", zero)}).drop("r", "w")
-
-    drawn = pairs.withColumns({"sum": zero, "t": F.lit(1).cast("long")})
-    nothing = F.lit(0.0)
-    types = materialise(counted_again(types, drawn).withColumns({"rooms": zero, "above": nothing}))
-    unseen, old = 0.0, []
-    for sweep in range(SWEEPS):
-        types_now, none_seen = _chances(types, uniform)
-        given = drawn.join(types.select(F.col("key").alias("context"), "tables"), "context").join(types_now.select(F.col("key").alias("word"), "chance"), "word")
-        drawn = materialise(reseat(given.select("context", "word", "n", "sum", "t", "tables", "chance"), d, sweep))
-        if sweep > BURN_IN:
-            types_now = types_now.withColumn("above", F.col("above") + F.col("chance"))
-            unseen += none_seen
-        types = counted_again(types_now, drawn)
-        if sweep >= BURN_IN:
-            types = types.withColumn("rooms", F.col("rooms") + F.col("tables"))
-        types = materialise(types)
+    types = materialise(types.withColumns({"tables": F.col("room_once") + F.col("tables"), "served": F.col("word_once") + F.col("served")}))
+    discard(known)
+    # Words and contexts whose pairs all occur once, most of them, stay as they are.
+    passive = types.filter("tables is null").select("key", "known", F.col("room_once").alias("tables"), F.col("word_once").alias("served"))
+    active = types.filter("tables is not null").withColumns({"rooms": F.lit(0.0), "above": F.lit(0.0)})
+    parent = Parent(_classes(passive), uniform)
+    drawn, old = pairs.withColumns({"sum": zero, "t": F.lit(1).cast("long")}), []
+    for sweep in range(SWEEPS + 1):
+        counts = sweep > BURN_IN
+        active = _by_class(active, *parent.chances(_classes(active), counts), "chance")
+        if counts:
+            active = active.withColumns({"above": F.col("above") + F.col("chance"), "rooms": F.col("rooms") + F.col("tables")})
+        if sweep == SWEEPS:
+            break
+        written = materialise(reseat(drawn, active.select("key", "tables", "chance"), d, sweep, broadcast_types))
+        drawn = written.filter("t > 0")
+        more = written.filter("t = 0").groupBy(F.col("context").alias("key")).agg(F.sum("n").alias("r"), F.sum("sum").alias("w"))
+        active = active.drop("tables", "served", "chance").join(more, "key")
+        active = materialise(active.withColumns({"tables": F.col("room_once") + F.col("r"), "served": F.col("word_once") + F.col("w")}).drop("r", "w"))
         discard(*old)
-        old = [drawn, types]
-    types, none_seen = _chances(types, uniform)
+        old = [written, active]
     kept = float(SWEEPS - BURN_IN)
-    above = (F.col("above") + F.col("chance")) / kept
+    passive = _by_class(passive.withColumn("rooms", F.col("tables") * kept), parent.passive[0], parent.kept, "above")
     room = (STRENGTH + d * F.col("rooms") / kept) / (STRENGTH + F.col("known"))
-    types = materialise(types.select("key", "known", room.alias("room"), above.alias("above")))
+    every = active.select("key", "known", "rooms", "above").union(passive.select("key", "known", "rooms", "above"))
+    every = materialise(every.select("key", "known", room.alias("room"), (F.col("above") / kept).alias("above")))
+    discard(types, *old[1:])
     seated = drawn.select("context", "word", "n", (F.col("sum") / kept).alias("mean"))
     once = of(PAIRS).filter("n = 1").select(F.col("a").alias("context"), F.col("b").alias("word"), "n", F.lit(1.0).alias("mean"))
     bucket_words = of(WORDS).select(F.col("a").cast("int").alias("bucket"), F.col("b").alias("key"))
-    return {"pairs": seated.union(once), "types": types, "bucket_words": bucket_words, "deal": deal, "d": d, "unseen": (unseen + none_seen) / kept, "tokens": tokens, "kinds": kinds}
+    return {"pairs": seated.union(once), "types": every, "bucket_words": bucket_words, "deal": deal, "d": d, "unseen": parent.unseen / kept, "tokens": tokens, "kinds": kinds}
 
 
 def probability(n, mean, known, room, above, d: float):
@@ -382,6 +462,19 @@ def _hot(model: dict) -> dict:
     return {"key": key[order], "context": _unsigned(hot["context"])[order], "word": _unsigned(hot["word"])[order], "log": np.log10(hot["p"].to_numpy()[order]), "known": hot["known"].to_numpy()[order]}
 
 
+def _column(x: np.ndarray) -> list[bytes]:
+    """Keys by the steps between them; numbers, of which many are equal, by their places among the distinct ones."""
+    if x.dtype == np.uint64:
+        return [_steps(x)]
+    values, at = np.unique(x, return_inverse=True)
+    return [values.tobytes(), planes(at.astype(np.int32))]
+
+
+def _columns(payload: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    parts = iter(unpack(payload, sum(1 + (k is not np.uint64) for k in kinds)))
+    return [_from_steps(next(parts)) if k is np.uint64 else np.frombuffer(next(parts), k)[from_planes(next(parts), np.int32)] for k in kinds]
+
+
 def _model_rows(model: dict) -> DataFrame:
     """What the buckets must know, packed: pairs, contexts (frequent ones are sent to all tasks) and words."""
     deal = model["deal"]
@@ -390,7 +483,7 @@ def _model_rows(model: dict) -> DataFrame:
     def rows(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
         cuts = np.append(_runs(bucket[order]), len(order)) if len(order) else np.zeros(1, np.int64)
-        return _rows([(int(bucket[order[a]]), kind, pack(*(c[order[a:b]].tobytes() for c in columns))) for a, b in zip(cuts, cuts[1:], strict=False)])
+        return _rows([(int(bucket[order[a]]), kind, pack(*(x for c in columns for x in _column(c[order[a:b]])))) for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches, 10 * OUT_ROWS):
@@ -427,7 +520,7 @@ class Known:
 
     def add(self, kind: int, payload: bytes) -> None:
         kinds = {PAIRS: (np.uint64, np.uint64, np.int64, np.float32), ROOMS: (np.uint64, np.int64, np.float64), WORDS: (np.uint64, np.int64, np.float64)}[kind]
-        self.held[kind].append([np.frombuffer(x, k) for x, k in zip(unpack(payload, len(kinds)), kinds, strict=True)])
+        self.held[kind].append(_columns(payload, kinds))
 
     def settle(self) -> None:
         if not self.ready:
@@ -443,17 +536,16 @@ class Known:
         order = np.argsort(columns[0])
         return [c[order] for c in columns]
 
-    def scores(self, rooms: np.ndarray, size: np.ndarray, word: np.ndarray, d: float, unseen: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log probability of each pair if it occurs in training rows, if not, and the word's tokens there."""
+    def scores(self, rooms: np.ndarray, size: np.ndarray, words: np.ndarray, place: np.ndarray, d: float, unseen: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability of each pair if it occurs in training rows, if not, and its word's tokens there."""
         self.settle()
         at, there = _found(self.rooms[0], rooms)
         total = np.repeat(np.where(there, self.rooms[1][at] if len(self.rooms[0]) else 0, 0), size)
         room = np.repeat(np.where(there, self.rooms[2][at] if len(self.rooms[0]) else 1.0, 1.0), size)
-        distinct, back = np.unique(word, return_inverse=True)
-        at, there = _found(self.words[0], distinct)
-        known = np.where(there, self.words[1][at] if len(self.words[0]) else 0, 0)[back]
-        above = np.where(there, self.words[2][at] if len(self.words[0]) else unseen, unseen)[back]
-        context = np.repeat(rooms, size)
+        at, there = _found(self.words[0], words)
+        known = np.where(there, self.words[1][at] if len(self.words[0]) else 0, 0)[place]
+        above = np.where(there, self.words[2][at] if len(self.words[0]) else unseen, unseen)[place]
+        context, word = np.repeat(rooms, size), words[place]
         key, has, theirs, n, mean = self.pairs
         at, there = _found(key, _key(context, word))
         if len(key):
@@ -492,17 +584,15 @@ def _score_rows(docs: DataFrame, model: dict) -> DataFrame:
             named = ids.fill_null(0).to_numpy()
             own = pack(*(np.ascontiguousarray(x).tobytes() for x in (named, missing, train, tokens, known.astype(np.int64), base, score)))
             out = [(chunk % deal.buckets, TEXTS, np.int64(chunk).tobytes() + b"\x01" + own)]
-            context, word, row = context[~there], word[~there], row[~there].astype(np.int32)
-            bucket = deal(context, word)
-            order = np.lexsort((row, word, context, bucket))
-            bucket, context, word, row = bucket[order], context[order], word[order], row[order]
-            entry = _runs(bucket, context, word, row)  # a text that holds the pair, so many times
-            many = np.diff(np.append(entry, len(row))).astype(np.int32)
-            bucket, context, word, row = bucket[entry], context[entry], word[entry], row[entry]
-            first = _runs(bucket, context, word)
-            refs = (np.append(first, len(row)), [row * 2 + train[row], many])
-            head = np.int64(chunk).tobytes() + b"\x00"
-            out += [(k, TEXTS, head + p) for k, p in _packed(bucket[first], context[first], word[first], [], refs)]
+            if not there.all():
+                pairs = Coded(context, word, row, ~there)
+                head = np.int64(chunk).tobytes() + b"\x00"
+                refs = np.diff(np.append(pairs.first, len(pairs.row))).astype(np.int32)
+                entry = pairs.row * 2 + train[pairs.row]  # a text that holds the pair, and if it is learned from
+                bucket = deal(pairs.vocabulary[pairs.context], pairs.vocabulary[pairs.word])
+                for k, of in pairs.by_bucket(bucket):
+                    mine = np.repeat(pairs.first[of] - np.cumsum(refs[of]) + refs[of], refs[of]) + np.arange(refs[of].sum())
+                    out.append((k, TEXTS, head + pack(*pairs.packed(of), *(planes(x) for x in (refs[of], entry[mine].astype(np.int32), pairs.many[mine])))))
             for i in range(0, len(out), 64):
                 yield _rows(out[i : i + 64])
 
@@ -520,9 +610,10 @@ def _score_rows(docs: DataFrame, model: dict) -> DataFrame:
                 if own:
                     out.append((chunk, TEXTS, payload[9:]))
                     continue
-                rooms, size, word, refs, row, many = _pairs_of(payload[9:], [np.int32, np.int32, np.int32])
-                once, unknown, tokens = known.scores(rooms, size, word, d, unseen)
-                pair = np.repeat(np.arange(len(word)), refs)
+                parts = unpack(payload[9:], 7)
+                refs, row, many = (from_planes(x, np.int32) for x in parts[4:])
+                once, unknown, tokens = known.scores(*_pairs_of(parts), d, unseen)
+                pair = np.repeat(np.arange(len(refs)), refs)
                 log = np.where(row & 1, once[pair], unknown[pair]) * many
                 base, seen = (np.log10(tokens + 1)[pair] * many), np.where(tokens > 0, 1, 0)[pair] * many
                 some, at = np.unique(row >> 1, return_inverse=True)

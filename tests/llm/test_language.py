@@ -106,6 +106,15 @@ def test_scores_are_plain_sums(fitted, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_sweeps_alike_without_a_broadcast(fitted):
+    _, docs, model = fitted
+    other = language.fit(docs, broadcast_types=0)
+    for name in ("pairs", "types"):
+        a, b = (sorted(map(tuple, m[name].collect())) for m in (model, other))
+        assert [x[:2] for x in a] == [x[:2] for x in b]
+        assert np.array(a, float) == pytest.approx(np.array(b, float))
+
+
 def test_buckets_of_frequent_contexts():
     rng = np.random.default_rng(2)
     context, word = rng.integers(1, 5, 1000).astype(np.uint64), rng.integers(0, 1 << 60, 1000).astype(np.uint64)
