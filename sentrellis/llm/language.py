@@ -38,10 +38,12 @@ STRENGTH = 1.0
 FOLDS, FOLD = 7, 2
 #: Share of all tokens from which a pair is looked up in a broadcast table; bounds their number to its inverse.
 HOT = 2.0**-17
+#: One of so many texts says which contexts are frequent.
+DEALT_BY = 64
 #: Draws of the parent for each number of customers in each sweep.
 CHAINS = 8
 #: Tokens that a task packs at a time, and rows of a batch that it gives back.
-HELD_TOKENS, OUT_ROWS = 3_000_000, 100_000
+HELD_TOKENS, OUT_ROWS = 1_500_000, 100_000
 #: Distinct numbers of customers up to which their table, 16 bytes a row, is broadcast.
 BROADCAST_COUNTS = 1_000_000
 #: Words whose tables change from sweep to sweep, up to which these, 24 bytes each, are broadcast and not joined.
@@ -116,21 +118,25 @@ def _held(batches: Iterator[pa.RecordBatch], most: int = HELD_TOKENS) -> Iterato
     ids, train, held, size, rows = [], [], [], 0, 0
 
     def give() -> tuple:
-        context, word, row = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pa.concat_arrays(ids), np.concatenate(train), context, word, row
+        columns = [list(x) for x in zip(*held, strict=True)]
+        held.clear()
+        out = [np.concatenate(columns.pop(0)) for _ in range(3)]  # the parts of each column go as it is joined
+        return pa.concat_arrays(ids), np.concatenate(train), *out
 
     for batch in batches:
         texts, learns = _texts(batch), batch["train"].to_numpy(zero_copy_only=False).astype(bool)
         for a, b in chunks([len(t) for t in texts]):
             tokens = Tokens(texts[a:b])
-            held.append((tokens.context, tokens.hash, tokens.text + rows))
+            held.append((tokens.context, tokens.hash, (tokens.text + rows).astype(np.int32)))
             ids.append(batch["doc_id"].slice(a, b - a))
             train.append(learns[a:b])
             rows += b - a
             size += len(tokens.hash)
             if size > most:
-                yield give()
-                ids, train, held, size, rows = [], [], [], 0, 0
+                out = give()
+                ids, train, size, rows = [], [], 0, 0
+                yield out
+                del out
     if held:
         yield give()
 
@@ -145,15 +151,27 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """key (a word's hash) and known, its tokens in training rows; summed by each task before they are shuffled."""
+    """key (a word's hash) and n, its tokens; summed by each task before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, train, _, word, row in _held(batches, HELD_TOKENS):
-            key, n = np.unique(word[train[row]], return_counts=True)
+        for _, _, _, word, _ in _held(batches):
+            key, n = np.unique(word, return_counts=True)
             for i in range(0, len(key), OUT_ROWS):
-                yield pa.RecordBatch.from_arrays([_signed(key[i : i + OUT_ROWS]), pa.array(n[i : i + OUT_ROWS])], ["key", "known"])
+                yield pa.RecordBatch.from_arrays([_signed(key[i : i + OUT_ROWS]), pa.array(n[i : i + OUT_ROWS])], ["key", "n"])
 
-    return docs.mapInArrow(count, "key long, known long").groupBy("key").agg(F.sum("known").alias("known"))
+    return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Words with over a quarter of a bucket's share of the tokens, so fewer than four a bucket; by a hashed sample.
+
+    They say where pairs are counted, not what is counted.
+    """
+    counts = materialise(word_counts(docs.filter(F.pmod(F.xxhash64("text"), F.lit(DEALT_BY)) == 0)))
+    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.filter(F.col("n") > tokens / (4 * buckets)).select("key").toArrow()["key"]
+    discard(counts)
+    return _unsigned(often)
 
 
 class Coded:
@@ -216,7 +234,7 @@ def count_pairs(docs: DataFrame, deal: Dealer) -> DataFrame:
     """Rows of what the buckets count, by kind.
 
     PAIRS: a context, b word, n tokens in training rows, of those with n > 1 or in both kinds of rows; ROOMS: a context
-    and WORDS: a bucket, b word, with n pairs that occur once; SUMS: a = 1, 2 with n pairs that occur so often.
+    and WORDS: a bucket, b word, with n pairs that occur once and m tokens; SUMS: a = 1, 2, n pairs that occur so often.
     """
     sent = docs.sparkSession.sparkContext.broadcast(deal)
 
@@ -258,17 +276,18 @@ def count_pairs(docs: DataFrame, deal: Dealer) -> DataFrame:
             words = _runs(word[order])
             zero = lambda m: np.zeros(m, np.uint64)
             parts = [
-                (PAIRS, context[kept], word[kept], n[kept]),
-                (ROOMS, context[rooms][some], zero(len(some)), single[some]),
-                (WORDS, zero(len(words)) + np.uint64(k), word[order][words], np.add.reduceat(once[order], words, dtype=np.int64)),
-                (SUMS, np.array([1, 2], np.uint64), zero(2), np.array([once.sum(), (n == 2).sum()])),
+                (PAIRS, context[kept], word[kept], n[kept], None),
+                (ROOMS, context[rooms][some], zero(len(some)), single[some], None),
+                (WORDS, zero(len(words)) + np.uint64(k), word[order][words], np.add.reduceat(once[order], words, dtype=np.int64), np.add.reduceat(n[order], words)),
+                (SUMS, np.array([1, 2], np.uint64), zero(2), np.array([once.sum(), (n == 2).sum()]), None),
             ]
-            for kind, a, b, m in parts:
+            for kind, a, b, pairs, tokens in parts:
+                tokens = np.zeros(len(a), np.int64) if tokens is None else tokens
                 for i in range(0, len(a), OUT_ROWS):
                     j = slice(i, i + OUT_ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[j]), kind, np.int32)), _signed(a[j]), _signed(b[j]), pa.array(m[j])], ["kind", "a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[j]), kind, np.int32)), _signed(a[j]), _signed(b[j]), pa.array(pairs[j]), pa.array(tokens[j])], ["kind", "a", "b", "n", "m"])
 
-    return docs.mapInArrow(send, _ROW).repartitionById(deal.buckets, F.col("bucket")).mapInArrow(count, "kind int, a long, b long, n long")
+    return docs.mapInArrow(send, _ROW).repartitionById(deal.buckets, F.col("bucket")).mapInArrow(count, "kind int, a long, b long, n long, m long")
 
 
 def discount(counts: np.ndarray, many: np.ndarray | None = None) -> float:
@@ -395,26 +414,23 @@ def fit(docs: DataFrame, broadcast_types: int = BROADCAST_TYPES) -> dict:
     ``pairs``: context, word, n and mean (tables) of all pairs that buckets need; ``types``: key, known (tokens), room
     (the mean share of the parent in its context) and above (the parent's mean probability of it), of all words.
     """
-    known = materialise(word_counts(docs))
-    sums = known.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
-    tokens, kinds = sums["tokens"], sums["words"]
     buckets = partitions_for(docs)
-    often = known.filter(F.col("known") > tokens / (4 * buckets)).select("key").toArrow()["key"]  # fewer than 4 a bucket
-    deal = Dealer(buckets, _unsigned(often))
+    deal = Dealer(buckets, frequent_words(docs, buckets))
     counted = materialise(count_pairs(docs, deal))
     of = lambda kind: counted.filter(F.col("kind") == kind)
     first = dict(of(SUMS).groupBy("a").agg(F.sum("n")).collect())
-    d, uniform = discount(np.array([1, 2]), np.array([first.get(1, 0), first.get(2, 0)])), 1 / (kinds + 1)
+    d = discount(np.array([1, 2]), np.array([first.get(1, 0), first.get(2, 0)]))
     pairs = of(PAIRS).filter("n > 1").select(F.col("a").alias("context"), F.col("b").alias("word"), "n")
     # Tables of the pairs that occur once, as a context's and as a word's, then one of each other pair to begin with.
     zero = F.lit(0).cast("long")
-    single = of(ROOMS).select(F.col("a").alias("key"), F.col("n").alias("r"), zero.alias("w")).union(of(WORDS).filter("n > 0").select(F.col("b").alias("key"), zero.alias("r"), F.col("n").alias("w")))
+    single = of(ROOMS).select(F.col("a").alias("key"), F.col("n").alias("r"), zero.alias("w"), zero.alias("m")).union(of(WORDS).filter("m > 0").select(F.col("b").alias("key"), zero.alias("r"), F.col("n").alias("w"), "m"))
     others = pairs.select(F.col("context").alias("key"), F.lit(1).alias("r"), F.lit(0).alias("w")).union(pairs.select(F.col("word"), F.lit(0), F.lit(1)))
     others = others.groupBy("key").agg(F.sum("r").alias("tables"), F.sum("w").alias("served"))
-    types = known.join(single.groupBy("key").agg(F.sum("r").alias("room_once"), F.sum("w").alias("word_once")), "key", "left").join(others, "key", "left")
-    types = types.withColumns({k: F.coalesce(k, zero) for k in ("room_once", "word_once")})
+    types = single.groupBy("key").agg(F.sum("r").alias("room_once"), F.sum("w").alias("word_once"), F.sum("m").alias("known")).join(others, "key", "left")
     types = materialise(types.withColumns({"tables": F.col("room_once") + F.col("tables"), "served": F.col("word_once") + F.col("served")}))
-    discard(known)
+    sums = types.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
+    tokens, kinds = sums["tokens"], sums["words"]
+    uniform = 1 / (kinds + 1)
     # Words and contexts whose pairs all occur once, most of them, stay as they are.
     passive = types.filter("tables is null").select("key", "known", F.col("room_once").alias("tables"), F.col("word_once").alias("served"))
     active = types.filter("tables is not null").withColumns({"rooms": F.lit(0.0), "above": F.lit(0.0)})
