@@ -24,7 +24,7 @@ CHUNK_BYTES = 2 << 20
 #: Input bytes for each partition of a shuffle that carries corpus-sized data.
 PARTITION_BYTES = 10 << 20
 #: Rows and bytes of an Arrow batch; documents can be long.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 256
 

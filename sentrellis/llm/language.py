@@ -33,17 +33,19 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, discard, encoded, from_planes, materialise, mix, pack, partitions_for, planes, prepare, unpack
 from .seating import Seating
 
-SWEEPS, BURN_IN = 4, 1
+SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 FOLDS, FOLD = 7, 2
 #: Share of all tokens from which a pair is looked up in a broadcast table; bounds their number to its inverse.
-HOT = 2.0**-17
+HOT = 2.0**-18
+#: Steps of a unit in which sums travel.
+FIXED = 2.0**30
 #: One of so many texts says which contexts are frequent.
 DEALT_BY = 64
 #: Draws of the parent for each number of customers in each sweep.
 CHAINS = 8
 #: Tokens that a task packs at a time, and rows of a batch that it gives back.
-HELD_TOKENS, OUT_ROWS = 1_500_000, 100_000
+HELD_TOKENS, OUT_ROWS = 1_200_000, 100_000
 #: Distinct numbers of customers up to which their table, 16 bytes a row, is broadcast.
 BROADCAST_COUNTS = 1_000_000
 #: Words whose tables change from sweep to sweep, up to which these, 24 bytes each, are broadcast and not joined.
@@ -194,6 +196,16 @@ class Coded:
         code = code[self.first]
         self.context, self.word = (x.astype(np.int32) for x in np.divmod(code, many))
 
+    @classmethod
+    def of_pairs(cls, context: np.ndarray, word: np.ndarray) -> Coded:
+        """Distinct pairs; ``row`` says which of those given each is."""
+        self = cls.__new__(cls)
+        self.vocabulary, places = np.unique(np.concatenate((context, word)), return_inverse=True)
+        context, word = places[: len(context)], places[len(context) :]
+        self.row = np.lexsort((word, context))
+        self.context, self.word = context[self.row].astype(np.int32), word[self.row].astype(np.int32)
+        return self
+
     def by_bucket(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each bucket and its pairs."""
         order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
@@ -431,6 +443,7 @@ def fit(docs: DataFrame, broadcast_types: int = BROADCAST_TYPES) -> dict:
     sums = types.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
     tokens, kinds = sums["tokens"], sums["words"]
     uniform = 1 / (kinds + 1)
+    later = materialise(counted.filter((F.col("kind") == WORDS) | (F.col("kind") == PAIRS) & (F.col("n") == 1)).select("kind", "a", "b"))
     # Words and contexts whose pairs all occur once, most of them, stay as they are.
     passive = types.filter("tables is null").select("key", "known", F.col("room_once").alias("tables"), F.col("word_once").alias("served"))
     active = types.filter("tables is not null").withColumns({"rooms": F.lit(0.0), "above": F.lit(0.0)})
@@ -448,7 +461,7 @@ def fit(docs: DataFrame, broadcast_types: int = BROADCAST_TYPES) -> dict:
         more = written.filter("t = 0").groupBy(F.col("context").alias("key")).agg(F.sum("n").alias("r"), F.sum("sum").alias("w"))
         active = active.drop("tables", "served", "chance").join(more, "key")
         active = materialise(active.withColumns({"tables": F.col("room_once") + F.col("r"), "served": F.col("word_once") + F.col("w")}).drop("r", "w"))
-        discard(*old)
+        discard(*old, *([counted] if sweep == 0 else []))
         old = [written, active]
     kept = float(SWEEPS - BURN_IN)
     passive = _by_class(passive.withColumn("rooms", F.col("tables") * kept), parent.passive[0], parent.kept, "above")
@@ -457,8 +470,8 @@ def fit(docs: DataFrame, broadcast_types: int = BROADCAST_TYPES) -> dict:
     every = materialise(every.select("key", "known", room.alias("room"), (F.col("above") / kept).alias("above")))
     discard(types, *old[1:])
     seated = drawn.select("context", "word", "n", (F.col("sum") / kept).alias("mean"))
-    once = of(PAIRS).filter("n = 1").select(F.col("a").alias("context"), F.col("b").alias("word"), "n", F.lit(1.0).alias("mean"))
-    bucket_words = of(WORDS).select(F.col("a").cast("int").alias("bucket"), F.col("b").alias("key"))
+    once = later.filter(F.col("kind") == PAIRS).select(F.col("a").alias("context"), F.col("b").alias("word"), F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("mean"))
+    bucket_words = later.filter(F.col("kind") == WORDS).select(F.col("a").cast("int").alias("bucket"), F.col("b").alias("key"))
     return {"pairs": seated.union(once), "types": every, "bucket_words": bucket_words, "deal": deal, "d": d, "unseen": parent.unseen / kept, "tokens": tokens, "kinds": kinds}
 
 
@@ -486,8 +499,8 @@ def _column(x: np.ndarray) -> list[bytes]:
     return [values.tobytes(), planes(at.astype(np.int32))]
 
 
-def _columns(payload: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
-    parts = iter(unpack(payload, sum(1 + (k is not np.uint64) for k in kinds)))
+def _columns(parts: list[bytes], kinds: tuple[type, ...]) -> list[np.ndarray]:
+    parts = iter(parts)
     return [_from_steps(next(parts)) if k is np.uint64 else np.frombuffer(next(parts), k)[from_planes(next(parts), np.int32)] for k in kinds]
 
 
@@ -504,9 +517,10 @@ def _model_rows(model: dict) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches, 10 * OUT_ROWS):
             context, word = _unsigned(batch["context"]), _unsigned(batch["word"])
-            order = np.lexsort((word, context))
-            context, word = context[order], word[order]
-            yield rows(PAIRS, sent.value(context, word), context, word, batch["n"].to_numpy()[order], batch["mean"].to_numpy()[order].astype(np.float32))
+            n, mean = batch["n"].to_numpy(), batch["mean"].to_numpy().astype(np.float32)
+            pairs = Coded.of_pairs(context, word)
+            bucket = sent.value(context, word)[pairs.row]
+            yield _rows([(k, PAIRS, pack(*pairs.packed(of), *_column(n[pairs.row[of]]), *_column(mean[pairs.row[of]]))) for k, of in pairs.by_bucket(bucket)])
 
     def rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches, 10 * OUT_ROWS):
@@ -535,8 +549,12 @@ class Known:
         self.ready = False
 
     def add(self, kind: int, payload: bytes) -> None:
-        kinds = {PAIRS: (np.uint64, np.uint64, np.int64, np.float32), ROOMS: (np.uint64, np.int64, np.float64), WORDS: (np.uint64, np.int64, np.float64)}[kind]
-        self.held[kind].append(_columns(payload, kinds))
+        if kind == PAIRS:
+            parts = unpack(payload, 8)
+            rooms, size, words, place = _pairs_of(parts)
+            self.held[kind].append([np.repeat(rooms, size), words[place], *_columns(parts[4:], (np.int64, np.float32))])
+        else:
+            self.held[kind].append(_columns(unpack(payload, 5), (np.uint64, np.int64, np.float64)))
 
     def settle(self) -> None:
         if not self.ready:
@@ -634,7 +652,8 @@ def _score_rows(docs: DataFrame, model: dict) -> DataFrame:
                 base, seen = (np.log10(tokens + 1)[pair] * many), np.where(tokens > 0, 1, 0)[pair] * many
                 some, at = np.unique(row >> 1, return_inverse=True)
                 sums = [np.bincount(at, x, minlength=len(some)) for x in (seen, base, log)]
-                out.append((chunk, SUMS, pack(some.astype(np.int32).tobytes(), sums[0].astype(np.int32).tobytes(), sums[1].tobytes(), sums[2].tobytes())))
+                steps = (some.astype(np.uint64), sums[0].astype(np.int32), *(np.rint(x * FIXED).astype(np.int64) for x in sums[1:]))
+                out.append((chunk, SUMS, pack(_steps(steps[0]), *map(planes, steps[1:]))))
             if out:
                 yield _rows(out, ("chunk", "kind", "payload"))
 
@@ -666,9 +685,11 @@ def _summed(rows: DataFrame, model: dict, parts: int) -> DataFrame:
                     kinds = (np.int64, bool, bool, np.int64, np.int64, np.float64, np.float64)
                     held = [np.frombuffer(x, k).copy() for x, k in zip(unpack(payload, 7), kinds, strict=True)]
                 else:
-                    some, *sums = (np.frombuffer(x, k) for x, k in zip(unpack(payload, 4), (np.int32, np.int32, np.float64, np.float64), strict=True))
-                    for total, x in zip(held[4:], sums, strict=True):
-                        total[some] += x
+                    some, *sums = unpack(payload, 4)
+                    some = _from_steps(some).astype(np.int64)
+                    held[4][some] += from_planes(sums[0], np.int32)
+                    for total, x in zip(held[5:], sums[1:], strict=True):
+                        total[some] += from_planes(x, np.int64) / FIXED
         if held:
             yield result()
 
