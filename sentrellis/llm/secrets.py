@@ -30,6 +30,8 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}+"
 RATIO = 0.8
 SAMPLES = 4000
 SMOOTHING = 0.05
+#: Numbers that are summed up by one fold.
+RUN_BLOCK = 128
 
 # Fixed word list: parts of ordinary identifiers.
 PARTS = (
@@ -82,16 +84,48 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))
-        out = F.concat(acc["out"], F.array(span))
-        return F.struct(end.alias("at"), (F.when(keep(x["match"]), out).otherwise(acc["out"]) if keep else out).alias("out"))
+    def spans(pairs: Column) -> Column:
+        ends = _running(F.transform(pairs, lambda x: x["gap"] + F.length(x["match"])))
+        begin = lambda x, end: end - F.length(x["match"])
+        out = F.zip_with(pairs, ends, lambda x, end: F.struct(begin(x, end).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match")))
+        return F.filter(out, lambda s: keep(s["match"])) if keep else out
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(pairs, spans)).otherwise(empty)
+
+
+def _let(x: Column, use) -> Column:
+    """``use`` of ``x``, which is evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
+def _running(steps: Column) -> Column:
+    """Running sums of an array that is not empty, in blocks: what is copied grows little faster than the array."""
+
+    def sums(values: Column, start: Column) -> Column:
+        add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(values, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
+
+    def by_block(blocks: Column) -> Column:
+        after = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x)), F.lit(0))
+        return F.flatten(F.zip_with(blocks, F.concat(F.array(F.lit(0)), F.slice(after, F.lit(1), F.size(blocks) - 1)), sums))
+
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / RUN_BLOCK).cast("int")), lambda k: F.slice(s, k * RUN_BLOCK + 1, F.lit(RUN_BLOCK)))
+    return _let(steps, lambda s: F.when(F.size(s) <= RUN_BLOCK, sums(s, F.lit(0))).otherwise(_let(cut(s), by_block)))
+
+
+def _touches(spans: Column, r: Column) -> Column:
+    """Whether the span ``r`` overlaps one of ``spans``, which are in order and apart: the last that starts before its end."""
+    few = F.exists(spans, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        before = (acc["low"] < acc["high"]) & (F.get(spans, middle)["start"] < r["end"])
+        return F.struct(F.when(before, middle + 1).otherwise(acc["low"]).alias("low"), F.when(before | (acc["low"] >= acc["high"]), acc["high"]).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halve, lambda acc: F.get(spans, acc["low"] - 1)["end"])
+    return F.when(F.size(spans) <= 16, few).otherwise(F.coalesce(last > r["start"], F.lit(False)))
 
 
 def find_secrets(docs: DataFrame, model: list[float] | None = None, ratio: float = RATIO) -> DataFrame:
@@ -100,11 +134,11 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, ratio: float
     table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folds to one literal
     text = F.coalesce(F.col("row.text"), F.lit(""))
     assign = _spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_VALUE)
-    base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
     likely = lambda m: F.aggregate(_pairs(m), F.lit(0.0), lambda acc, p: acc + F.element_at(table, p + 1)) > ratio * (F.length(m) - 1)
-    own = docs.select(F.struct("*").alias("row")).select("row", base.alias("base"), _spans(text, RUN, 3, likely).alias("runs"))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return own.select("row", "base", apart.alias("added"))
+    kinds = [assign.alias("k0"), _spans(text, ACCESS, 1).alias("k1"), _spans(text, HEX, 2).alias("k2")]
+    own = docs.select(F.struct("*").alias("row")).select("row", *kinds, _spans(text, RUN, 3, likely).alias("runs"))
+    apart = F.filter("runs", lambda r: ~(_touches(F.col("k0"), r) | _touches(F.col("k1"), r) | _touches(F.col("k2"), r)))
+    return own.select("row", F.array_sort(F.concat("k0", "k1", "k2")).alias("base"), apart.alias("added"))
 
 
 def written(spans: Column) -> Column:
