@@ -3,7 +3,8 @@
 Each window of ``window`` words belongs to the bucket of its minimiser, the 3-word gram in it with the smallest
 hash. Consecutive windows with the same minimiser travel as one packed string. A task first merges equal strings
 of its own documents, so a passage that millions of documents share leaves each task once; buckets sort the hashes
-of their windows and compare the words themselves wherever hashes are equal. A word goes if a window over it also
+of their windows and compare the words themselves wherever hashes are equal. Windows with a frequent minimiser are
+dealt by a second one, so that no bucket grows with one gram. A word goes if a window over it also
 starts in a document with a smaller id.
 
 Defined cases: a null text has no words; a row without an id loses nothing and takes nothing from others; rows
@@ -20,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, encoded, materialise, mix, pack, partitions_for, prepare, span_hashes, unpack, with_row
+from .common import Words, chunks, discard, encoded, materialise, mix, pack, partitions_for, prepare, span_hashes, unpack, with_row
 
 WINDOW = 13
 GRAM = 3
 #: Bytes of text whose packed strings a task holds before it sends them.
 HELD_BYTES = 12 << 20
+#: One of so many texts says which minimisers are frequent.
+DEALT_BY = 64
+_SECOND, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1)
 
 
 def window_minima(order: np.ndarray, width: int) -> np.ndarray:
@@ -39,8 +43,12 @@ def window_minima(order: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def super_kmers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows and minimiser hash of each super-k-mer."""
+def super_kmers(words: Words, window: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows and minimiser hash of each super-k-mer.
+
+    Windows whose minimiser is ``frequent`` (sorted) go by a second one, the smallest by another hash of the grams that
+    are not, or by all their words if they have none: equal windows have equal words, so they agree on it.
+    """
     n, h = len(words.starts), words.hashes
     none = np.zeros(0, np.int64)
     if n < window:
@@ -55,8 +63,40 @@ def super_kmers(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     if not len(valid):
         return none, none, none.astype(np.uint64)
     least = least[valid]
+    key = order[least]
+    if frequent is not None and len(frequent):
+        known = frequent[np.minimum(np.searchsorted(frequent, order), len(frequent) - 1)] == order
+        other = np.where(known, _LAST, mix(order ^ _SECOND))
+        second = window_minima(other, window - gram + 1)[valid]
+        often, every = known[least], known[second]  # every: of frequent grams only, so each window goes by itself
+        key, least = np.where(often, other[second], key), np.where(often, second + n, least)
+        if every.any():
+            alone = valid[every].astype(np.int64)
+            key[every], least[every] = span_hashes(h, alone, alone + window), alone + 2 * n
     new = np.flatnonzero(np.concatenate(([True], (np.diff(valid) != 1) | (np.diff(least) != 0))))
-    return valid[new], np.diff(np.append(new, len(valid))), order[least[new]]
+    return valid[new], np.diff(np.append(new, len(valid))), key[new]
+
+
+def frequent_minimisers(docs: DataFrame, window: int, buckets: int) -> np.ndarray:
+    """Minimisers of over a quarter of a bucket's share of the windows, so fewer than four a bucket; by a hashed sample.
+
+    They say where windows are compared, not which.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in encoded(batch["text"])]
+            for a, b in chunks([len(t) for t in texts]):
+                _, many, least = super_kmers(Words(texts[a:b]), window)
+                key, at = np.unique(least, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(at, many, minlength=len(key)).astype(np.int64))], ["key", "n"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(DEALT_BY)) == 0)
+    counts = materialise(sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.filter(F.col("n") > total / (4 * buckets)).select("key").toArrow()["key"].to_numpy()
+    discard(counts)
+    return np.sort(often.view(np.uint64))
 
 
 class _Held:
@@ -68,9 +108,9 @@ class _Held:
         self.where: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, docs: list[int], rids: list[int], texts: list[bytes], window: int, buckets: int) -> None:
+    def add(self, docs: list[int], rids: list[int], texts: list[bytes], window: int, buckets: int, frequent: np.ndarray) -> None:
         words = Words([b" ".join(t.split()) for t in texts])
-        first, count, least = super_kmers(words, window)
+        first, count, least = super_kmers(words, window, frequent)
         starts, ends = words.starts[first].tolist(), words.ends[first + count + window - 2].tolist()
         ids, data = self.ids, words.bytes
         uid = np.fromiter((ids.setdefault(data[a:b], len(ids)) for a, b in zip(starts, ends, strict=True)), np.int64, len(first))
@@ -99,14 +139,14 @@ class _Held:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "payload"])
 
 
-def packed_strings(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+def packed_strings(docs: DataFrame, window: int, buckets: int, frequent: np.ndarray) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
         for batch in batches:
             texts = [t or b"" for t in encoded(batch["text"])]
             ids, rids = batch["doc_id"].to_pylist(), batch["rid"].to_pylist()
             for a, b in chunks([len(t) for t in texts]):
-                held.add(ids[a:b], rids[a:b], texts[a:b], window, buckets)
+                held.add(ids[a:b], rids[a:b], texts[a:b], window, buckets, frequent)
                 if held.size >= HELD_BYTES:
                     yield held.rows()
         if held.size and held.ids:
@@ -193,7 +233,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rid), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "rid", "start", "end"])
 
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), "text")
-    packed = packed_strings(own, window, buckets).repartitionById(buckets, F.col("bucket"))
+    packed = packed_strings(own, window, buckets, frequent_minimisers(own, window, buckets)).repartitionById(buckets, F.col("bucket"))
     return packed.mapInArrow(count, "doc_id long, rid long, start int, end int")
 
 

@@ -117,6 +117,34 @@ def test_repeats_with_equal_hashes(spark):
     assert got == [(3, 0, 4)] and len(words.starts) == 8
 
 
+@pytest.mark.parametrize("window", [3, 13])
+def test_repeats_by_a_second_minimiser(spark, monkeypatch, window):
+    rng = np.random.default_rng(5)
+    rows = [(i % 17, " ".join(f"w{x}" for x in rng.zipf(1.6, 60).clip(0, 30))) for i in range(40)] + TEXTS
+    words = substrings.Words([(t or "").encode() for _, t in rows])
+    every = np.unique(substrings.super_kmers(words, window)[2])
+    monkeypatch.setattr(substrings, "frequent_minimisers", lambda *_: every)
+    got = substrings.remove_repeats(odd(spark, rows), window).collect()
+    assert sorted(((r["row"]["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=repr) == plain_repeats(rows, window)
+
+
+def test_one_minimiser_over_many_windows():
+    """One gram that is the smallest of 100,000 distinct windows: by the second one they spread over the buckets."""
+    rng = np.random.default_rng(6)
+    candidates = [b" ".join(b"g%d" % (3 * i + j) for j in range(3)) for i in range(20_000)]
+    words = substrings.Words(candidates)
+    gram = candidates[int(np.argmin(substrings.super_kmers(words, 3)[2]))]  # windows of three words are grams
+    texts = [b" ".join([*(b"u%d" % x for x in rng.integers(0, 1 << 40, 10)), *gram.split(), *(b"u%d" % x for x in rng.integers(0, 1 << 40, 10))]) for _ in range(10_000)]
+    words = substrings.Words(texts)
+    _, many, least = substrings.super_kmers(words, 13)
+    key, at = np.unique(least, return_inverse=True)
+    share = np.bincount(at, many)
+    assert share.max() > 100_000
+    frequent = key[share > share.sum() / 256]
+    _, many, least = substrings.super_kmers(words, 13, frequent)
+    assert np.bincount((least % np.uint64(64)).astype(int), many, minlength=64).max() < 3 * many.sum() / 64
+
+
 def test_repeats_of_an_empty_table(spark):
     assert substrings.remove_repeats(odd(spark, TEXTS).limit(0)).collect() == []
 
