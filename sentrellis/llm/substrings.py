@@ -26,7 +26,7 @@ from .common import Words, chunks, discard, encoded, materialise, mix, pack, par
 WINDOW = 13
 GRAM = 3
 #: Bytes of text whose packed strings a task holds before it sends them.
-HELD_BYTES = 12 << 20
+HELD_BYTES = 8 << 20
 #: One of so many texts says which minimisers are frequent.
 DEALT_BY = 64
 _SECOND, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1)
@@ -221,7 +221,7 @@ def _repeats(payloads: list[bytes], window: int) -> Iterator[tuple[np.ndarray, .
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, rid (hash of the text), start and end: ranges of words that repeat a document with a smaller id."""
     prepare(docs.sparkSession)
-    buckets = partitions_for(docs)
+    buckets = 2 * partitions_for(docs)  # a window's strings and hashes are several times the text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[int, list[bytes]] = {}
