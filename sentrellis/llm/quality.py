@@ -1,13 +1,13 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-Inverse document frequencies come from all documents. A sample of the labelled rows, ``REFERENCE_ROWS`` at most
+Inverse document frequencies come from all documents. A sample of the labelled documents, ``REFERENCE_ROWS`` at most
 (the smallest hashes of their ids), gives the latent space by randomised SVD and is the reference set: its vectors
 have a fixed size bound and are broadcast. Every document's cosines with all of them are computed exactly, in
 blocks; its score is the mean label of the ``NEIGHBOURS`` nearest, weighted by similarity and by how rare a label is
 among the references, so that 0.5 says that both labels are as common here as there.
 
 Only the text enters a score. Defined cases: a null or empty text is scored as a text without words; labels that
-are null or belong to no document are not learned from; several labels of one document count as their mean;
+are null or belong to no document are not learned from; several labels of one document count as their mean; of several documents with a labelled id one is a reference;
 without any learnable label every score is 0.5; an empty table gives an empty result; further columns of any name
 are kept.
 """
@@ -37,7 +37,7 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = 0) -> Column:
 
 
 def _entries(docs: DataFrame) -> DataFrame:
-    """label and packed terms and counts of the reference rows."""
+    """of, label and packed terms and counts of the reference rows."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,9 +46,9 @@ def _entries(docs: DataFrame) -> DataFrame:
                 row, term, count = text_terms(texts[a:b], WIDTH)
                 cut = np.searchsorted(row, np.arange(b - a + 1))
                 packed += [term[i:j].astype("<u2").tobytes() + count[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(packed, pa.binary())], ["label", "packed"])
+            yield pa.RecordBatch.from_arrays([batch["of"], batch["label"], pa.array(packed, pa.binary())], ["of", "label", "packed"])
 
-    return docs.mapInArrow(one, "label double, packed binary")
+    return docs.mapInArrow(one, "of long, label double, packed binary")
 
 
 def randomised_svd(row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, width: int, k: int) -> np.ndarray:
@@ -73,10 +73,10 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, reference_rows: int
     prepare(docs.sparkSession)
     df, n = document_frequencies(docs, WIDTH)
     idf = idf_weights(df, n)
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of"), "quality").filter(learns)
-    known = known.groupBy("of").agg(F.avg("quality").alias("label")).orderBy(F.xxhash64(F.col("of"), F.lit("quality")), "of").limit(reference_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("label", "text")
-    got = _entries(sample).orderBy("label", "packed").limit(reference_rows).toArrow()
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("of"), "quality").filter(learns)
+    known = known.groupBy("of").agg(F.avg("quality").alias("label")).join(docs.select(F.col("doc_id").alias("own")), F.col("of") == F.col("own"), "left_semi").orderBy(F.xxhash64(F.col("of"), F.lit("quality")), "of").limit(reference_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("of")).select("of", "label", "text")
+    got = _entries(sample).groupBy("of").agg(F.first("label").alias("label"), F.min("packed").alias("packed")).orderBy("label", "packed").toArrow()
     if not got.num_rows:
         return None
     rows, terms, counts = [], [], []
