@@ -84,7 +84,9 @@ def amber_discriminative(answers: DataFrame) -> DataFrame:
     both = F.count_if(F.col("no") & F.col("said"))
     out = rows.groupBy("level").agg(F.count("*").alias("n"), pct(F.count_if("right"), F.count("*")).alias("accuracy"), pct(both, F.count_if("said")).alias("precision"), pct(both, F.count_if("no")).alias("recall"))
     p, r = F.col("precision") / 100, F.col("recall") / 100
-    return out.withColumn("f1", F.round(M.f_score(p, r, 0.0001) * 100, 1))
+    # What keeps the score of two zeros from dividing by zero; that of existence is another.
+    f1 = F.when(F.col("level") == "existence", M.f_score(p, r, 0.001)).otherwise(M.f_score(p, r, 0.0001))
+    return out.withColumn("f1", F.round(f1 * 100, 1))
 
 
 def multiple_choice(answers: DataFrame) -> DataFrame:

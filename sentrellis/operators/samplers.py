@@ -27,12 +27,34 @@ def first_rows(df: DataFrame, n: int, *order: str, legacy: bool = False) -> Data
     return df.orderBy(*order).limit(n)
 
 
+#: Rows whose keys bound the ranges of an ordinal, and the number of ranges.
+BOUND_ROWS, RANGES = 2048, 128
+
+
+def ordinal(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``name``: each row's place by ``order``, from 0, without a window over the whole table.
+
+    Keys of a bounded hashed sample cut the order into ranges; a row's place is the count of all ranges before its own
+    and its rank within it.
+    """
+    first = order[0]
+    keys = df.filter(F.col(first).isNotNull()).select(F.col(first).alias("k"), F.xxhash64(*order).alias("h")).orderBy("h", "k").limit(BOUND_ROWS)
+    bounds = keys.agg(F.array_sort(F.collect_set("k")).alias("b")).select(F.filter("b", lambda x, i: i % (BOUND_ROWS // RANGES) == 0).alias("_bounds"))
+    rows = df.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(first)))).drop("_bounds")
+    rows = rows.withColumn("_range", F.when(F.col(first).isNull(), -1).otherwise(F.col("_range")))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(counts), "_range")
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return placed.withColumn(name, F.col("_before") + rank).drop("_range", "_before")
+
+
 def pad_to(df: DataFrame, n: int, seed: str, *key: str) -> DataFrame:
     """At least ``n`` rows: extra ones are drawn with replacement by hash, from an ordinal of the rows."""
     have = df.count()
     if not 0 < have < n:
         return df
-    rows = df.withColumn("_ord", F.row_number().over(W.orderBy(*key)) - 1)
+    rows = ordinal(df, "_ord", *key)
     picks = df.sparkSession.range(n - have).select((F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % have).alias("_ord"))
     return df.unionByName(picks.join(rows, "_ord").drop("_ord"))
 
@@ -40,7 +62,7 @@ def pad_to(df: DataFrame, n: int, seed: str, *key: str) -> DataFrame:
 def chunks(df: DataFrame, n: int, total: int, *order: str) -> DataFrame:
     """chunk: contiguous parts of ceil(total / n) rows by order; there may be fewer than ``n``."""
     size = -(-total // n)
-    return df.withColumn("chunk", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size).cast("int"))
+    return ordinal(df, "_ord", *order).withColumn("chunk", F.floor(F.col("_ord") / size).cast("int")).drop("_ord")
 
 
 def length_groups(df: DataFrame, length: str, batch: int, world: int, seed: str, *key: str) -> DataFrame:

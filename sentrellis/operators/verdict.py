@@ -16,7 +16,10 @@ def mentions(candidates: DataFrame, lexicon: Lexicon, graph: str | None = None)
     found = X.extract_objects(F.col("sentence"), lexicon, represent=False)
     if graph:
         found = F.concat(found, X.triple_mentions(X.triples(F.col(graph))))
-    rows = candidates.select(*CANDIDATE, F.posexplode(found).alias("pos", "object"))
+        rows = candidates.select(*CANDIDATE, F.posexplode(found).alias("pos", "object"))
+    else:  # sampled sentences repeat: each distinct one is read once
+        said = candidates.select("sentence").distinct().select(F.col("sentence").alias("said"), found.alias("found")).filter(F.size("found") > 0)
+        rows = candidates.join(said, F.col("sentence") == F.col("said")).select(*CANDIDATE, F.posexplode("found").alias("pos", "object"))
     return rows.withColumn("rep", lexicon.head(F.col("object")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, scores, tables, texts  # noqa: F401  each registers its queries
+from . import core, files, scores, tables, texts  # noqa: F401  each registers its queries
 from .bindings import QUERIES, SQL, Query
 
 

@@ -139,7 +139,7 @@ def _amber(spark: SparkSession, d: str) -> DataFrame:
  SELECT unnest(list_distinct(['overall', CASE WHEN type LIKE 'attr%' THEN 'attribute' WHEN type = 'hallucination' THEN 'existence' ELSE type END, type])) AS level, yes, k FROM a), m AS (
  SELECT level, count(*) AS n, round(count(*) FILTER (CASE WHEN yes THEN k = 0 ELSE k = 1 END) / count(*) * 100, 1) AS accuracy, round(count(*) FILTER (NOT yes AND k = 1) / nullif(count(*) FILTER (k = 1), 0) * 100, 1) AS precision,
  round(count(*) FILTER (NOT yes AND k = 1) / nullif(count(*) FILTER (NOT yes), 0) * 100, 1) AS recall FROM l GROUP BY level)
-SELECT *, round(2 * (precision / 100) * (recall / 100) / (precision / 100 + recall / 100 + 0.0001::DOUBLE) * 100, 1) AS f1 FROM m""")
+SELECT *, round(2 * (precision / 100) * (recall / 100) / (precision / 100 + recall / 100 + CASE WHEN level = 'existence' THEN 0.001::DOUBLE ELSE 0.0001::DOUBLE END) * 100, 1) AS f1 FROM m""")
 def agg12_13_amber(spark: SparkSession, d: str) -> DataFrame:
     """AGG12-13, MTH6-7: discriminative scores overall, by group and by type."""
     return metrics.amber_discriminative(_amber(spark, d))

@@ -125,6 +125,14 @@ def agg1_2_grouped_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image_id", F.array_join("objects", ".").alias("objects"), F.size("pairs").alias("n"))
 
 
+@query("agg1_2_all_pairs", "SELECT p_brand AS image_id, string_agg(DISTINCT split_part(p_name, ' ', 2), '.' ORDER BY split_part(p_name, ' ', 2)) AS objects, CAST(count(*) AS INT) AS n FROM part GROUP BY p_brand")
+def agg1_2_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """AGG1-2: all pairs of an image with the union of their objects."""
+    pairs = _pairs(spark, d).withColumn("objs", F.array(F.element_at(F.split("y_win", " "), 2)))
+    out = align.grouped_pairs(pairs, "image_id", "objs")
+    return out.select("image_id", F.array_join("objects", ".").alias("objects"), F.size("pairs").alias("n"))
+
+
 @query("snk4_map_lines", "SELECT n_regionkey AS k, CAST(count(*) AS INT) AS n FROM nation GROUP BY 1")
 def snk4_map_lines(spark: SparkSession, d: str) -> DataFrame:
     """SNK4, SNK6: grouped rows as JSON maps, read back."""
