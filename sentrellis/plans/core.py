@@ -126,16 +126,17 @@ def pair1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_rows(pairs.fold_steps(verdict.judged_candidates(*judged(spark, d)))).select("image_id", "step", "win", "lose", "type")
 
 
-@query("win3_4_running_context")
+@query("win3_4_running_context", FOLD_SQL + """, h AS (SELECT f.image_id, CAST(f.step AS INT) AS step, l.sentence FROM f JOIN lines l ON l.image_id = f.image_id AND l.step = f.step AND l.cand_idx = f.pick WHERE k > 0)
+SELECT *, coalesce(string_agg(sentence, ' ') OVER (PARTITION BY image_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM h""")
 def win3_4_running_context(spark: SparkSession, d: str) -> DataFrame:
     """WIN3-4: the text before each chosen sentence."""
     return pairs.running_context(pairs.chosen_rows(pairs.fold_steps(verdict.judged_candidates(*judged(spark, d))))).select("image_id", "step", "sentence", "context")
 
 
-@query("flt12_hard_positives", f"WITH {SQL_LINES} SELECT DISTINCT image_id, label AS rep FROM detections d WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.image_id = d.image_id AND m.rep = d.label)")
+@query("flt12_hard_positives", f"WITH {SQL_LINES} SELECT DISTINCT image_id, label AS rep FROM detections d WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.image_id = d.image_id AND m.rep = d.label AND m.step = 1)")
 def flt12_hard_positives(spark: SparkSession, d: str) -> DataFrame:
-    """FLT12, JN3: labels that no sentence mentions."""
-    return pairs.hard_positives(detections(spark, d), verdict.mentions(candidates(spark, d), LEXICON))
+    """FLT12, JN3: labels that no sentence of the first step mentions; detections come from the sentences of all steps."""
+    return pairs.hard_positives(detections(spark, d), verdict.mentions(candidates(spark, d).filter("step = 1"), LEXICON))
 
 
 @query("flt10_11_placed", f"""WITH {SQL_LINES}
@@ -146,12 +147,20 @@ def flt10_11_placed(spark: SparkSession, d: str) -> DataFrame:
     return pairs.placed_objects(detections(spark, d), verdict.mentions(candidates(spark, d), LEXICON))
 
 
-@query("pair3_image_summary")
+@query("pair3_image_summary", FOLD_SQL + """, h AS (SELECT f.image_id, string_agg(l.sentence, ' ' ORDER BY f.step) AS caption, CAST(count(*) AS INT) AS sentences_cnt FROM f JOIN lines l ON l.image_id = f.image_id AND l.step = f.step AND l.cand_idx = f.pick WHERE k > 0 GROUP BY f.image_id
+), o AS (SELECT image_id, string_agg(rep, '.' ORDER BY rep) FILTER (verdict = 'real') AS nonhallu_objects, string_agg(rep, '.' ORDER BY rep) FILTER (verdict = 'hallucinated') AS hallu_objects, string_agg(rep, '.' ORDER BY rep) FILTER (verdict = 'uncertain') AS uncertain_objects FROM verdicts GROUP BY image_id
+), hp AS (SELECT image_id, string_agg(DISTINCT label, '.' ORDER BY label) AS hard_positive FROM detections d WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.image_id = d.image_id AND m.rep = d.label AND m.step = 1) GROUP BY image_id
+), p AS (SELECT image_id, label, max(w * h) < 0.02 AS small, max(least(x, 1 - x, y, 1 - y)) < 0.1 AS edge FROM detections d WHERE EXISTS (SELECT 1 FROM mentions m WHERE m.image_id = d.image_id AND m.rep = d.label) GROUP BY image_id, label
+), q AS (SELECT image_id, string_agg(label, '.' ORDER BY label) FILTER (small) AS small_objects, string_agg(label, '.' ORDER BY label) FILTER (edge) AS edge_objects FROM p GROUP BY image_id)
+SELECT h.image_id, caption, sentences_cnt, coalesce(nonhallu_objects, '') AS nonhallu_objects, coalesce(hallu_objects, '') AS hallu_objects, coalesce(uncertain_objects, '') AS uncertain_objects,
+ coalesce(hard_positive, '') AS hard_positive, coalesce(small_objects, '') AS small_objects, coalesce(edge_objects, '') AS edge_objects FROM h LEFT JOIN o USING (image_id) LEFT JOIN hp USING (image_id) LEFT JOIN q USING (image_id)""")
 def pair3_image_summary(spark: SparkSession, d: str) -> DataFrame:
     """PAIR3: one summary row for each image."""
     cand, found, ruled = judged(spark, d)
     boxes = detections(spark, d)
-    return pairs.image_summary(pairs.fold_steps(verdict.judged_candidates(cand, found, ruled)), ruled, pairs.hard_positives(boxes, found), pairs.placed_objects(boxes, found))
+    hard = pairs.hard_positives(boxes, found.filter("step = 1"))
+    out = pairs.image_summary(pairs.fold_steps(verdict.judged_candidates(cand, found, ruled)), ruled, hard, pairs.placed_objects(boxes, found))
+    return out.select(*(F.array_join(c, ".").alias(c) if t.startswith("array") else F.col(c) for c, t in out.dtypes))
 
 
 @query("agg4_stop", f"""WITH {SQL_LINES}, s AS (SELECT image_id, step, list(CASE WHEN cand_idx % 4 = 3 THEN '' ELSE split_part(sentence, ' ', 2) END) AS t FROM lines GROUP BY image_id, step)
@@ -183,7 +192,15 @@ def mth1_iou_join(spark: SparkSession, d: str) -> DataFrame:
     return side("closed", "a").join(side("open", "b"), ["image_id", "label"]).filter(near > 0.2).select("image_id", "label", "ord_a", "ord_b", F.round(near, 6).alias("iou"))
 
 
-@query("msk1_merged_detections")
+IOU_SQL = "list_filter(taken, lambda a: greatest(0, least(a.x2, o[k + 1].x2) - greatest(a.x1, o[k + 1].x1)) * greatest(0, least(a.y2, o[k + 1].y2) - greatest(a.y1, o[k + 1].y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (o[k + 1].x2 - o[k + 1].x1) * (o[k + 1].y2 - o[k + 1].y1) - greatest(0, least(a.x2, o[k + 1].x2) - greatest(a.x1, o[k + 1].x1)) * greatest(0, least(a.y2, o[k + 1].y2) - greatest(a.y1, o[k + 1].y1))) > 0.2)"
+
+
+@query("msk1_merged_detections", f"""WITH RECURSIVE {BOX_SQL}, e AS (SELECT image_id, label, detector, ord, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}} AS box FROM b), p AS (
+ SELECT image_id, label, coalesce(list(box ORDER BY ord) FILTER (detector = 'closed'), []) AS c, coalesce(list(box ORDER BY ord) FILTER (detector = 'open'), []) AS o FROM e GROUP BY ALL), t AS (
+ SELECT image_id, label, CAST(0 AS BIGINT) AS k, c AS taken FROM p UNION ALL
+ SELECT t.image_id, t.label, k + 1, CASE WHEN len({IOU_SQL}) > 0 THEN taken ELSE list_append(taken, o[k + 1]) END FROM t JOIN p ON t.image_id = p.image_id AND t.label = p.label WHERE k < len(o))
+SELECT t.image_id, t.label, CAST(len(taken) AS INT) AS n, round(list_max(list_transform(taken, lambda a: a.conf)), 6) AS best, CASE WHEN len(c) > 0 AND len(o) > 0 THEN 'both' WHEN len(c) > 0 THEN 'closed' ELSE 'open' END AS source
+FROM t JOIN p ON t.image_id = p.image_id AND t.label = p.label WHERE k = len(o) AND list_max(list_transform(taken, lambda a: a.conf)) >= 0.8""")
 def msk1_merged_detections(spark: SparkSession, d: str) -> DataFrame:
     """MSK1, WIN6, FLT7, FLT9, PRJ26: boxes merged by overlap in order, gated by one confident box."""
     out = mask.confident(mask.merged_detections(_boxes(spark, d)))
