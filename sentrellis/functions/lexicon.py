@@ -25,11 +25,13 @@ RENAMED = {"bow tie": "tie", "toilet seat": "toilet", "wine glas": "wine glass"}
 
 # Objects of the scene-graph data set.
 SCENE_OBJECTS = (
-    "tree window shirt building person table car door light fence chair people plate glass jacket sidewalk snow "
-    "flower hat bag track roof umbrella helmet plant train bench box food pillow bus bowl horse trunk clock mountain "
-    "elephant giraffe banana house cabinet hill dog book bike coat glove zebra bird motorcycle lamp cow skateboard "
-    "surfboard beach sheep kite cat pizza bed bear windshield towel desk"
-).split()
+    "tree", "window", "shirt", "building", "person", "table", "car", "door", "light", "fence", "chair", "people",
+    "plate", "glass", "jacket", "sidewalk", "snow", "flower", "hat", "bag", "track", "roof", "umbrella", "helmet",
+    "plant", "train", "bench", "box", "food", "pillow", "bus", "bowl", "horse", "trunk", "clock", "mountain",
+    "elephant", "giraffe", "banana", "house", "cabinet", "hill", "dog", "book", "bike", "coat", "glove", "zebra",
+    "bird", "motorcycle", "lamp", "cow", "skateboard", "surfboard", "beach", "sheep", "kite", "cat", "pizza", "bed",
+    "bear", "windshield", "towel", "desk",
+)
 
 
 def parse_synonyms(text: str) -> tuple[list[str], dict[str, str]]:
