@@ -141,7 +141,7 @@ def snk4_map_lines(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("k").cast("int").alias("k"), F.size("v").alias("n"))
 
 
-@query("snk11_masked_names", "SELECT p_partkey, p_brand || '_masked_' || replace(p_name, ' ', '_') || '.jpg' AS name FROM part")
+@query("snk11_masked_names", "SELECT p_partkey, p_brand || '_masked_' || p_name || '.jpg' AS name FROM part")
 def snk11_masked_names(spark: SparkSession, d: str) -> DataFrame:
     """SNK11: names of masked images."""
     return table(spark, d, "part").select("p_partkey", writers.masked_name(F.concat(F.lit("/a/b/"), "p_brand", F.lit(".jpg")), F.col("p_name")).alias("name"))

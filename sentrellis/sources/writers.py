@@ -51,9 +51,10 @@ def report(parts: list[Column], digits: int = 2) -> Column:
 
 
 def masked_name(path: Column, masked: Column) -> Column:
-    """Name of an image with an object masked: stem, "_masked_", object, ending."""
+    """Name of an image with an object masked: stem, "_masked_", object as it is, ending; leading dots begin no ending."""
     name = F.element_at(F.split(path, "/"), -1)
-    return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_masked_"), F.replace(masked, F.lit(" "), F.lit("_")), F.regexp_extract(name, r"\.[^.]*$", 0))
+    ending = r"(?<!^\.{0,99})\.[^.]*$"
+    return F.concat(F.regexp_replace(name, ending, ""), F.lit("_masked_"), masked, F.regexp_extract(name, ending, 0))
 
 
 def write_images(df: DataFrame, folder: str) -> None:

@@ -46,7 +46,12 @@ def test_tree_and_images(spark, tmp_path):
     assert images.select(readers.decoded_image(readers.encoded_image(F.col("content"))).alias("b")).first()["b"] == b"\x89PNG"
     named = images.select(writers.masked_name(F.col("path"), F.lit("hot dog")).alias("name"), "content")
     writers.write_images(named, f"file://{tmp_path}/out")
-    assert (tmp_path / "out" / "a_masked_hot_dog.png").read_bytes() == b"\x89PNG"
+    assert (tmp_path / "out" / "a_masked_hot dog.png").read_bytes() == b"\x89PNG"
+
+
+@pytest.mark.parametrize("path,want", [("x/a.b.png", "a.b_masked_o.png"), ("a", "a_masked_o"), (".a", ".a_masked_o"), ("a..b", "a._masked_o.b"), ("..a", "..a_masked_o")])
+def test_masked_names(spark, path, want):
+    assert spark.range(1).select(writers.masked_name(F.lit(path), F.lit("o"))).first()[0] == want
 
 
 def test_media_paths(spark):
