@@ -207,6 +207,34 @@ def msk1_merged_detections(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image_id", "label", F.size("boxes").alias("n"), F.round(F.array_max("scores"), 6).alias("best"), "source")
 
 
+MASK_SQL = f"""WITH RECURSIVE {BOX_SQL}, e AS (SELECT b.image_id, g.rep AS label, detector, ord, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}} AS box
+ FROM b JOIN (SELECT DISTINCT image_id, rep FROM mentions WHERE cand_idx = 0) g ON g.image_id = b.image_id AND (detector = 'closed' AND b.label = g.rep OR detector = 'open' AND contains(b.label, g.rep))), p AS (
+ SELECT image_id, label, coalesce(list(box ORDER BY ord) FILTER (detector = 'closed'), []) AS c, coalesce(list(box ORDER BY ord) FILTER (detector = 'open'), []) AS o FROM e GROUP BY ALL), t AS (
+ SELECT image_id, label, CAST(0 AS BIGINT) AS k, c AS taken FROM p UNION ALL
+ SELECT t.image_id, t.label, k + 1, CASE WHEN len({IOU_SQL}) > 0 THEN taken ELSE list_append(taken, o[k + 1]) END FROM t JOIN p ON t.image_id = p.image_id AND t.label = p.label WHERE k < len(o)), u AS (
+ SELECT t.image_id, t.label, len(taken) AS boxes, list_max(list_transform(taken, lambda a: a.conf)) AS best, CASE WHEN len(c) > 0 AND len(o) > 0 THEN 'both' WHEN len(c) > 0 THEN 'closed' ELSE 'open' END AS source
+ FROM t JOIN p ON t.image_id = p.image_id AND t.label = p.label WHERE k = len(o)), a AS (
+ SELECT image_id, l.cand_idx, l.sentence, m.rep FROM lines l JOIN mentions m USING (image_id, step, cand_idx) WHERE step = 2), v AS (
+ SELECT u.image_id, u.label, any_value(boxes) AS boxes, any_value(best) AS best, any_value(source) AS source, count(a.rep) AS n, count(*) FILTER (a.rep = u.label) AS hits,
+  coalesce(string_agg(a.sentence, '|' ORDER BY a.cand_idx) FILTER (a.rep = u.label), '') AS said FROM u LEFT JOIN a ON a.image_id = u.image_id WHERE best >= 0.8 GROUP BY u.image_id, u.label)
+SELECT image_id, label AS masked_object, image_id || '_masked_' || label || '.jpg' AS masked_image, CAST(boxes AS INT) AS boxes, round(best, 6) AS best, source AS detection_source,
+ CASE WHEN n = 0 THEN 0.0 ELSE round(hits / n, 6) END AS hallu_ratio, CAST(n AS BIGINT) AS total_samples, said AS hallu_responses FROM v WHERE hits >= floor(n / 2)"""
+
+
+@query("msk4_mask_run", MASK_SQL)
+def msk4_mask_run(spark: SparkSession, d: str) -> DataFrame:
+    """MSK4: the whole run on masked images; the second step's sentences stand for what is said of a masked image."""
+    cand = candidates(spark, d)
+    first = F.when(F.col("cand_idx") == 0, F.struct("step", "sentence"))
+    truth = F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda s: s["sentence"]), ". ")
+    images = cand.groupBy("image_id").agg(truth.alias("ground_truth")).select("image_id", F.concat(F.lit("img/"), "image_id", F.lit(".jpg")).alias("image_path"), F.lit("Describe this image.").alias("question"), "ground_truth")
+    answers = cand.filter("step = 2").select("image_id", "cand_idx", F.col("sentence").alias("response"))
+    found, _ = mask.mask_run(images, _boxes(spark, d), lambda asked: asked.select("image_id", "masked_object").join(answers, "image_id"), LEXICON)
+    return found.select(
+        "image_id", "masked_object", "masked_image", F.size("detection_scores").alias("boxes"), F.round(F.array_max("detection_scores"), 6).alias("best"), "detection_source",
+        F.round("hallu_ratio", 6).alias("hallu_ratio"), "total_samples", F.array_join("hallu_responses", "|").alias("hallu_responses"),
+    )
+
 @query("flt7_gate", f"""WITH {SQL_LINES} SELECT image_id, label, CAST(count(*) AS BIGINT) AS boxes FROM detections GROUP BY image_id, label HAVING max(conf) >= 0.8""")
 def flt7_gate(spark: SparkSession, d: str) -> DataFrame:
     """FLT7-8, FLT14: objects with one confident box keep all."""

@@ -148,3 +148,25 @@ def test_trainer_rows(spark):
     assert (r["chosen"], r["rejected"], r["context"], r["images"]) == ("w", "l", "", ["p"])
     with pytest.raises(ValueError):
         align.align(pair, "unknown")
+
+
+def test_mask_run(spark):
+    images = spark.createDataFrame([(i, f"p/{i}.jpg", "q", "A puppy and a hot dog near two cats.") for i in "abc"], "image_id string, image_path string, question string, ground_truth string")
+    box = lambda x: (x, 0.0, x + 10, 10.0)
+    seen = [
+        ("a", "closed", "dog", 0, 0.9, box(0.0)), ("a", "open", "Dog toy", 0, 0.5, box(1.0)), ("a", "open", "dog", 1, 0.6, box(50.0)),  # the second overlaps, the third does not
+        ("a", "open", "cat", 2, 0.85, box(90.0)), ("a", "closed", "tie", 1, 0.99, box(70.0)), ("b", "open", "cat", 0, 0.3, box(0.0)), ("c", "open", "cat", 0, 0.9, box(0.0)),
+    ]
+    boxes = spark.createDataFrame(seen, "image_id string, detector string, label string, ord int, conf double, box struct<x1:double,y1:double,x2:double,y2:double>")
+    said = spark.createDataFrame([("a", "dog", 0, "a dog"), ("a", "dog", 1, "a tree"), ("a", "dog", 2, "a puppy"), ("a", "cat", 0, "a tree"), ("a", "cat", 1, "a tree")], "image_id string, masked_object string, cand_idx int, response string")
+    answer = lambda asked: asked.select("image_id", "masked_object").join(said, ["image_id", "masked_object"])
+    found, done = mask.mask_run(images, boxes, answer, LEX)
+    got = {(r["image_id"], r["masked_object"]): r for r in found.collect()}
+    # Nothing is sure in b; c's cat has no responses, and half of none still mention it; a's cat is mentioned by none of two.
+    assert set(got) == {("a", "dog"), ("c", "cat")} and {r["image_id"] for r in done.collect()} == {"a", "c"}
+    dog, cat = got["a", "dog"], got["c", "cat"]
+    assert dog["detection_scores"] == [0.9, 0.6] and dog["detection_source"] == "both" and dog["hallu_responses"] == ["a dog", "a puppy"]
+    assert dog["masked_image"] == "a_masked_dog.jpg" and dog["total_samples"] == 3 and round(dog["hallu_ratio"], 3) == 0.667
+    assert cat["total_samples"] == 0 and cat["hallu_responses"] == [] and cat["hallu_ratio"] == 0
+    again, left = mask.mask_run(images, boxes, answer, LEX, done.filter("image_id = 'a'"))
+    assert [r["image_id"] for r in again.collect()] == ["c"] and [r["image_id"] for r in left.collect()] == ["c"]
