@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as B
 from ..functions import text as X
 from ..operators import mask, metrics, pairs, relational, verdict
+from ..streaming import state
 from .bindings import LEXICON, SQL_LINES, VOCABULARY, candidates, detections, lines, query
 
 
@@ -119,6 +120,26 @@ def win5_context_fold(spark: SparkSession, d: str) -> DataFrame:
     return pairs.chosen_rows(pairs.fold_steps(verdict.judged_candidates(*judged(spark, d)))).select("image_id", "step", "cand_idx")
 
 
+def state_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps as a stream would bring them: candidates in parallel lists, and the labels of each detector."""
+    cand = candidates(spark, d)
+    said = cand.join(verdict.mentions(cand, LEXICON).groupBy(*verdict.CANDIDATE).agg(F.collect_set("rep").alias("reps")), verdict.CANDIDATE, "left")
+    rows = F.array_sort(F.collect_list(F.struct("cand_idx", "sentence", F.coalesce("reps", F.array().cast("array<string>")).alias("reps"))))
+    steps = said.groupBy("image_id", "step").agg(rows.alias("c")).select("image_id", "step", F.col("c.cand_idx").alias("cand_idx"), F.col("c.sentence").alias("sentences"), F.col("c.reps").alias("reps"))
+    labels = lambda name: F.collect_set(F.when(F.col("detector") == name, F.col("label"))).alias(name)
+    seen = detections(spark, d).groupBy("image_id").agg(labels("closed"), labels("open"))
+    none = F.array().cast("array<string>")
+    return steps.join(seen, "image_id", "left").withColumns({c: F.coalesce(c, none) for c in ("closed", "open")})
+
+
+@query("str2_context_state", FOLD_SQL + " SELECT image_id, CAST(step AS INT) AS step, pick AS cand_idx, pair_ids FROM f WHERE k > 0")
+def str2_context_state(spark: SparkSession, d: str) -> DataFrame:
+    """STR2, VRD9: the fold of WIN5 by a processor that keeps each image's context and verdicts, here on a table."""
+    out = state.context_stream(state_steps(spark, d), VOCABULARY, stop_share=1.0)
+    ids = F.array_join(F.zip_with("win", "lose", lambda w, x: F.concat(w.cast("string"), F.lit("-"), x.cast("string"))), ",")
+    return out.select("image_id", "step", "cand_idx", ids.alias("pair_ids"))
+
+
 @query("pair1_pairs", FOLD_SQL + """ SELECT image_id, CAST(step AS INT) AS step, CAST(split_part(p, '-', 1) AS INT) AS win, CAST(split_part(p, '-', 2) AS INT) AS lose, 'y+' AS type
 FROM (SELECT image_id, step, unnest(string_split(pair_ids, ',')) AS p FROM f WHERE pair_ids <> '')""")
 def pair1_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -43,6 +44,71 @@ def fold_stream(steps: DataFrame) -> DataFrame:
     return steps.groupBy("image_id").transformWithStateInPandas(StepState(), "image_id string, steps int, objects string", "Append", "None")
 
 
+class ContextState(StatefulProcessor):
+    """Keeps an image's context and the verdicts of its objects over its steps, and chooses and pairs candidates as
+    ``pairs.fold_steps`` does.
+
+    A row is a step: the candidates' numbers, sentences and representatives in parallel lists, and the labels that each
+    detector found so far. An object is ruled once for an image, by the labels of the first step that mentions it. A
+    step whose candidates are mostly empty or repeated ends the image: its last row says so, what is kept of it but that
+    is cleared, and later steps of it are ignored. An image's steps must come in order. The state grows with the
+    image's objects and chosen sentences, which are few.
+    """
+
+    OUTPUT = (
+        "image_id string, step int, cand_idx int, sentence string, context string, context_objects array<string>, win array<int>, lose array<int>, "
+        "nonhallu_objects array<string>, hallu_objects array<string>, uncertain_objects array<string>, ended boolean"
+    )
+
+    def __init__(self, vocabulary: list[str], seed: str = "s", stop_share: float = 0.5):
+        self.vocabulary, self.seed, self.stop_share = frozenset(vocabulary), seed, stop_share
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("image", "said array<string>, context array<string>, real array<string>, hallu array<string>, unsure array<string>, done boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        *lists, done = self.state.get() if self.state.exists() else ([], [], [], [], [], False)
+        said, context, (real, hallu, unsure) = list(lists[0]), set(lists[1]), map(set, lists[2:])
+        out = []
+        for row in pd.concat(list(rows)).sort_values("step").itertuples():
+            if done:
+                break
+            texts = list(row.sentences)
+            done = not texts or 1 - len({t for t in texts if t}) / len(texts) > self.stop_share
+            for rep in set() if done else {r for reps in row.reps for r in reps} - real - hallu - unsure:
+                closed, opened = rep not in self.vocabulary or rep in row.closed, rep in row.open
+                (real if closed and opened else unsure if closed or opened else hallu).add(rep)
+            before, objects = " ".join(said), sorted(context)
+            index, sentence, win, lose = (None, None, [], []) if done else self._choose(key[0], row, context, hallu, unsure)
+            if not done:
+                said.append(sentence)
+                context |= real.intersection(row.reps[list(row.cand_idx).index(index)])
+            out.append((key[0], row.step, index, sentence, before, objects, win, lose, sorted(real), sorted(hallu), sorted(unsure), done))
+        self.state.update(([], [], [], [], [], True) if done else (said, sorted(context), sorted(real), sorted(hallu), sorted(unsure), False))
+        names = [field.split()[0] for field in self.OUTPUT.split(", ")]
+        yield pd.DataFrame(out, columns=names).astype({"step": "Int32", "cand_idx": "Int32"})
+
+    def _choose(self, image: str, row: Any, context: set[str], hallu: set[str], unsure: set[str]) -> tuple[int, str, list[int], list[int]]:
+        """The chosen candidate and its sentence, and the winners and losers of the step's pairs."""
+        cands = sorted(zip(map(int, row.cand_idx), row.sentences, map(set, row.reps), strict=True), key=lambda c: c[0])
+        clean = [c for c in cands if c[2] and not c[2] & hallu and not c[2] & unsure]
+        explore, normal = [c for c in clean if not c[2] & context], [c for c in clean if c[2] & context]
+        pairs = list(zip(normal, (c for c in cands if c[2] & hallu), strict=False)) if len(cands) > 1 else []
+        pool = (explore or normal or cands) if len(cands) > 1 else cands
+        draw = lambda c: (hashlib.md5(f"{self.seed}|{image}|{row.step}|{c[0]}".encode()).hexdigest(), c[0])
+        best = min(pool, key=draw)
+        return best[0], best[1], [w[0] for w, _ in pairs], [b[0] for _, b in pairs]
+
+    def close(self) -> None:
+        pass
+
+
+def context_stream(steps: DataFrame, vocabulary: list[str], seed: str = "s", stop_share: float = 0.5) -> DataFrame:
+    """One row for each step of (image_id, step, cand_idx, sentences, reps, closed, open) as it comes, on a stream or a table."""
+    _ = steps.sparkSession.streams.active  # starts what keeps track of state stores, which a table needs too
+    return steps.groupBy("image_id").transformWithStateInPandas(ContextState(vocabulary, seed, stop_share), ContextState.OUTPUT, "Append", "None")
+
+
 def append_once(stream: DataFrame, path: str, checkpoint: str, key: list[str]):
     """Append rows to a directory without repeating a key, whatever was written before a crash."""
 

@@ -95,6 +95,31 @@ def test_state_over_a_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.table("folded").collect()] == [("i", 2, "cat.dog")]
 
 
+STEP = "image_id string, step int, cand_idx array<int>, sentences array<string>, reps array<array<string>>, closed array<string>, open array<string>"
+
+
+def test_context_over_a_stream(spark, tmp_path):
+    rows = [
+        ("i", 1, [0, 1], ["a dog", "a cat"], [["dog"], ["cat"]], ["dog"], ["dog"]),  # the dog is real, the cat hallucinated
+        ("i", 2, [1, 0, 2], ["the dog", "a cat and a dog", "a bus"], [["dog"], ["cat", "dog"], ["bus"]], ["cat"], ["cat", "bus"]),  # the cat stays ruled
+        ("i", 3, [0, 1], ["", ""], [[], []], [], []), ("i", 4, [0], ["late"], [[]], [], []), ("j", 2, [5], ["sole"], [[]], [], []),
+    ]
+    for row in sorted(rows, key=lambda r: r[1]):  # one step in a batch, so that all else is state
+        spark.createDataFrame([row], STEP).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(STEP).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = state.context_stream(stream, ["dog", "cat"])
+    out.writeStream.format("memory").queryName("contexts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
+    got = {(r["image_id"], r["step"]): r for r in spark.table("contexts").collect()}
+    assert sorted(got) == [("i", 1), ("i", 2), ("i", 3), ("j", 2)]
+    one, two, three = (got["i", k] for k in (1, 2, 3))
+    assert (one["sentence"], one["context"], one["win"], one["nonhallu_objects"], one["hallu_objects"]) == ("a dog", "", [], ["dog"], ["cat"])
+    # The bus is clean and new, so it is chosen; the dog is clean and known, so it is paired with the cat.
+    assert (two["sentence"], two["context"], two["context_objects"], two["win"], two["lose"]) == ("a bus", "a dog", ["dog"], [1], [0])
+    assert three["ended"] and three["cand_idx"] is None and three["context"] == "a dog a bus" and three["context_objects"] == ["bus", "dog"]
+    assert got["j", 2]["cand_idx"] == 5 and not got["j", 2]["ended"]
+
+
 def test_append_once(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([("i", 1), ("i", 1), ("j", 2)], "image_id string, step int")
