@@ -1,16 +1,21 @@
 """What models would answer, as tables: a provider is any function from a request table to an answer table.
 
-``TableProvider`` looks requests up in a stored table; ``batched`` runs a Python callable over Arrow batches, which
+``CONTRACTS`` states the columns of each kind of request and answer, ``bound`` holds a provider to them. ``TableProvider`` looks requests up in a stored table; ``batched`` runs a Python callable over Arrow batches, which
 is where a model would be called, with bounded retries for answers that do not come.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions import text as X
 
 
 class Provider(Protocol):
@@ -51,3 +56,65 @@ def batched(answer: Callable[[list[dict]], list[dict]], schema: str, retries: in
         return requests.mapInArrow(run, schema)
 
     return provider
+
+
+@dataclass(frozen=True)
+class Contract:
+    """Columns of requests and of answers, and the key by which an answer belongs to its request."""
+
+    requests: str
+    answers: str
+    key: tuple[str, ...]
+
+
+BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
+CONTRACTS = {
+    # Several sentences that may follow the context.
+    "generator": Contract("image_id string, image_path string, step int, prompt string, context string, n int, temperature double", "image_id string, step int, cand_idx int, sentence string", ("image_id", "step")),
+    # All objects of a fixed list of labels; centre and size are shares of the image.
+    "closed_detector": Contract("image_id string, image_path string", "image_id string, label string, ord int, conf double, x double, y double, w double, h double", ("image_id",)),
+    # The objects that a caption "a.b." names; boxes in pixels.
+    "open_detector": Contract("image_id string, image_path string, caption string", f"image_id string, label string, ord int, conf double, box {BOX}", ("image_id",)),
+    "graph_parser": Contract("sentence string", "sentence string, graph string", ("sentence",)),
+    "resolver": Contract("context string, sentence string", "context string, sentence string, resolved string", ("context", "sentence")),
+    "tagger": Contract("sentence string", "sentence string, tokens array<struct<text:string,pos:string,lemma:string>>", ("sentence",)),
+    "judge": Contract("prompt string", "prompt string, answer string", ("prompt",)),
+    "answerer": Contract("question_id string, image_path string, question string", "question_id string, answer string", ("question_id",)),
+}
+
+
+def _as(df: DataFrame, columns: str, what: str) -> DataFrame:
+    """The columns of a contract, with its types."""
+    fields = StructType.fromDDL(columns).fields
+    missing = [f.name for f in fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{what} without {', '.join(missing)}")
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def bound(provider: Provider, contract: Contract) -> Provider:
+    """The provider with its requests and answers held to a contract: equal requests are asked once."""
+
+    def ask(requests: DataFrame) -> DataFrame:
+        return _as(provider(_as(requests, contract.requests, "requests").distinct()), contract.answers, "answers")
+
+    return ask
+
+
+def generator_requests(images: DataFrame, n: int = 10, temperature: float = 0.7) -> DataFrame:
+    """Requests for the next sentences of (image_id, image_path, step, prompt, context)."""
+    return images.select("image_id", "image_path", "step", "prompt", "context", F.lit(n).alias("n"), F.lit(temperature).alias("temperature"))
+
+
+def open_requests(objects: DataFrame, images: DataFrame) -> DataFrame:
+    """One request for an image and all objects named of it, from (image_id, rep)."""
+    captions = objects.groupBy("image_id").agg(X.pack_objects(F.collect_set("rep")).alias("caption"))
+    return captions.join(images.select("image_id", "image_path"), "image_id").select("image_id", "image_path", "caption")
+
+
+def resolved(sentences: DataFrame, resolver: Provider) -> DataFrame:
+    """Sentences of (context, sentence) with their references resolved; one without an answer stays as it is."""
+    key = ["context", "sentence"]
+    answers = bound(resolver, CONTRACTS["resolver"])(sentences).dropDuplicates(key).select(*(F.col(k).alias(f"{k}_") for k in key), F.col("resolved").alias("resolved_"))
+    same = F.col("context").eqNullSafe(F.col("context_")) & F.col("sentence").eqNullSafe(F.col("sentence_"))
+    return sentences.join(answers, same, "left").select(sentences["*"], F.coalesce("resolved_", "sentence").alias("resolved"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import text as X
-from ..operators import mask, metrics, pairs, relational, verdict
+from ..operators import mask, metrics, pairs, providers, relational, verdict
 from ..streaming import state
-from .bindings import LEXICON, SQL_LINES, VOCABULARY, candidates, detections, lines, query
+from .bindings import LEXICON, SQL_LINES, VOCABULARY, candidates, detections, lines, query, table
 
 
 def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -336,3 +336,49 @@ def win15_16_chunks(spark: SparkSession, d: str) -> DataFrame:
 
     images = lines(spark, d).select("image_id").distinct()
     return chunks(images, 7, images.count(), "image_id")
+
+
+def _images(df: DataFrame) -> DataFrame:
+    return df.select("image_id", F.concat(F.lit("img/"), "image_id").alias("image_path")).distinct()
+
+
+@query("prv1_generated", f"""WITH {SQL_LINES}, s AS (SELECT DISTINCT image_id, step FROM lines)
+SELECT image_id, step, CAST(i AS INT) AS cand_idx, image_id || '/' || step || '/' || i AS sentence FROM s, unnest(range(0, 10)) r(i)""")
+def prv1_generated(spark: SparkSession, d: str) -> DataFrame:
+    """PRV1: candidates of each step from a generator that is called on batches of requests."""
+    steps = candidates(spark, d).select("image_id", "step").distinct()
+    rows = steps.join(_images(steps), "image_id").select("*", F.lit("Describe this image.").alias("prompt"), F.lit("").alias("context"))
+
+    def say(asked: list[dict]) -> list[dict]:
+        return [{"image_id": r["image_id"], "step": r["step"], "cand_idx": i, "sentence": f"{r['image_id']}/{r['step']}/{i}"} for r in asked for i in range(r["n"])]
+
+    contract = providers.CONTRACTS["generator"]
+    return providers.bound(providers.batched(say, contract.answers), contract)(providers.generator_requests(rows))
+
+
+@query("prv2_3_detector_requests", f"""WITH {SQL_LINES}, c AS (SELECT image_id, string_agg(DISTINCT rep, '.' ORDER BY rep) || '.' AS caption FROM mentions GROUP BY image_id)
+SELECT c.image_id, caption, d.label, d.ord, d.conf FROM c JOIN detections d ON d.image_id = c.image_id AND d.detector = 'open' AND list_contains(string_split(caption, '.'), d.label)""")
+def prv2_3_detector_requests(spark: SparkSession, d: str) -> DataFrame:
+    """PRV2-3: each image's objects as one caption, and what the open detector finds of them."""
+    found = verdict.mentions(candidates(spark, d), LEXICON)
+    asked = providers.open_requests(found, _images(found))
+    boxes = _boxes(spark, d).filter("detector = 'open'").drop("image_path")
+    look = lambda r: r.join(boxes, "image_id").filter(F.array_contains(X.unpack_objects(F.col("caption")), F.col("label")))
+    answers = providers.bound(look, providers.CONTRACTS["open_detector"])(asked)
+    return asked.select("image_id", "caption").join(answers, "image_id").select("image_id", "caption", "label", "ord", "conf")
+
+
+@query("prv5_resolved", f"""WITH {SQL_LINES} SELECT image_id, step, cand_idx, CASE WHEN step > 1 AND split_part(sentence, ' ', 2) = 'gear' THEN 'the ' || sentence ELSE sentence END AS resolved FROM lines""")
+def prv5_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """PRV4-6: references resolved by a stored table; sentences without an answer stay as they are."""
+    rows = candidates(spark, d).withColumn("context", F.when(F.col("step") > 1, "Before."))
+    known = rows.filter("context is not null and sentence like '% gear'").select("context", "sentence", F.concat(F.lit("the "), "sentence").alias("resolved")).distinct()
+    return providers.resolved(rows, providers.TableProvider(known, ["context", "sentence"])).select("image_id", "step", "cand_idx", "resolved")
+
+
+@query("prv7_8_judged", """WITH a AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) SELECT p_partkey, p_type || '?' AS prompt, CASE WHEN n % 2 = 0 THEN 'yes' END AS answer FROM part JOIN a USING (p_type)""")
+def prv7_8_judged(spark: SparkSession, d: str) -> DataFrame:
+    """PRV7-8: equal prompts are asked once; a prompt without an answer has none."""
+    rows = table(spark, d, "part").select("p_partkey", F.concat("p_type", F.lit("?")).alias("prompt"))
+    even = rows.groupBy("prompt").agg(F.count("*").alias("n")).filter("n % 2 = 0").select("prompt", F.lit("yes").alias("answer"))
+    return rows.join(providers.bound(providers.TableProvider(even, ["prompt"]), providers.CONTRACTS["judge"])(rows), "prompt", "left")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sentrellis.operators.providers import TableProvider, batched
+from sentrellis.operators.providers import CONTRACTS, TableProvider, batched, bound, resolved
 from sentrellis.sources import readers, writers
 from sentrellis.streaming import state
 
@@ -84,6 +84,25 @@ def test_providers(spark):
     assert sorted(r["v"] for r in upper(asked).collect()) == ["A", "A", "B"]
 
 
+def test_contracts(spark):
+    asked, calls = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "prompt string, more int"), spark.sparkContext.accumulator(0)
+
+    def judge(rows):
+        calls.add(len(rows))
+        return [{"prompt": r["prompt"], "answer": str(list(r))} for r in rows]
+
+    got = bound(batched(judge, "prompt string, answer string"), CONTRACTS["judge"])(asked)
+    assert sorted(map(tuple, got.collect()), key=repr) == [("a", "['prompt']"), (None, "['prompt']")] and calls.value == 2
+    with pytest.raises(ValueError, match="requests without prompt"):
+        bound(judge, CONTRACTS["judge"])(asked.drop("prompt"))
+    with pytest.raises(ValueError, match="answers without answer"):
+        bound(lambda r: r, CONTRACTS["judge"])(asked)
+    rows = spark.createDataFrame([(1, None, "it"), (2, "a dog.", "it"), (3, "a dog.", "he"), (4, None, None)], "id int, context string, sentence string")
+    known = spark.createDataFrame([("a dog.", "it", "the dog"), ("a dog.", "it", "the dog"), (None, "it", "that")], "context string, sentence string, resolved string")
+    got = resolved(rows, lambda r: known)
+    assert sorted((r["id"], r["resolved"]) for r in got.collect()) == [(1, "that"), (2, "the dog"), (3, "he"), (4, None)]
+
+
 def test_state_over_a_stream(spark, tmp_path):
     rows = [("i", 1, ["a", "b"], ["dog"]), ("i", 2, ["a", "a"], ["cat"]), ("i", 3, ["", "", "x"], ["car"]), ("i", 4, ["q", "r"], ["bus"]), ("j", 1, ["a"], ["dog"])]
     source = str(tmp_path / "in")
