@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, lines, mixing, quality, search, secrets, secrets_sql, simhash, substrings, tokens
+from . import alignment, audit_sql, decontam, divergence, language, lines, mixing, quality, rules, search, secrets, secrets_sql, simhash, substrings, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return out.select("row.doc_id", *measures, rules.fails("base").alias("base_failed"), (~rules.fails(rules.LATEST)).alias("kept"), "failed")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -79,6 +94,9 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_topk": op9_topk,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_alignment": op11_alignment,
+        "op12_divergence": op12_divergence,
+        "op13_quality_rules": op13_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -169,4 +187,12 @@ FROM d LEFT JOIN (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_secrets": secrets_sql.query(), "op6_line_dedup": OP6_SQL, "op9_topk": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {
+        "op1_mixing": OP1_SQL,
+        "op4_secrets": secrets_sql.query(),
+        "op6_line_dedup": OP6_SQL,
+        "op9_topk": OP9_SQL,
+        "op10_substring_dedup": OP10_SQL,
+        "op12_divergence": audit_sql.OP12_SQL,
+        "op13_quality_rules": audit_sql.OP13_SQL,
+    }

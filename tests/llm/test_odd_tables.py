@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentrellis.llm import common, copies, decontam, language, lines, mixing, quality, secrets, simhash, substrings, tokens
+from sentrellis.llm import alignment, common, copies, decontam, divergence, language, lines, mixing, quality, rules, secrets, simhash, substrings, tokens
 
 NAMES = ["my col", "a.b", "stays", "row", "of", "key", "holder_", "leaks", "score", "goes", "n_words", "base", "label", "copies", "kept"]
 KIND = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` int" for n in NAMES)
@@ -39,6 +39,8 @@ OPERATORS = {
     "simhash": lambda d, b, q: simhash.near_duplicates(d),
     "near_copies": lambda d, b, q: copies.near_copies(d),
     "substrings": lambda d, b, q: substrings.remove_repeats(d),
+    "alignment": lambda d, b, q: alignment.align(d),
+    "rules": lambda d, b, q: rules.ledger(d),
 }
 
 
@@ -47,12 +49,22 @@ def test_operators(docs, benchmark, labels, name):
     got = OPERATORS[name](docs, benchmark, labels)
     rows = got.collect()
     assert len(rows) == len(TEXTS)
-    if "row" in got.columns:
+    if name == "alignment":
+        assert got.select("row.*").columns == [c for c in docs.columns if c != "text"]
+    elif "row" in got.columns:
         assert got.select("row.*").columns == docs.columns
         assert sorted(map(repr, (r["row"] for r in rows))) == sorted(map(repr, docs.collect()))
     assert OPERATORS[name](docs.limit(0), benchmark, labels).collect() == []
 
 
+def test_divergence_of_odd_rows(docs):
+    # One language of two sources, null being one of them; a term's documents are rows.
+    got = divergence.audit(docs, min_docs=2)
+    assert {(r["lang"], r["source"], r["item"]) for r in got.filter("part = 'pair'").collect()} == {("en", "s", ""), ("en", "", "s")}
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    assert divergence.audit(docs.limit(0)).collect() == []
+
+
 def test_filters(docs, benchmark, labels):
     for out in (simhash.simhash_dedup(docs), copies.copy_dedup(docs)):
         kept = out.collect()
