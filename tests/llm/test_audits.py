@@ -74,7 +74,7 @@ def test_share_of_large_numbers(spark):
 CLEAN = " ".join(f"word{i} of{i} text{i}." for i in range(40))
 RULED = [
     (1, None), (2, ""), (3, " \n\t\n"), (4, CLEAN), (5, CLEAN.upper()), (6, "one two three " * 40), (7, " ".join(f"w{i}###" for i in range(60))), (8, "\n".join([CLEAN] + ["again and again"] * 5)),
-    (9, "\n".join(f"- item{i} thing{i} more{i}" for i in range(30))), (10, "\n".join(f"line{i} goes{i} further{i} on{i}..." for i in range(30))), (11, " ".join(str(i) for i in range(80))), (12, " ".join("é" * 30 + str(i) for i in range(60))), (4, CLEAN), (13, "x y z " * 30_000),
+    (9, "\n".join(f"- item{i} thing{i} more{i} yet{i} longer{i}" for i in range(30))), (10, "\n".join(f"line{i} goes{i} further{i} on{i}..." for i in range(30))), (11, " ".join(str(i) for i in range(80))), (12, " ".join("é" * 30 + str(i) for i in range(60))), (4, CLEAN), (13, "x y z " * 30_000),
 ]
 
 
