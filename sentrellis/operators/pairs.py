@@ -23,6 +23,49 @@ def draw(seed: str, *key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(k.cast("string") for k in key)))
 
 
+PAIR = (
+    "struct<step:int,rank:int,win:int,lose:int,y_win:string,y_lose:string,context:string,"
+    "context_objects:array<string>,win_objects:array<string>,lose_hallu:array<string>>"
+)
+CHOSEN = "struct<step:int,cand_idx:int,sentence:string,hallu:array<string>>"
+
+
+def context_state(ctx: Column | None = None, said: Column | None = None) -> Column:
+    """What is known of an image before a step: objects and sentences of its context, no pairs and choices yet."""
+    none = F.array().cast(STRINGS)
+    return F.struct(
+        (none if ctx is None else ctx).alias("ctx"), (none if said is None else said).alias("said"),
+        F.array().cast(f"array<{PAIR}>").alias("pairs"), F.array().cast(f"array<{CHOSEN}>").alias("chosen"),
+    )
+
+
+def advance(acc: Column, s: Column) -> Column:
+    """The state after a step (step, cands): its pairs and its choice added."""
+    clean = F.filter(s["cands"], is_clean)
+    explores = lambda c: ~F.arrays_overlap(c["reps"], acc["ctx"])
+    explore = F.filter(clean, explores)
+    normal = F.filter(clean, lambda c: ~explores(c))
+    bad = F.filter(s["cands"], is_hallucinated)
+    many = F.size(s["cands"]) > 1
+    n = F.when(many, F.least(F.size(normal), F.size(bad))).otherwise(0)
+    context = F.array_join(acc["said"], " ")
+    build = lambda w, i: F.struct(
+        s["step"].cast("int").alias("step"), i.cast("int").alias("rank"), w["cand_idx"].cast("int").alias("win"), F.get(bad, i)["cand_idx"].cast("int").alias("lose"),
+        w["sentence"].alias("y_win"), F.get(bad, i)["sentence"].alias("y_lose"), context.alias("context"), acc["ctx"].alias("context_objects"),
+        w["reps"].alias("win_objects"), F.get(bad, i)["hallu"].alias("lose_hallu"),
+    )
+    pairs = F.transform(F.slice(normal, F.lit(1), n), build)
+    pool = F.when(~many, s["cands"]).when(F.size(explore) > 0, explore).when(F.size(normal) > 0, normal).otherwise(s["cands"])
+    best = F.array_min(F.transform(pool, lambda c: F.struct(c["draw"].alias("d"), c["cand_idx"].alias("i"), c.alias("c"))))["c"]
+    choice = F.struct(s["step"].cast("int").alias("step"), best["cand_idx"].cast("int").alias("cand_idx"), best["sentence"].alias("sentence"), best["hallu"].alias("hallu"))
+    return F.struct(
+        F.array_sort(F.array_union(acc["ctx"], best["real"])).alias("ctx"),
+        F.concat(acc["said"], F.array(best["sentence"])).alias("said"),
+        F.concat(acc["pairs"], pairs).alias("pairs"),
+        F.concat(acc["chosen"], F.array(choice)).alias("chosen"),
+    )
+
+
 def fold_steps(judged: DataFrame, seed: str = "s") -> DataFrame:
     """image_id and, for each step, its context so far, pairs and chosen candidate, folded over an image's steps.
 
@@ -34,34 +77,8 @@ def fold_steps(judged: DataFrame, seed: str = "s") -> DataFrame:
     cand = F.struct("cand_idx", "sentence", "reps", "hallu", "unsure", "real", draw(seed, F.col("image_id"), F.col("step"), F.col("cand_idx")).alias("draw"))
     steps = judged.groupBy("image_id", "step").agg(F.array_sort(F.collect_list(cand)).alias("cands"))
     images = steps.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("step", "cands"))).alias("steps"))
-    pair = "struct<step:int,rank:int,win:int,lose:int,y_win:string,y_lose:string,context:string,context_objects:array<string>,win_objects:array<string>,lose_hallu:array<string>>"
-    chosen = "struct<step:int,cand_idx:int,sentence:string,hallu:array<string>>"
-    start = F.struct(F.array().cast(STRINGS).alias("ctx"), F.array().cast(STRINGS).alias("said"), F.array().cast(f"array<{pair}>").alias("pairs"), F.array().cast(f"array<{chosen}>").alias("chosen"))
-
-    def step(acc: Column, s: Column) -> Column:
-        clean = F.filter(s["cands"], is_clean)
-        explores = lambda c: ~F.arrays_overlap(c["reps"], acc["ctx"])
-        explore = F.filter(clean, explores)
-        normal = F.filter(clean, lambda c: ~explores(c))
-        bad = F.filter(s["cands"], is_hallucinated)
-        many = F.size(s["cands"]) > 1
-        n = F.when(many, F.least(F.size(normal), F.size(bad))).otherwise(0)
-        context = F.array_join(acc["said"], " ")
-        build = lambda w, i: F.struct(
-            s["step"].cast("int").alias("step"), i.cast("int").alias("rank"), w["cand_idx"].cast("int").alias("win"), F.get(bad, i)["cand_idx"].cast("int").alias("lose"),
-            w["sentence"].alias("y_win"), F.get(bad, i)["sentence"].alias("y_lose"), context.alias("context"), acc["ctx"].alias("context_objects"), w["reps"].alias("win_objects"), F.get(bad, i)["hallu"].alias("lose_hallu"),
-        )
-        pairs = F.transform(F.slice(normal, F.lit(1), n), build)
-        pool = F.when(~many, s["cands"]).when(F.size(explore) > 0, explore).when(F.size(normal) > 0, normal).otherwise(s["cands"])
-        best = F.array_min(F.transform(pool, lambda c: F.struct(c["draw"].alias("d"), c["cand_idx"].alias("i"), c.alias("c"))))["c"]
-        return F.struct(
-            F.array_sort(F.array_union(acc["ctx"], best["real"])).alias("ctx"),
-            F.concat(acc["said"], F.array(best["sentence"])).alias("said"),
-            F.concat(acc["pairs"], pairs).alias("pairs"),
-            F.concat(acc["chosen"], F.array(F.struct(s["step"].cast("int").alias("step"), best["cand_idx"].cast("int").alias("cand_idx"), best["sentence"].alias("sentence"), best["hallu"].alias("hallu")))).alias("chosen"),
-        )
-
-    return images.select("image_id", F.aggregate("steps", start, step).alias("acc")).select("image_id", "acc.pairs", "acc.chosen", F.col("acc.ctx").alias("context_objects"))
+    folded = images.select("image_id", F.aggregate("steps", context_state(), advance).alias("acc"))
+    return folded.select("image_id", "acc.pairs", "acc.chosen", F.col("acc.ctx").alias("context_objects"))
 
 
 def pair_rows(folded: DataFrame) -> DataFrame:
@@ -99,6 +116,16 @@ def placed_objects(boxes: DataFrame, found: DataFrame, small: float = 0.02, edge
     return per.select("image_id", "label", (F.col("largest") < small).alias("small"), (F.col("farthest") < edge).alias("edge"))
 
 
+def extreme_boxes(boxes: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Of each label's boxes (ord, x, y, w, h), the largest and smallest, that closest to an edge and that farthest
+    from any; of equal ones the first. Measures are compared in nine digits."""
+    size = F.round(F.col("w") * F.col("h"), 9)
+    edge = F.round(F.least("x", 1 - F.col("x"), "y", 1 - F.col("y")), 9)
+    least = lambda m: F.min_by("ord", F.struct(m, "ord"))
+    most = lambda m: F.max_by("ord", F.struct(m, -F.col("ord")))
+    return boxes.groupBy(*(key or ["image_id", "label"])).agg(most(size).alias("largest"), least(size).alias("smallest"), least(edge).alias("closest"), most(edge).alias("farthest"))
+
+
 def image_summary(folded: DataFrame, judged: DataFrame, hard: DataFrame, placed: DataFrame) -> DataFrame:
     """One row per image: its caption, its objects by verdict, hard positives, small and edge objects."""
     from .verdict import image_objects

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import text as X
-from ..operators import mask, metrics, pairs, providers, relational, verdict
+from ..operators import mask, metrics, pairs, providers, relational, run, verdict
 from ..streaming import state
-from .bindings import LEXICON, SQL_LINES, VOCABULARY, candidates, detections, lines, query, table
+from .bindings import LEXICON, SQL_LINES, VOCABULARY, candidates, detections, lines, query, scratch, table
 
 
 def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -132,14 +132,6 @@ def state_steps(spark: SparkSession, d: str) -> DataFrame:
     return steps.join(seen, "image_id", "left").withColumns({c: F.coalesce(c, none) for c in ("closed", "open")})
 
 
-@query("str2_context_state", FOLD_SQL + " SELECT image_id, CAST(step AS INT) AS step, pick AS cand_idx, pair_ids FROM f WHERE k > 0")
-def str2_context_state(spark: SparkSession, d: str) -> DataFrame:
-    """STR2, VRD9: the fold of WIN5 by a processor that keeps each image's context and verdicts, here on a table."""
-    out = state.context_stream(state_steps(spark, d), VOCABULARY, stop_share=1.0)
-    ids = F.array_join(F.zip_with("win", "lose", lambda w, x: F.concat(w.cast("string"), F.lit("-"), x.cast("string"))), ",")
-    return out.select("image_id", "step", "cand_idx", ids.alias("pair_ids"))
-
-
 @query("pair1_pairs", FOLD_SQL + """ SELECT image_id, CAST(step AS INT) AS step, CAST(split_part(p, '-', 1) AS INT) AS win, CAST(split_part(p, '-', 2) AS INT) AS lose, 'y+' AS type
 FROM (SELECT image_id, step, unnest(string_split(pair_ids, ',')) AS p FROM f WHERE pair_ids <> '')""")
 def pair1_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -147,6 +139,69 @@ def pair1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_rows(pairs.fold_steps(verdict.judged_candidates(*judged(spark, d)))).select("image_id", "step", "win", "lose", "type")
 
 
+# A step of the run: what was said before is left empty by the generator, repeats count as empty, and an image ends
+# after a step of which less than half is left.
+def run_sql(kept: str) -> str:
+    """The run's steps as ``f``; ``kept`` says which sentences the generator does not leave empty."""
+    return f"""WITH RECURSIVE {SQL_LINES}, g AS (
+  SELECT image_id, step, list({{'i': cand_idx, 's': sentence, 'r': rep, 'v': verdict, 'd': md5('s|' || image_id || '|' || step || '|' || cand_idx)}} ORDER BY cand_idx) AS cs
+  FROM judged GROUP BY image_id, step
+), f AS (
+  SELECT image_id, CAST(0 AS INT) AS step, CAST([] AS VARCHAR[]) AS ctx, '' AS said, '' AS pair_ids, CAST(-1 AS INT) AS pick, false AS ended
+  FROM (SELECT DISTINCT image_id FROM g)
+  UNION ALL
+  SELECT image_id, step, CASE WHEN best.v = 'real' AND NOT list_contains(ctx, best.r) THEN list_append(ctx, best.r) ELSE ctx END,
+         CASE WHEN best IS NULL THEN said WHEN said = '' THEN best.s ELSE said || ' ' || best.s END,
+         CASE WHEN len(cs) > 1 THEN array_to_string(list_transform(range(1, least(len(normal), len(bad)) + 1), lambda j: normal[j].i || '-' || bad[j].i), ',') ELSE '' END,
+         CAST(best.i AS INT), 1 - len(cs) / n > 0.5
+  FROM (
+    SELECT *, list_sort(list_transform(
+             CASE WHEN len(cs) = 1 THEN cs WHEN len(explore) > 0 THEN explore WHEN len(normal) > 0 THEN normal ELSE cs END,
+             lambda c: {{'d': c.d, 'i': c.i, 'r': c.r, 'v': c.v, 's': c.s}}))[1] AS best
+    FROM (
+      SELECT *, list_filter(cs, lambda c: c.v = 'real' AND NOT list_contains(ctx, c.r)) AS explore,
+             list_filter(cs, lambda c: c.v = 'real' AND list_contains(ctx, c.r)) AS normal, list_filter(cs, lambda c: c.v = 'hallucinated') AS bad
+      FROM (
+        SELECT *, list_filter(fresh, lambda c, i: list_position(list_transform(fresh, lambda y: y.s), c.s) = i) AS cs
+        FROM (
+          SELECT g.image_id, g.step, f.ctx, f.said, len(g.cs) AS n, list_filter(g.cs, lambda c: {kept}) AS fresh
+          FROM f JOIN g ON g.image_id = f.image_id AND g.step = f.step + 1 WHERE NOT f.ended
+        )
+      )
+    )
+  )
+)"""
+
+
+@query("pair5_run_loop", run_sql("NOT contains(f.said, c.s)") + " SELECT image_id, step, pick AS cand_idx, pair_ids, ended FROM f WHERE step > 0 AND pick IS NOT NULL")
+def pair5_run_loop(spark: SparkSession, d: str) -> DataFrame:
+    """PAIR5, STR1, STR3-4, VRD9: the whole run, asking for each step with the context chosen so far. The generator
+    gives a step's sentences and leaves those empty that the context holds."""
+    path = scratch(spark)
+    for name, df in (("said", candidates(spark, d)), ("seen", _boxes(spark, d))):
+        df.write.parquet(f"{path}/{name}")  # the providers look things up in each step
+    cand, boxes = spark.read.parquet(f"{path}/said"), spark.read.parquet(f"{path}/seen")
+
+    def say(asked: DataFrame) -> DataFrame:
+        rows = asked.select("image_id", "step", "context").join(cand, ["image_id", "step"])
+        return rows.withColumn("sentence", F.when(F.contains("context", "sentence"), "").otherwise(F.col("sentence")))
+
+    look = lambda r: r.select("image_id", "caption").join(boxes.filter("detector = 'open'"), "image_id").filter(F.array_contains(X.unpack_objects(F.col("caption")), F.col("label")))
+    models = run.Models(say, providers.TableProvider(boxes.filter("detector = 'closed'"), ["image_id"]), look)
+    images = _images(cand).withColumn("prompt", F.lit("Describe this image."))
+    states = run.Run(spark, f"{path}/run", models, LEXICON, VOCABULARY).run(images).states()
+    ids = F.array_join(F.transform("pairs", lambda p: F.concat(p["win"].cast("string"), F.lit("-"), p["lose"].cast("string"))), ",")
+    return states.filter("step > 0 and size(chosen) > 0").select("image_id", "step", F.get("chosen", F.lit(0))["cand_idx"].alias("cand_idx"), ids.alias("pair_ids"), "ended")
+
+
+@query("str2_context_state", run_sql("true") + " SELECT image_id, step, pick AS cand_idx, pair_ids, ended FROM f WHERE step > 0 AND pick IS NOT NULL")
+def str2_context_state(spark: SparkSession, d: str) -> DataFrame:
+    """STR2-3, VRD9: the run's steps by a processor that keeps each image's context and verdicts, here on a table."""
+    out = state.context_stream(state_steps(spark, d), VOCABULARY)
+    ids = F.array_join(F.zip_with("win", "lose", lambda w, x: F.concat(w.cast("string"), F.lit("-"), x.cast("string"))), ",")
+    return out.select("image_id", "step", "cand_idx", ids.alias("pair_ids"), "ended")
+
+
 @query("win3_4_running_context", FOLD_SQL + """, h AS (SELECT f.image_id, CAST(f.step AS INT) AS step, l.sentence FROM f JOIN lines l ON l.image_id = f.image_id AND l.step = f.step AND l.cand_idx = f.pick WHERE k > 0)
 SELECT *, coalesce(string_agg(sentence, ' ') OVER (PARTITION BY image_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM h""")
 def win3_4_running_context(spark: SparkSession, d: str) -> DataFrame:
@@ -263,13 +318,12 @@ def flt7_gate(spark: SparkSession, d: str) -> DataFrame:
     return per.filter(F.exists("scores", lambda s: s >= 0.8)).select("image_id", "label", F.size("scores").cast("long").alias("boxes"))
 
 
-@query("agg25_extreme_boxes", f"""WITH {SQL_LINES}
-SELECT image_id, label, arg_max(ord, w * h * 1e6 - ord) AS largest, arg_min(ord, w * h * 1e6 + ord) AS smallest,
-       arg_min(ord, least(x, 1 - x, y, 1 - y) * 1e6 + ord) AS closest, arg_max(ord, least(x, 1 - x, y, 1 - y) * 1e6 - ord) AS farthest FROM detections GROUP BY image_id, label""")
+@query("agg25_extreme_boxes", f"""WITH {SQL_LINES}, m AS (SELECT image_id, label, ord, round(w * h, 9) AS size, round(least(x, 1 - x, y, 1 - y), 9) AS edge FROM detections)
+SELECT image_id, label, first(ord ORDER BY size DESC, ord) AS largest, first(ord ORDER BY size, ord) AS smallest,
+       first(ord ORDER BY edge, ord) AS closest, first(ord ORDER BY edge DESC, ord) AS farthest FROM m GROUP BY image_id, label""")
 def agg25_extreme_boxes(spark: SparkSession, d: str) -> DataFrame:
     """AGG25: largest, smallest, closest to an edge and farthest from it, ties to the first."""
-    size, edge, ord_ = F.col("w") * F.col("h") * 1e6, B.edge_distance(F.col("x"), F.col("y")) * 1e6, F.col("ord")
-    return detections(spark, d).groupBy("image_id", "label").agg(F.max_by("ord", size - ord_).alias("largest"), F.min_by("ord", size + ord_).alias("smallest"), F.min_by("ord", edge + ord_).alias("closest"), F.max_by("ord", edge - ord_).alias("farthest"))
+    return pairs.extreme_boxes(detections(spark, d))
 
 
 @query("mth5_mask_boxes", f"""WITH {BOX_SQL}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +9,10 @@ from ..functions import arrays as A
 from ..functions import text as X
 from ..operators import metrics, samplers, submission
 from ..sources import readers, writers
-from .bindings import query, table
+from .bindings import query, scratch, table
 from .scores import HALL, _amber, _hall
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below the checkpoint folder or else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/sentrellis-files/{uuid.uuid4().hex}"
-
-
 @query("prj15_question_rows", "SELECT CASE WHEN p_size % 3 = 0 THEN '' ELSE 'img/' || p_brand END AS image, p_type AS question, CASE WHEN p_size % 3 = 0 THEN '' ELSE './img/' || p_brand END AS filename, p_partkey AS id FROM part")
 def prj15_question_rows(spark: SparkSession, d: str) -> DataFrame:
     """PRJ15: question rows with the image's path first."""

@@ -7,41 +7,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-
-class StepState(StatefulProcessor):
-    """Keeps an image's objects and number of steps; a step with too few distinct texts ends the image: its summary is
-    emitted and its state cleared, later steps of it are ignored."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("image", "objects array<string>, steps int, done boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        objects, steps, done = self.state.get() if self.state.exists() else ([], 0, False)
-        objects = set(objects)
-        for step in pd.concat(list(rows)).sort_values("step").itertuples():
-            if done:
-                break
-            texts = list(step.texts)
-            kept = {t for t in texts if t}
-            if not texts or 1 - len(kept) / len(texts) > 0.5:
-                done = True
-                yield pd.DataFrame({"image_id": [key[0]], "steps": [steps], "objects": [".".join(sorted(objects))]})
-            else:
-                steps += 1
-                objects |= set(step.objects)
-        self.state.update(([] if done else sorted(objects), 0 if done else steps, done))
-
-    def close(self) -> None:
-        pass
-
-
-def fold_stream(steps: DataFrame) -> DataFrame:
-    """image_id, steps and objects of every image that has ended, from a stream of (image_id, step, texts, objects)."""
-    return steps.groupBy("image_id").transformWithStateInPandas(StepState(), "image_id string, steps int, objects string", "Append", "None")
+from pyspark.sql.types import StructType
 
 
 class ContextState(StatefulProcessor):
@@ -49,10 +19,11 @@ class ContextState(StatefulProcessor):
     ``pairs.fold_steps`` does.
 
     A row is a step: the candidates' numbers, sentences and representatives in parallel lists, and the labels that each
-    detector found so far. An object is ruled once for an image, by the labels of the first step that mentions it. A
-    step whose candidates are mostly empty or repeated ends the image: its last row says so, what is kept of it but that
-    is cleared, and later steps of it are ignored. An image's steps must come in order. The state grows with the
-    image's objects and chosen sentences, which are few.
+    detector found so far. Candidates are the distinct sentences that are not empty, each under its first number. An
+    object is ruled once for an image, by the labels of the first step that mentions it. A step whose sentences are
+    mostly empty or repeated ends the image: what is left of that step still counts, its row says that it is the last,
+    what is kept of the image but that is cleared, and later steps of it are ignored. An image's steps must come in
+    order. The state grows with the image's objects and chosen sentences, which are few.
     """
 
     OUTPUT = (
@@ -73,31 +44,39 @@ class ContextState(StatefulProcessor):
         for row in pd.concat(list(rows)).sort_values("step").itertuples():
             if done:
                 break
-            texts = list(row.sentences)
-            done = not texts or 1 - len({t for t in texts if t}) / len(texts) > self.stop_share
-            for rep in set() if done else {r for reps in row.reps for r in reps} - real - hallu - unsure:
+            cands = self._candidates(row)
+            done = not len(row.sentences) or 1 - len(cands) / len(row.sentences) > self.stop_share
+            for rep in {r for c in cands for r in c[2]} - real - hallu - unsure:
                 closed, opened = rep not in self.vocabulary or rep in row.closed, rep in row.open
                 (real if closed and opened else unsure if closed or opened else hallu).add(rep)
             before, objects = " ".join(said), sorted(context)
-            index, sentence, win, lose = (None, None, [], []) if done else self._choose(key[0], row, context, hallu, unsure)
-            if not done:
+            index, sentence, win, lose = None, None, [], []
+            if cands:
+                index, sentence, reps, win, lose = self._choose(key[0], row.step, cands, context, hallu, unsure)
                 said.append(sentence)
-                context |= real.intersection(row.reps[list(row.cand_idx).index(index)])
+                context |= real & reps
             out.append((key[0], row.step, index, sentence, before, objects, win, lose, sorted(real), sorted(hallu), sorted(unsure), done))
         self.state.update(([], [], [], [], [], True) if done else (said, sorted(context), sorted(real), sorted(hallu), sorted(unsure), False))
         names = [field.split()[0] for field in self.OUTPUT.split(", ")]
         yield pd.DataFrame(out, columns=names).astype({"step": "Int32", "cand_idx": "Int32"})
 
-    def _choose(self, image: str, row: Any, context: set[str], hallu: set[str], unsure: set[str]) -> tuple[int, str, list[int], list[int]]:
-        """The chosen candidate and its sentence, and the winners and losers of the step's pairs."""
-        cands = sorted(zip(map(int, row.cand_idx), row.sentences, map(set, row.reps), strict=True), key=lambda c: c[0])
+    @staticmethod
+    def _candidates(row: Any) -> list[tuple[int, str, set[str]]]:
+        """Number, sentence and representatives of a step's distinct sentences, by number."""
+        first: dict[str, tuple[int, str, set[str]]] = {}
+        for c in sorted(zip(map(int, row.cand_idx), row.sentences, map(set, row.reps), strict=True), key=lambda c: c[0]):
+            if c[1]:
+                first.setdefault(c[1], c)
+        return list(first.values())
+
+    def _choose(self, image: str, step: int, cands: list, context: set[str], hallu: set[str], unsure: set[str]) -> tuple[int, str, set[str], list[int], list[int]]:
+        """The chosen candidate, and the winners and losers of the step's pairs."""
         clean = [c for c in cands if c[2] and not c[2] & hallu and not c[2] & unsure]
         explore, normal = [c for c in clean if not c[2] & context], [c for c in clean if c[2] & context]
         pairs = list(zip(normal, (c for c in cands if c[2] & hallu), strict=False)) if len(cands) > 1 else []
         pool = (explore or normal or cands) if len(cands) > 1 else cands
-        draw = lambda c: (hashlib.md5(f"{self.seed}|{image}|{row.step}|{c[0]}".encode()).hexdigest(), c[0])
-        best = min(pool, key=draw)
-        return best[0], best[1], [w[0] for w, _ in pairs], [b[0] for _, b in pairs]
+        draw = lambda c: (hashlib.md5(f"{self.seed}|{image}|{step}|{c[0]}".encode()).hexdigest(), c[0])
+        return *min(pool, key=draw), [w[0] for w, _ in pairs], [b[0] for _, b in pairs]
 
     def close(self) -> None:
         pass
@@ -109,23 +88,42 @@ def context_stream(steps: DataFrame, vocabulary: list[str], seed: str = "s", sto
     return steps.groupBy("image_id").transformWithStateInPandas(ContextState(vocabulary, seed, stop_share), ContextState.OUTPUT, "Append", "None")
 
 
-def append_once(stream: DataFrame, path: str, checkpoint: str, key: list[str]):
-    """Append rows to a directory without repeating a key, whatever was written before a crash."""
+def append_once(stream: DataFrame, path: str, checkpoint: str, key: list[str], name: str = "out"):
+    """Append each micro-batch's rows to ``path`` exactly once, one row for each key of a batch.
+
+    A batch is a folder of its own, named by the query and the batch's number; after its rows a line of the manifest says that it is whole.
+    A batch that comes again overwrites what was left of it, or does nothing if the manifest has it, so that its
+    cost does not depend on what is there. ``appended`` reads what the manifest names. Keys that several batches hold
+    are all kept; which rows are new is the stream's own matter (``dropDuplicatesWithinWatermark``).
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(key)
-        try:
-            done = spark.read.schema(batch.schema).json(path)
-            rows = rows.join(done.select(*key), key, "left_anti")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        rows.write.mode("append").json(path)
+        if not _lines(spark, f"{path}/_manifest/{name}/{number:012d}").isEmpty():
+            return
+        batch.dropDuplicates(key).write.mode("overwrite").json(f"{path}/{name}/batch={number:012d}")
+        said = spark.createDataFrame([(f"{name}/batch={number:012d}",)], "value string")
+        said.coalesce(1).write.mode("overwrite").text(f"{path}/_manifest/{name}/{number:012d}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the files in a folder, none if there is no such folder."""
+    try:
+        return spark.read.text(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], "value string")
+
+
+def appended(spark: SparkSession, path: str, schema: StructType | str, name: str = "out") -> DataFrame:
+    """The rows of all batches that are whole; the names of their folders are all that the driver reads."""
+    folders = [r["value"] for r in _lines(spark, f"{path}/_manifest/{name}/*").collect()]
+    return spark.read.schema(schema).json([f"{path}/{f}" for f in folders]) if folders else spark.createDataFrame([], schema)
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Events and their values per window and type, late ones up to a bound; the same on a stream and on a table."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
