@@ -141,16 +141,19 @@ def pair1_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 # A step of the run: what was said before is left empty by the generator, repeats count as empty, and an image ends
 # after a step of which less than half is left.
-def run_sql(kept: str) -> str:
-    """The run's steps as ``f``; ``kept`` says which sentences the generator does not leave empty."""
+def run_sql(kept: str, place: str = "step") -> str:
+    """The run's steps as ``f``; ``kept`` says which sentences the generator does not leave empty, ``place`` which
+    step follows another."""
     return f"""WITH RECURSIVE {SQL_LINES}, g AS (
   SELECT image_id, step, list({{'i': cand_idx, 's': sentence, 'r': rep, 'v': verdict, 'd': md5('s|' || image_id || '|' || step || '|' || cand_idx)}} ORDER BY cand_idx) AS cs
   FROM judged GROUP BY image_id, step
+), h AS (
+  SELECT *, {place} AS k FROM g
 ), f AS (
-  SELECT image_id, CAST(0 AS INT) AS step, CAST([] AS VARCHAR[]) AS ctx, '' AS said, '' AS pair_ids, CAST(-1 AS INT) AS pick, false AS ended
+  SELECT image_id, CAST(0 AS BIGINT) AS k, CAST(0 AS INT) AS step, CAST([] AS VARCHAR[]) AS ctx, '' AS said, '' AS pair_ids, CAST(-1 AS INT) AS pick, false AS ended
   FROM (SELECT DISTINCT image_id FROM g)
   UNION ALL
-  SELECT image_id, step, CASE WHEN best.v = 'real' AND NOT list_contains(ctx, best.r) THEN list_append(ctx, best.r) ELSE ctx END,
+  SELECT image_id, k, step, CASE WHEN best.v = 'real' AND NOT list_contains(ctx, best.r) THEN list_append(ctx, best.r) ELSE ctx END,
          CASE WHEN best IS NULL THEN said WHEN said = '' THEN best.s ELSE said || ' ' || best.s END,
          CASE WHEN len(cs) > 1 THEN array_to_string(list_transform(range(1, least(len(normal), len(bad)) + 1), lambda j: normal[j].i || '-' || bad[j].i), ',') ELSE '' END,
          CAST(best.i AS INT), 1 - len(cs) / n > 0.5
@@ -164,8 +167,8 @@ def run_sql(kept: str) -> str:
       FROM (
         SELECT *, list_filter(fresh, lambda c, i: list_position(list_transform(fresh, lambda y: y.s), c.s) = i) AS cs
         FROM (
-          SELECT g.image_id, g.step, f.ctx, f.said, len(g.cs) AS n, list_filter(g.cs, lambda c: {kept}) AS fresh
-          FROM f JOIN g ON g.image_id = f.image_id AND g.step = f.step + 1 WHERE NOT f.ended
+          SELECT h.image_id, h.k, h.step, f.ctx, f.said, len(h.cs) AS n, list_filter(h.cs, lambda c: {kept}) AS fresh
+          FROM f JOIN h ON h.image_id = f.image_id AND h.k = f.k + 1 WHERE NOT f.ended
         )
       )
     )
@@ -194,7 +197,7 @@ def pair5_run_loop(spark: SparkSession, d: str) -> DataFrame:
     return states.filter("step > 0 and size(chosen) > 0").select("image_id", "step", F.get("chosen", F.lit(0))["cand_idx"].alias("cand_idx"), ids.alias("pair_ids"), "ended")
 
 
-@query("str2_context_state", run_sql("true") + " SELECT image_id, step, pick AS cand_idx, pair_ids, ended FROM f WHERE step > 0 AND pick IS NOT NULL")
+@query("str2_context_state", run_sql("true", "row_number() OVER (PARTITION BY image_id ORDER BY step)") + " SELECT image_id, step, pick AS cand_idx, pair_ids, ended FROM f WHERE step > 0 AND pick IS NOT NULL")
 def str2_context_state(spark: SparkSession, d: str) -> DataFrame:
     """STR2-3, VRD9: the run's steps by a processor that keeps each image's context and verdicts, here on a table."""
     out = state.context_stream(state_steps(spark, d), VOCABULARY)
