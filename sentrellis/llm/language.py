@@ -50,6 +50,8 @@ HELD_TOKENS, OUT_ROWS = 1_200_000, 100_000
 BROADCAST_COUNTS = 1_000_000
 #: Words whose tables change from sweep to sweep, up to which these, 24 bytes each, are broadcast and not joined.
 BROADCAST_TYPES = 1 << 20
+#: Codes of pairs and rows are below this, else they are sorted as two numbers.
+ONE_CODE = 1 << 62
 #: The hash of the token that ends a text.
 END = np.uint64(0x5E17A1B0C3D2E4F7)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -184,13 +186,20 @@ class Coded:
         places = both.astype(np.int64)
         before = np.concatenate((places[-1:], places[:-2]))  # a context is the token before; the first one's is the end
         many, rows = len(self.vocabulary), int(row.max()) + 1
-        code = ((before * many + places[:-1]) * rows + row)[some]
-        if many * many * rows >= 1 << 62:
-            raise ValueError("too many words for one chunk")
-        code.sort()
-        entry = _runs(code)
-        self.many = np.diff(np.append(entry, len(code))).astype(np.int32)
-        code, row = np.divmod(code[entry], rows)
+        code = (before * many + places[:-1])[some]
+        row = row[some]
+        if many * many * rows < ONE_CODE:
+            code = code * rows + row
+            code.sort()
+            entry = _runs(code)
+            self.many = np.diff(np.append(entry, len(code))).astype(np.int32)
+            code, row = np.divmod(code[entry], rows)
+        else:  # pair and row do not fit into one number
+            order = np.lexsort((row, code))
+            code, row = code[order], row[order]
+            entry = _runs(code, row)
+            self.many = np.diff(np.append(entry, len(code))).astype(np.int32)
+            code, row = code[entry], row[entry]
         self.row = row.astype(np.int32)
         self.first = _runs(code)
         code = code[self.first]

@@ -115,6 +115,98 @@ def test_sweeps_alike_without_a_broadcast(fitted):
         assert np.array(a, float) == pytest.approx(np.array(b, float))
 
 
+class Room:
+    """A restaurant whose customers sit down and leave one by one; above is another one, or the probability of each word."""
+
+    def __init__(self, d, above, rng):
+        self.d, self.above, self.rng, self.tables, self.n, self.t = d, above, rng, {}, 0, 0
+
+    def chance(self, w):
+        above = self.above.chance(w) if isinstance(self.above, Room) else self.above
+        mine = self.tables.get(w, ())
+        b = language.STRENGTH
+        return (sum(mine) - self.d * len(mine)) / (b + self.n) + (b + self.d * self.t) / (b + self.n) * above
+
+    def sit(self, w):
+        mine = self.tables.setdefault(w, [])
+        above = self.above.chance(w) if isinstance(self.above, Room) else self.above
+        weight = np.array([x - self.d for x in mine] + [(language.STRENGTH + self.d * self.t) * above])
+        at = int(np.searchsorted(np.cumsum(weight), self.rng.random() * weight.sum()))
+        self.n += 1
+        if at < len(mine):
+            mine[at] += 1
+            return
+        mine.append(1)
+        self.t += 1
+        if isinstance(self.above, Room):
+            self.above.sit(w)
+
+    def leave(self, w):
+        mine = self.tables[w]
+        at = int(np.searchsorted(np.cumsum(mine), self.rng.integers(sum(mine)), side="right"))
+        mine[at] -= 1
+        self.n -= 1
+        if not mine[at]:
+            del mine[at]
+            self.t -= 1
+            if isinstance(self.above, Room):
+                self.above.leave(w)
+
+
+def test_scores_are_those_of_a_plain_sampler(spark):
+    """Both levels at once: every customer of every context leaves and sits down again, tables are customers above."""
+    rng = np.random.default_rng(11)
+    follow = rng.dirichlet(np.full(60, 0.1), 60)
+    texts = []
+    for i in range(300):
+        words, last = [], int(rng.integers(60))
+        for _ in range(int(rng.integers(5, 40))):
+            last = int(rng.choice(60, p=follow[last]))
+            words.append(f"w{last}")
+        texts.append((i, " ".join(words)))
+    docs = common.materialise(spark.createDataFrame(texts, KIND).withColumn("train", ~language.held_out(F.col("doc_id"))).repartition(2))
+    model = language.fit(docs)
+    got = language.predict(docs, model).filter("held_out").agg(F.sum("score"), F.sum("n_tokens"), F.sum("base_score")).first()
+    pairs = lambda t: list(zip(["end", *t.split()], [*t.split(), "end"], strict=True))
+    train = [p for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2 for p in pairs(t)]
+    held = [p for i, t in texts if zlib.crc32(str(i).encode()) % 7 == 2 for p in pairs(t)]
+    top = Room(0.5, 1 / (model["kinds"] + 1), rng)
+    rooms = {u: Room(model["d"], top, rng) for u, _ in train}
+    for u, w in train:
+        rooms[u].sit(w)
+    total = np.zeros(len(held))
+    for sweep in range(24):
+        top.d = language.discount(np.array([sum(x) for x in top.tables.values()]))
+        for u, w in train:
+            rooms[u].leave(w)
+            rooms[u].sit(w)
+        if sweep >= 8:
+            total += [rooms[u].chance(w) if u in rooms else top.chance(w) for u, w in held]
+    plain = np.log10(total / 16).sum()
+    assert got[1] == len(held) and got[2] < plain - 0.3 * len(held)
+    assert got[0] / len(held) == pytest.approx(plain / len(held), abs=0.01)
+
+
+def test_pairs_of_many_words_and_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    word, row = rng.integers(0, 40, 2000).astype(np.uint64), np.sort(rng.integers(0, 30, 2000)).astype(np.int32)
+    context = np.concatenate((word[-1:], word[:-1]))
+    some = rng.random(2000) < 0.7
+    one = language.Coded(context, word, row, some)
+    monkeypatch.setattr(language, "ONE_CODE", 1)
+    two = language.Coded(context, word, row, some)
+    for name in ("vocabulary", "many", "row", "first", "context", "word"):
+        assert (getattr(one, name) == getattr(two, name)).all()
+
+
+def test_a_text_of_millions_of_words_beside_empty_rows():
+    words = np.arange(1, 3_000_001, dtype=np.uint64)
+    word = np.concatenate((np.full(1_000_000, language.END), words, np.array([language.END])))
+    row = np.concatenate((np.arange(1_000_000), np.full(len(words) + 1, 1_000_000))).astype(np.int32)
+    found = language.Coded(np.concatenate((word[-1:], word[:-1])), word, row)
+    assert found.many.sum() == len(word) and len(found.first) == len(words) + 2 and int(found.row.max()) == 1_000_000
+
+
 def test_buckets_of_frequent_contexts():
     rng = np.random.default_rng(2)
     context, word = rng.integers(1, 5, 1000).astype(np.uint64), rng.integers(0, 1 << 60, 1000).astype(np.uint64)
