@@ -55,13 +55,41 @@ def truth_objects(*sources: DataFrame) -> DataFrame:
     return rows.groupBy("image_id").agg(F.array_sort(F.collect_set("rep")).alias("truth"))
 
 
-def amber_generative(rows: DataFrame) -> DataFrame:
-    """CHAIR, Cover, Hal and Cog in percent from nouns, truth and hallu words (with their associations in ``safe`` and
-    ``bad``): a noun that neither is safe nor near a safe word is a hallucination, the answer's own list decides Cog."""
-    wrong = F.size(F.filter("nouns", lambda n: ~F.array_contains("safe", n)))
-    covered = F.size(F.filter("truth", lambda t: F.array_contains("nouns", t)))
-    seen = F.size(F.filter("hallu", lambda t: F.array_contains("nouns", t)))
-    one = rows.select(wrong.alias("wrong"), F.size("nouns").alias("n_nouns"), covered.alias("covered"), F.size("truth").alias("n_truth"), seen.alias("seen"), F.size("hallu").alias("n_hallu"))
+def _check_words(answers: DataFrame, words: str, associations: DataFrame) -> DataFrame:
+    """id, idx, place and word: what stands for each of an answer's words, first those associated with it, in order, then the words themselves."""
+    own = answers.select("id", F.posexplode(words).alias("idx", "word"))
+    near = own.join(associations.withColumnRenamed("word", "key"), F.col("word") == F.col("key")).select("id", "idx", F.posexplode("associated").alias("k", "word"))
+    place = lambda section, k: F.struct(F.lit(section).alias("section"), "idx", k.cast("int").alias("k")).alias("place")
+    return near.select("id", "idx", place(0, F.col("k")), "word").unionAll(own.select("id", "idx", place(1, F.lit(0)), "word"))
+
+
+def amber_generative(answers: DataFrame, associations: DataFrame, safe_words: DataFrame, similar: DataFrame) -> DataFrame:
+    """CHAIR, Cover, Hal and Cog in percent, from answers (id, nouns, truth, hallu), associations (word, associated), words that are always
+    safe (word), and similar words (noun, word), found once for all words by ``similarity.similar_pairs``.
+
+    Only nouns that some association knows are counted. A noun that is one of the safe words of its answer covers that
+    word's truth. Any other covers what it is and what it is similar to among the answer's misleading words (both, if
+    it is one of them), and, if it is similar to a safe word, that word's truth; else it is a hallucination. Of several
+    words the first decides. An answer without truth words has nothing to cover."""
+    known = associations.select(F.explode(F.array_append("associated", F.col("word"))).alias("noun")).distinct()
+    nouns = answers.select("id", F.posexplode("nouns").alias("pos", "noun")).join(known, "noun", "left_semi")
+    nouns = nouns.join(safe_words.select(F.col("word").alias("noun"), F.lit(True).alias("fine")).distinct(), "noun", "left")
+    asked = nouns.filter("fine is null").select("id", "noun").distinct()
+    near = asked.join(similar.select("noun", "word").distinct(), "noun")
+    first = None
+    for kind in ("truth", "hallu"):
+        words = _check_words(answers, kind, associations)
+        same = asked.withColumn("word", F.col("noun")).join(words, ["id", "word"]).select("id", "noun", "idx", "place", F.lit(f"{kind}_same").alias("how"))
+        like = near.join(words, ["id", "word"]).select("id", "noun", "idx", "place", F.lit(f"{kind}_like").alias("how"))
+        first = same.unionAll(like) if first is None else first.unionAll(same).unionAll(like)
+    pick = lambda how: F.min_by(F.when(F.col("how") == how, F.col("idx")), F.when(F.col("how") == how, F.col("place"))).alias(how)
+    hits = first.groupBy("id", "noun").agg(*(pick(f"{k}_{h}") for k in ("truth", "hallu") for h in ("same", "like")))
+    rows = nouns.join(hits, ["id", "noun"], "left")
+    open_ = F.col("fine").isNull() & F.col("truth_same").isNull()
+    rows = rows.select("id", (open_ & F.col("truth_like").isNull()).alias("wrong"), F.coalesce("truth_same", "truth_like").alias("truth"), *(F.when(open_, F.col(f"hallu_{h}")).alias(h) for h in ("same", "like")))
+    covered = F.size(F.array_union(F.collect_set("same"), F.collect_set("like")))
+    per = rows.groupBy("id").agg(F.count("*").alias("n_nouns"), F.count_if("wrong").alias("wrong"), F.count_distinct("truth").alias("covered"), covered.alias("seen"))
+    one = answers.select("id", F.size("truth").alias("n_truth"), F.size("hallu").alias("n_hallu")).join(per, "id", "left").fillna(0)
     pct = lambda a, b: F.round(_ratio(a, b) * 100, 1)
     return one.agg(
         pct(F.sum("wrong"), F.sum("n_nouns")).alias("chair"), pct(F.sum("covered"), F.sum("n_truth")).alias("cover"),

@@ -48,16 +48,6 @@ def original_value(df: DataFrame, group: list[str], is_original: Column, value:
     return df.withColumn(name, F.max(F.when(is_original, F.col(value))).over(W.partitionBy(*group)))
 
 
-def similar_first(left: DataFrame, right: DataFrame, group: list[str], vector: str, least: float, order: str) -> DataFrame:
-    """For each row of the left, the first of its group on the right whose cosine is above ``least``."""
-    from ..functions.maths import cosine
-
-    a = left.select(*group, *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in group])
-    b = right.select(*group, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in group])
-    near = a.join(b, group).filter((F.col(f"l_{order}") != F.col(f"r_{order}")) & (cosine(F.col(f"l_{vector}"), F.col(f"r_{vector}")) > least))
-    return near.groupBy(*group, F.col(f"l_{order}").alias(order)).agg(F.min(f"r_{order}").alias("match"))
-
-
 def prompt_counts(df: DataFrame, prompts: DataFrame) -> DataFrame:
     """Rows for each prompt of a list, zero included."""
     n = df.groupBy("prompt").agg(F.count("*").alias("n"))

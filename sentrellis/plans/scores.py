@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths as M
 from ..functions import text as X
-from ..operators import metrics
+from ..operators import metrics, similarity
 from .bindings import query, table
 
 
@@ -145,15 +145,52 @@ def agg12_13_amber(spark: SparkSession, d: str) -> DataFrame:
     return metrics.amber_discriminative(_amber(spark, d))
 
 
-@query("agg11_amber_generative", """WITH r AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS nouns, [any_value(x), '1-URGENT'] AS truth, ['5-LOW'] AS hallu FROM orders JOIN (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN '2-HIGH' ELSE '3-MEDIUM' END AS x FROM customer) ON c_custkey = o_custkey GROUP BY o_custkey), w AS (
- SELECT len(list_filter(nouns, lambda n: NOT list_contains(truth, n))) AS wrong, len(nouns) AS nouns, len(list_filter(truth, lambda t: list_contains(nouns, t))) AS covered, len(truth) AS truth, len(list_filter(hallu, lambda t: list_contains(nouns, t))) AS seen, len(hallu) AS hallu FROM r)
-SELECT round(sum(wrong) / sum(nouns) * 100, 1) AS chair, round(sum(covered) / sum(truth) * 100, 1) AS cover, round(100 - count(*) FILTER (wrong = 0) / count(*) * 100, 1) AS hal, round(sum(seen) / sum(hallu) * 100, 1) AS cog FROM w""")
+# Words are vectors; an answer is a customer, its nouns come from the keys of its orders.
+AMBER_WORDS = "(SELECT count(*) FROM embeddings)"
+AMBER_SQL = f"""WITH v AS (SELECT 'w' || vec_id AS word, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (
+  SELECT a.word AS noun, b.word FROM v a JOIN v b ON list_cosine_similarity(a.e, b.e) > 0.3
+), a AS (
+  SELECT c_custkey AS id, list(DISTINCT 'w' || o_orderkey % {AMBER_WORDS}) AS nouns, ['w' || c_custkey % {AMBER_WORDS}, 'w' || c_custkey * 7 % {AMBER_WORDS}] AS truth,
+         ['w' || c_custkey * 3 % {AMBER_WORDS}] AS hallu
+  FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey
+), c AS (
+  SELECT id, kind, idx, section, k, CASE WHEN section = 1 THEN word ELSE 'w' || (CAST(substr(word, 2) AS INT) * 2 + k) % {AMBER_WORDS} END AS word
+  FROM (SELECT id, 'truth' AS kind, unnest(truth) AS word, unnest(range(len(truth))) AS idx FROM a UNION ALL SELECT id, 'hallu', unnest(hallu), unnest(range(len(hallu))) FROM a),
+       (SELECT 0 AS section, 1 AS k UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 0)
+), n AS (
+  SELECT *, word = 'w5' AS fine FROM (SELECT id, unnest(nouns) AS word FROM a)
+), h AS (
+  SELECT n.id, n.word, kind, 'same' AS how, first(idx ORDER BY section, idx, k) AS idx FROM n JOIN c ON c.id = n.id AND c.word = n.word WHERE NOT fine GROUP BY ALL
+  UNION ALL
+  SELECT n.id, n.word, kind, 'like', first(idx ORDER BY section, idx, k) FROM n JOIN s ON s.noun = n.word JOIN c ON c.id = n.id AND c.word = s.word WHERE NOT fine GROUP BY ALL
+), m AS (
+  SELECT n.id, n.word, fine, max(idx) FILTER (kind = 'truth' AND how = 'same') AS ts, max(idx) FILTER (kind = 'truth' AND how = 'like') AS tl,
+         max(idx) FILTER (kind = 'hallu' AND how = 'same') AS hs, max(idx) FILTER (kind = 'hallu' AND how = 'like') AS hl
+  FROM n LEFT JOIN h ON h.id = n.id AND h.word = n.word GROUP BY ALL
+), p AS (
+  SELECT id, count(*) AS nouns, count(*) FILTER (NOT fine AND ts IS NULL AND tl IS NULL) AS wrong, count(DISTINCT coalesce(ts, tl)) AS covered,
+         count(DISTINCT CASE WHEN ts IS NULL THEN coalesce(hs, hl) END) AS seen
+  FROM m GROUP BY id
+)
+SELECT round(sum(wrong) / sum(nouns) * 100, 1) AS chair, round(sum(covered) / (2 * count(*)) * 100, 1) AS cover,
+       round(100 - count(*) FILTER (wrong = 0) / count(*) * 100, 1) AS hal, round(sum(seen) / count(*) * 100, 1) AS cog FROM p"""
+
+
+@query("agg11_amber_generative", AMBER_SQL)
 def agg11_amber_generative(spark: SparkSession, d: str) -> DataFrame:
-    """AGG11, JN19: generative scores from an answer's nouns against safe and misleading words."""
-    people = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, "2-HIGH").otherwise("3-MEDIUM").alias("x"))
-    rows = table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("nouns"), F.first("x").alias("x"))
-    truth, hallu = F.array(F.col("x"), F.lit("1-URGENT")), F.array(F.lit("5-LOW"))
-    return metrics.amber_generative(rows.select("nouns", truth.alias("truth"), hallu.alias("hallu"), truth.alias("safe"), hallu.alias("bad")))
+    """AGG11, JN19, JN21: generative scores from an answer's nouns, safe and misleading words, what is associated with
+    them, and what is similar to these."""
+    rows = table(spark, d, "embeddings")
+    n_words = rows.count()
+    named = lambda n: F.concat(F.lit("w"), (n % n_words).cast("string"))
+    key = F.col("c_custkey")
+    people = table(spark, d, "customer").select("c_custkey", F.array(named(key), named(key * 7)).alias("truth"), F.array(named(key * 3)).alias("hallu"))
+    said = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set(named(F.col("o_orderkey"))).alias("nouns"))
+    answers = said.join(people, F.col("o_custkey") == key).select(key.alias("id"), "nouns", "truth", "hallu")
+    vectors = rows.select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("id"), "vec_id", F.col("embedding").alias("vector"))
+    associations = vectors.select(F.col("id").alias("word"), F.array(named(F.col("vec_id") * 2 + 1), named(F.col("vec_id") * 2 + 2)).alias("associated"))
+    similar = similarity.similar_pairs(vectors, vectors, 0.3).select(F.col("l_id").alias("noun"), F.col("r_id").alias("word"))
+    return metrics.amber_generative(answers, associations, vectors.filter("id = 'w5'").select(F.col("id").alias("word")), similar)
 
 
 TEN = "list_transform(range(10), lambda i: CASE WHEN (i + p_size) % 4 = 0 THEN p_name ELSE p_type END)"

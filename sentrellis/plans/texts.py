@@ -9,6 +9,7 @@ from ..functions import arrays as A
 from ..functions import boxes as B
 from ..functions import maths as M
 from ..functions import text as X
+from ..operators import similarity
 from .bindings import LEXICON, query, table
 
 SENTENCES = "list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '')"
@@ -308,11 +309,9 @@ def win9_noun_phrases(spark: SparkSession, d: str) -> DataFrame:
     return part(spark, d).select("p_partkey", F.array_join(A.noun_phrases(tokens), "|").alias("phrases"))
 
 
-@query("mth12_jn21_similarity", """WITH e AS (SELECT vec_id, label, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-SELECT a.vec_id, a.label, min(b.vec_id) AS match FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.8 GROUP BY a.vec_id, a.label""")
+@query("mth12_jn21_similarity", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT a.vec_id, a.label, min(b.vec_id) AS match FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) > 0.3 GROUP BY a.vec_id, a.label""")
 def mth12_jn21_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """MTH12, JN21: the first vector of the same label that is similar in its first four components."""
-    from ..operators.relational import similar_first
-
-    rows = table(spark, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4))
-    return similar_first(rows, rows, ["label"], "embedding", 0.8, "vec_id")
+    """MTH12, JN21: the first other vector of the same label with a cosine above 0.3, whole vectors."""
+    rows = table(spark, d, "embeddings")
+    return similarity.similar_first(rows, rows, ["label"], "embedding", 0.3, "vec_id")
