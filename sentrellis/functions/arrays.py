@@ -43,7 +43,8 @@ def ignore_through(ids: Column, labels: Column, context: Column, ignored: int =
     """Labels with everything up to and through the first place of a context ignored."""
     at = find(ids, context)
     upto = F.when(at > 0, at + F.size(context) - 1).otherwise(0)
-    return F.transform(labels, lambda x, i: F.when(i < upto, ignored).otherwise(x))
+    cut = lambda n: F.concat(F.array_repeat(F.lit(ignored), n), F.slice(labels, n + 1, F.greatest(F.size(labels) - n, F.lit(0))))
+    return F.element_at(F.transform(F.array(F.least(upto, F.size(labels))), cut), 1)  # the place is looked for once
 
 
 def cut_after_last(ids: Column, mark: int) -> Column:

@@ -1,17 +1,22 @@
 """What models would answer, as tables: a provider is any function from a request table to an answer table.
 
-``CONTRACTS`` states the columns of each kind of request and answer, ``bound`` holds a provider to them. ``TableProvider`` looks requests up in a stored table; ``batched`` runs a Python callable over Arrow batches, which
-is where a model would be called, with bounded retries for answers that do not come.
+``CONTRACTS`` states the columns of each kind of request and answer, ``bound`` holds a provider to them.
+``TableProvider`` looks requests up in a stored table. ``batched`` runs a Python callable over Arrow batches, as a model
+that is in the task would be, and ``pooled`` calls one for each request, many at a time, as a service would be.
 """
 
 from __future__ import annotations
 
+import time
+import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,7 +36,12 @@ class TableProvider:
         self.answers, self.key = answers, key
 
     def __call__(self, requests: DataFrame) -> DataFrame:
-        return requests.dropDuplicates(self.key).join(self.answers, self.key)
+        """A null in a key is a value like any other."""
+        asked = requests.dropDuplicates(self.key)
+        known = self.answers.withColumnsRenamed({k: f"{k}_known" for k in self.key})
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"{k}_known")) for k in self.key))
+        out = asked.join(known, same).drop(*(f"{k}_known" for k in self.key))
+        return out.select(*self.key, *(c for c in out.columns if c not in self.key))
 
 
 def batched(answer: Callable[[list[dict]], list[dict]], schema: str, retries: int = 3) -> Provider:
@@ -58,6 +68,49 @@ def batched(answer: Callable[[list[dict]], list[dict]], schema: str, retries: in
     return provider
 
 
+def pooled(answer: Callable[[dict], dict], schema: str, workers: int = 16, attempts: int = 5, wait: float = 0.5, longest: float = 30.0) -> Provider:
+    """A provider that calls ``answer`` on single requests, ``workers`` of them at a time in each task.
+
+    A request that raises is asked again after a pause that doubles from ``wait`` seconds to ``longest``, while others go on, ``attempts``
+    times in all. Its answer has the columns of ``schema`` and ``error``, null if it came; a request that failed gives a
+    row with its own columns, no answer, and the last error. ``failures`` and ``answers`` tell them apart. Answers
+    come in the order of their requests; a task that is lost asks its own again.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructType.fromDDL(schema).add("error", "string")
+    target = to_arrow_schema(kind)
+
+    def ask(request: dict) -> dict:
+        for attempt in range(attempts):
+            try:
+                return {**answer(request), "error": None}
+            except Exception as failed:  # whatever a model's client raises
+                error = f"{type(failed).__name__}: {failed}"
+                if attempt + 1 < attempts:
+                    share = zlib.crc32(f"{attempt}{sorted(request.items(), key=repr)}".encode()) / (1 << 33)  # up to half more, so that not all come at once
+                    time.sleep(min(longest, wait * 2**attempt) * (1 + share))
+        return {**request, "error": error}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                rows = list(pool.map(ask, batch.to_pylist()))
+                yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in target} for r in rows], schema=target)
+
+    return lambda requests: requests.mapInArrow(run, kind)
+
+
+def failures(pooled_answers: DataFrame) -> DataFrame:
+    """Requests that got no answer, with the last error."""
+    return pooled_answers.filter(F.col("error").isNotNull())
+
+
+def answers(pooled_answers: DataFrame) -> DataFrame:
+    return pooled_answers.filter(F.col("error").isNull()).drop("error")
+
+
 @dataclass(frozen=True)
 class Contract:
     """Columns of requests and of answers, and the key by which an answer belongs to its request."""

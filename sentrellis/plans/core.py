@@ -353,7 +353,7 @@ def agg3_majority(spark: SparkSession, d: str) -> DataFrame:
   JOIN (SELECT image_id, step, 2 * count(*) AS words FROM lines GROUP BY image_id, step) w ON w.image_id = m.image_id AND w.step = m.step GROUP BY m.image_id, m.step
 ) SELECT CAST(count(*) AS BIGINT) AS sentences, round(count(*) FILTER (bad > 0) / count(*), 6) AS chair_s, round(sum(bad) / sum(n), 6) AS chair_i, round(sum(found) / sum(truth), 6) AS object_recall, round(sum(words) / count(*), 6) AS mean_words FROM c""")
 def agg9_chair(spark: SparkSession, d: str) -> DataFrame:
-    """AGG9-10, JN17-18: CHAIR over captions made of a step's sentences, against detected labels."""
+    """AGG9-10, JN18: CHAIR over captions made of a step's sentences, against detected labels."""
     captions = candidates(spark, d).groupBy("image_id", "step").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cand_idx", "sentence"))), lambda s: s["sentence"]), " ").alias("caption"), F.flatten(F.collect_list(X.extract_objects(F.col("sentence"), LEXICON))).alias("objects"))
     truth = metrics.truth_objects(detections(spark, d).select("image_id", F.col("label").alias("rep")))
     out = metrics.chair(metrics.chair_rows(captions.join(truth, "image_id")))
@@ -416,7 +416,7 @@ def prv1_generated(spark: SparkSession, d: str) -> DataFrame:
 @query("prv2_3_detector_requests", f"""WITH {SQL_LINES}, c AS (SELECT image_id, string_agg(DISTINCT rep, '.' ORDER BY rep) || '.' AS caption FROM mentions GROUP BY image_id)
 SELECT c.image_id, caption, d.label, d.ord, d.conf FROM c JOIN detections d ON d.image_id = c.image_id AND d.detector = 'open' AND list_contains(string_split(caption, '.'), d.label)""")
 def prv2_3_detector_requests(spark: SparkSession, d: str) -> DataFrame:
-    """PRV2-3: each image's objects as one caption, and what the open detector finds of them."""
+    """PRV3: each image's objects as one caption, and what the open detector finds of them."""
     found = verdict.mentions(candidates(spark, d), LEXICON)
     asked = providers.open_requests(found, _images(found))
     boxes = _boxes(spark, d).filter("detector = 'open'").drop("image_path")
@@ -427,7 +427,7 @@ def prv2_3_detector_requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prv5_resolved", f"""WITH {SQL_LINES} SELECT image_id, step, cand_idx, CASE WHEN step > 1 AND split_part(sentence, ' ', 2) = 'gear' THEN 'the ' || sentence ELSE sentence END AS resolved FROM lines""")
 def prv5_resolved(spark: SparkSession, d: str) -> DataFrame:
-    """PRV4-6: references resolved by a stored table; sentences without an answer stay as they are."""
+    """PRV5: references resolved by a stored table; sentences without an answer stay as they are."""
     rows = candidates(spark, d).withColumn("context", F.when(F.col("step") > 1, "Before."))
     known = rows.filter("context is not null and sentence like '% gear'").select("context", "sentence", F.concat(F.lit("the "), "sentence").alias("resolved")).distinct()
     return providers.resolved(rows, providers.TableProvider(known, ["context", "sentence"])).select("image_id", "step", "cand_idx", "resolved")
@@ -435,7 +435,7 @@ def prv5_resolved(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prv7_8_judged", """WITH a AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) SELECT p_partkey, p_type || '?' AS prompt, CASE WHEN n % 2 = 0 THEN 'yes' END AS answer FROM part JOIN a USING (p_type)""")
 def prv7_8_judged(spark: SparkSession, d: str) -> DataFrame:
-    """PRV7-8: equal prompts are asked once; a prompt without an answer has none."""
+    """PRV7: equal prompts are asked once; a prompt without an answer has none."""
     rows = table(spark, d, "part").select("p_partkey", F.concat("p_type", F.lit("?")).alias("prompt"))
     even = rows.groupBy("prompt").agg(F.count("*").alias("n")).filter("n % 2 = 0").select("prompt", F.lit("yes").alias("answer"))
     return rows.join(providers.bound(providers.TableProvider(even, ["prompt"]), providers.CONTRACTS["judge"])(rows), "prompt", "left")

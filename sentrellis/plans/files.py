@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as X
-from ..operators import metrics, samplers, submission
-from ..sources import readers, writers
+from ..operators import align, encoding, metrics, providers, samplers, submission
+from ..sources import documents, readers, writers
 from .bindings import query, scratch, table
 from .scores import HALL, _amber, _hall
 
@@ -113,7 +113,7 @@ def set3_arr1_2_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src2_8_snk1_3_lines", "SELECT p_partkey, p_name, p_size FROM part UNION ALL SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10")
 def src2_8_snk1_3_lines(spark: SparkSession, d: str) -> DataFrame:
-    """SRC2-5, SRC8, SNK1-3, SNK13: JSON lines appended part by part, and several files read as one table."""
+    """SRC2-5, SRC8, SNK1-2: JSON lines appended part by part, and several files read as one table."""
     rows, folder = table(spark, d, "part").select("p_partkey", "p_name", "p_size"), scratch(spark)
     writers.append_rows(rows.filter("p_partkey % 2 = 0"), f"{folder}/a.jsonl")
     writers.append_rows(rows.filter("p_partkey % 2 = 1"), f"{folder}/a.jsonl")
@@ -123,7 +123,7 @@ def src2_8_snk1_3_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src6_tolerant_lines", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size % 5 <> 0")
 def src6_tolerant_lines(spark: SparkSession, d: str) -> DataFrame:
-    """SRC6-7: good lines of a file with bad ones in it; those after a bad one are kept."""
+    """SRC6: good lines of a file with bad ones in it; those after a bad one are kept."""
     good = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
     line = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("{"), "p_name")).otherwise(good)
     path = f"{scratch(spark)}/lines"
@@ -133,7 +133,7 @@ def src6_tolerant_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src9_11_tree", "SELECT p_brand AS category, count(*) AS n FROM part GROUP BY 1")
 def src9_11_tree(spark: SparkSession, d: str) -> DataFrame:
-    """SRC9-11, SRC14: files below a folder by name, their category from the path."""
+    """SRC9-11: files below a folder by name, their category from the path."""
     folder = scratch(spark)
     table(spark, d, "part").select("p_partkey", "p_brand", F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("b")).write.partitionBy("b").json(folder)
     rows = readers.read_tree(spark, folder, "*.json", "b=", "p_partkey bigint, p_brand string")
@@ -154,7 +154,7 @@ def snk8_hlp16_results(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk5_array_document", "SELECT n_nationkey, n_name FROM nation")
 def snk5_array_document(spark: SparkSession, d: str) -> DataFrame:
-    """SNK5, SNK7, SRC14: a small result as one JSON array, and its rows again."""
+    """SNK5, SNK7: a small result as one JSON array, and its rows again."""
     rows = table(spark, d, "nation").select("n_nationkey", "n_name")
     path = f"{scratch(spark)}/document"
     writers.array_document(rows, ["n_nationkey"]).write.text(path)
@@ -164,7 +164,64 @@ def snk5_array_document(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hlp7_11_generated", "SELECT p_partkey, split_part(p_name, ' ', 1) || '.' AS sentence, CAST(p_size % 4 + 1 AS INT) AS length FROM part")
 def hlp7_11_generated(spark: SparkSession, d: str) -> DataFrame:
-    """HLP7, HLP11, ARR4-6: the first generated sentence, and generated tokens before the padding."""
+    """HLP5, ARR4-6: the first generated sentence, and generated tokens before the padding."""
     said = F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(". Another one."))
     ids = F.concat(F.array_repeat(F.lit(7), (F.col("p_size") % 4 + 1).cast("int")), F.array(F.lit(0), F.lit(0)))
     return table(spark, d, "part").select("p_partkey", X.first_sentence(said).alias("sentence"), A.generated_length(ids, 0).cast("int").alias("length"))
+
+
+@query("src7_prefix_lines", """WITH b AS (SELECT p_brand, min(p_partkey) AS bad FROM part WHERE p_size % 25 = 0 GROUP BY p_brand)
+SELECT p_partkey AS id, p_brand AS brand FROM part LEFT JOIN b USING (p_brand) WHERE bad IS NULL OR p_partkey < bad""")
+def src7_prefix_lines(spark: SparkSession, d: str) -> DataFrame:
+    """SRC7: of each file the lines before its first bad one; a file for each brand."""
+    good = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand")))
+    line = F.when(F.col("p_size") % 25 == 0, F.concat(F.lit("{"), "p_name")).otherwise(good)
+    rows, folder = table(spark, d, "part").withColumn("value", line).withColumn("b", F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")), scratch(spark)
+    rows.repartition("b").sortWithinPartitions("b", "p_partkey").select("value", "b").write.partitionBy("b").text(folder)
+    return documents.read_prefix(spark, f"{folder}/b=*", "id bigint, brand string")[0]
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
+@query("src12_13_members", "SELECT p_partkey, p_name, p_size, 'map' AS document FROM part UNION ALL SELECT p_partkey, p_name, p_size, 'array' FROM part")
+def src12_13_members(spark: SparkSession, d: str) -> DataFrame:
+    """SRC12-13, SNK4-6, SNK13: a map and an array as one file each, written by many tasks, and their members read by many tasks."""
+    rows, folder = table(spark, d, "part").select("p_partkey", "p_name", "p_size"), _uri(scratch(spark))
+    documents.write_document(rows, f"{folder}/map.json", ["p_partkey"], key="p_partkey")
+    documents.write_document(rows, f"{folder}/array.json", ["p_partkey"])
+    kept = documents.json_members(spark, f"{folder}/map.json").select("key", F.from_json("value", "p_name string, p_size int").alias("r"))
+    kept = kept.select(F.col("key").cast("long").alias("p_partkey"), "r.*", F.lit("map").alias("document"))
+    listed = documents.json_members(spark, f"{folder}/array.json").select(F.from_json("value", "p_partkey long, p_name string, p_size int").alias("r"))
+    return kept.unionByName(listed.select("r.*", F.lit("array").alias("document")))
+
+
+@query("cdpo1_2_text_encoding")
+def cdpo1_2_text_encoding(spark: SparkSession, d: str) -> DataFrame:
+    """CDPO1-2, ARR7, FLT15, HLP11: pairs encoded from the text of conversations, their first sentence as context.
+
+    Tests hold it against a tokenizer library."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    talks = table(spark, d, "conversations").filter("text is not null").groupBy("conv_id").agg(said.alias("t")).filter("size(t) > 2")
+    text = lambda i: F.get("t", F.lit(i))["text"]
+    prompt, answers = F.array(align.turn("user", text(0))), F.array(align.turn("assistant", text(1)), align.turn("assistant", text(2)))
+    rows = talks.select("conv_id", prompt.alias("_prompt"), answers.alias("_response"), F.lit("").alias("_system"), X.first_sentence(text(1)).alias("_context"))
+    out = encoding.encode_rows(rows, "/opt/tokenizers/byte_bpe_50k.tiktoken", encoding.Template(end=50256))
+    counted = lambda c: F.size(F.filter(c, lambda x: x != -100)).alias(f"{c}_n")
+    written = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c)
+    return out.select("conv_id", written("chosen_ids"), written("rejected_ids"), counted("chosen_labels"), counted("rejected_labels"))
+
+
+@query("prv7_8_pool", """SELECT DISTINCT p_type AS prompt, CASE WHEN p_type NOT LIKE 'PROMO%' THEN 'The ' || lower(p_type) || '.' END AS answer,
+ CASE WHEN p_type LIKE 'PROMO%' THEN 'TimeoutError: no answer' END AS error FROM part""")
+def prv7_8_pool(spark: SparkSession, d: str) -> DataFrame:
+    """PRV7-8, JN23: distinct requests asked many at a time; some fail whatever is tried, and are told from the others."""
+    asked = table(spark, d, "part").select(F.col("p_type").alias("prompt")).distinct()
+
+    def judge(request: dict) -> dict:
+        if request["prompt"].startswith("PROMO"):
+            raise TimeoutError("no answer")
+        return {"prompt": request["prompt"], "answer": f"The {request['prompt'].lower()}."}
+
+    return providers.pooled(judge, "prompt string, answer string", attempts=2, wait=0.01)(asked)

@@ -19,7 +19,7 @@ def src15_json_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src12_keyed_rows", "SELECT p_partkey, p_brand AS key, CAST(p_size AS BIGINT) AS size FROM part")
 def src12_keyed_rows(spark: SparkSession, d: str) -> DataFrame:
-    """SRC12-13: rows of a document that maps ids to records."""
+    """SRC12: rows of small documents that map ids to records."""
     doc = F.to_json(F.create_map("p_brand", F.struct(F.col("p_size").alias("size"))))
     rows = table(spark, d, "part").select("p_partkey", F.explode(readers.keyed_rows(doc, "struct<size:bigint>")).alias("e"))
     return rows.select("p_partkey", F.col("e.key").alias("key"), F.col("e.value.size").alias("size"))
@@ -34,7 +34,7 @@ def src15_metric_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src21_prj16_paths", "SELECT page_id, string_split(url, '/')[-2] || '/' || string_split(url, '/')[-1] AS path FROM pages")
 def src21_prj16_paths(spark: SparkSession, d: str) -> DataFrame:
-    """SRC21, PRJ16, JN16: the last parts of URLs as paths."""
+    """SRC21, PRJ16: the last parts of URLs as paths."""
     return table(spark, d, "pages").select("page_id", readers.path_from_url(F.col("url")).alias("path"))
 
 

@@ -81,7 +81,7 @@ def prj25_txt11_triples(spark: SparkSession, d: str) -> DataFrame:
 
 @query("txt13_concrete", "SELECT p_partkey, split_part(p_name, ' ', 2) NOT IN ('gizmo', 'anvil') AS concrete FROM part")
 def txt13_concrete(spark: SparkSession, d: str) -> DataFrame:
-    """TXT12-14: concrete nouns by a table of noun classes."""
+    """TXT12-13: concrete nouns by a table of noun classes."""
     classes = {"widget": "artifact", "gear": "artifact", "plate": "artifact", "bolt": "artifact", "ring": "artifact", "rod": "artifact", "gizmo": "cognition"}
     literal = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
     return part(spark, d).select("p_partkey", X.is_concrete(F.col("p_name"), literal, ["cognition", "feeling"]).alias("concrete"))

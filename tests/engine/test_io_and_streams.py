@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sentrellis.operators import providers
 from sentrellis.operators.providers import CONTRACTS, TableProvider, batched, bound, resolved
 from sentrellis.sources import readers, writers
 from sentrellis.streaming import state
@@ -163,3 +164,37 @@ def test_windows_on_a_stream(spark, tmp_path):
     q.awaitTermination(120)
     kept = lambda df: sorted((str(r["start"]), r["event_type"], r["n"]) for r in df.collect())
     assert kept(spark.table("windows")) == kept(state.windowed_counts(events))
+
+
+def test_pool(spark, tmp_path):
+    """A flaky judge answers all, a request that always fails does not stop the others, and no more run at once than may."""
+    asked = spark.createDataFrame([(f"q{i}",) for i in range(40)] + [("dead",), (None,)], "prompt string").coalesce(1)
+    folder = str(tmp_path)
+
+    def judge(request):
+        import os
+        import threading
+        import time
+
+        name = request["prompt"] or "none"
+        calls = f"{folder}/{name}"
+        with open(calls, "a") as f:
+            f.write("x")
+        with open(f"{folder}/at_once", "a") as f:
+            f.write(f"{sum(t.name.startswith('ThreadPool') for t in threading.enumerate())}\n")
+        time.sleep(0.01)
+        if name == "dead" or os.path.getsize(calls) < 1 + hash(name[-1:]) % 3:
+            raise ConnectionError("busy")
+        return {"prompt": request["prompt"], "answer": name.upper()}
+
+    out = spark.createDataFrame(providers.pooled(judge, "prompt string, answer string", workers=4, attempts=4, wait=0.01)(asked).collect(), "prompt string, answer string, error string")
+    assert [r["prompt"] for r in out.collect()] == [r["prompt"] for r in asked.collect()]
+    assert [tuple(r) for r in providers.failures(out).collect()] == [("dead", None, "ConnectionError: busy")]
+    assert {r["answer"] for r in providers.answers(out).collect()} == {f"Q{i}" for i in range(40)} | {"NONE"}
+    assert (tmp_path / "dead").stat().st_size == 4 and max(map(int, (tmp_path / "at_once").read_text().split())) <= 4
+
+
+def test_stored_answers_of_null(spark):
+    known = spark.createDataFrame([(None, "it", "that"), ("a", "it", "this")], "context string, sentence string, resolved string")
+    asked = spark.createDataFrame([(None, "it"), ("b", "it")], "context string, sentence string")
+    assert [tuple(r) for r in TableProvider(known, ["context", "sentence"])(asked).collect()] == [(None, "it", "that")]
