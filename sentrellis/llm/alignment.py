@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -239,7 +240,7 @@ def align(docs: DataFrame, model_a: str = MODEL_A, model_b: str = MODEL_B, hot:
         pair, n, best = sent.value
         for batch in batches:
             own, times = (batch[c].flatten().to_numpy() for c in ("pairs", "times"))
-            size = pa.compute.list_value_length(batch["pairs"]).to_numpy()
+            size = pc.list_value_length(batch["pairs"]).to_numpy()
             doc = np.repeat(np.arange(len(size)), size)
             at = np.minimum(np.searchsorted(pair, own), max(0, len(pair) - 1))
             hit = pair[at] == own if len(pair) else np.zeros(len(own), bool)

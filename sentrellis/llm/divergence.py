@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,9 +133,9 @@ def joint_counts(terms: DataFrame) -> DataFrame:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
             for lang in table["lang"].unique().to_pylist():
-                part = table.filter(pa.compute.equal(table["lang"], lang))
+                part = table.filter(pc.equal(table["lang"], lang))
                 counts = part["counts"].combine_chunks()
-                sizes = pa.compute.list_value_length(counts).to_numpy()
+                sizes = pc.list_value_length(counts).to_numpy()
                 flat = counts.flatten()
                 coded = flat.field("source").dictionary_encode()
                 names = coded.dictionary.to_pylist()

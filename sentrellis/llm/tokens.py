@@ -31,11 +31,13 @@ REMEMBERED = 400_000
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float]]:
-    """Pieces and scores of a SentencePiece model file."""
+    """Pieces and scores of a SentencePiece model file, but for those that no text can be cut into: control, unknown,
+    unused and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not special(i)]
 
 
 class Counter(dict):

@@ -11,8 +11,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def library():
     pieces = tokens.vocabulary()
-    unknown = next(i for i, (p, _) in enumerate(pieces) if p == "<unk>")
-    return Tokenizer(models.Unigram(pieces, unk_id=unknown, byte_fallback=True))
+    # The library finds bytes by their names, which no text here holds, and its unknown piece is no character of them.
+    pieces += [("\ufdd0", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256))]
+    return Tokenizer(models.Unigram(pieces, unk_id=len(pieces) - 257, byte_fallback=True))
 
 
 def expected(library, text):
@@ -21,10 +22,17 @@ def expected(library, text):
 
 def test_words(library):
     counter = tokens.Counter(tokens.vocabulary())
-    for word in ("a", "the", "▁", "antidisestablishment", "\U0001f600x\U0001f600", "xé中z", "<0x0A>", "a" * 3000, "\x00\x01", ""):
+    for word in ("a", "the", "▁", "antidisestablishment", "\U0001f600x\U0001f600", "xé中z", "a<s>b", "the<unk>", "</s>", "a" * 3000, "\x00\x01", ""):
         assert counter[word.encode()] == expected(library, word), word
 
 
+def test_special_pieces_are_no_pieces():
+    pieces = {p for p, _ in tokens.vocabulary()}
+    assert not pieces & {"<s>", "</s>", "<unk>", "<0x0A>", "<0xFF>"} and len(pieces) > 31_000
+    counter = tokens.Counter(tokens.vocabulary())
+    assert counter[b"a<s>b"] == 5 and counter["\U0001f600".encode()] == 5  # the word mark, then four bytes
+
+
 def test_documents(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for r in tokens.token_counts(docs).select("row.text", "n_tokens").collect():
