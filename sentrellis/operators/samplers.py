@@ -27,26 +27,40 @@ def first_rows(df: DataFrame, n: int, *order: str, legacy: bool = False) -> Data
     return df.orderBy(*order).limit(n)
 
 
-#: Rows whose keys bound the ranges of an ordinal, and the number of ranges.
-BOUND_ROWS, RANGES = 2048, 128
+#: Rows of a range of an ordinal, ranges at most, and sampled keys for each range.
+RANGE_ROWS, RANGES, SAMPLED = 100_000, 4096, 16
 
 
-def ordinal(df: DataFrame, name: str, *order: str) -> DataFrame:
+def _place(bounds: Column, key: Column) -> Column:
+    """How many of the sorted ``bounds`` are not above ``key``, by halving."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        open_, under = acc["low"] < acc["high"], F.get(bounds, middle) <= key
+        return F.struct(F.when(open_ & under, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~under, middle).otherwise(acc["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RANGES.bit_length())), start, halve, lambda acc: acc["low"])
+
+
+def ordinal(df: DataFrame, name: str, *order: str, rows: int | None = None) -> DataFrame:
     """``name``: each row's place by ``order``, from 0, without a window over the whole table.
 
-    Keys of a bounded hashed sample cut the order into ranges; a row's place is the count of all ranges before its own
-    and its rank within it.
+    Keys of a hashed sample cut the order into ranges of about ``RANGE_ROWS`` rows each; all columns of the order count, so
+    that equal first ones are no single range. A row's place is the count of all ranges before its own and its rank within
+    it. Nulls come first; equal rows share their places in any way. ``rows`` is the table's size, if it is known.
     """
-    first = order[0]
-    keys = df.filter(F.col(first).isNotNull()).select(F.col(first).alias("k"), F.xxhash64(*order).alias("h")).orderBy("h", "k").limit(BOUND_ROWS)
-    bounds = keys.agg(F.array_sort(F.collect_set("k")).alias("b")).select(F.filter("b", lambda x, i: i % (BOUND_ROWS // RANGES) == 0).alias("_bounds"))
-    rows = df.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(first)))).drop("_bounds")
-    rows = rows.withColumn("_range", F.when(F.col(first).isNull(), -1).otherwise(F.col("_range")))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = rows.join(F.broadcast(counts), "_range")
+    n = min(RANGES, -(-(df.count() if rows is None else rows) // RANGE_ROWS))
+    key = F.struct(*order)
+    if n < 2:
+        return df.withColumn(name, F.row_number().over(W.orderBy(*order)) - F.lit(1).cast("long"))
+    keys = df.select(key.alias("k"), F.xxhash64(*order).alias("h")).orderBy("h", "k").limit(n * SAMPLED)  # a bounded sample
+    bounds = keys.agg(F.array_sort(F.collect_set("k")).alias("b")).select(F.filter("b", lambda x, i: i % SAMPLED == SAMPLED - 1).alias("_bounds"))
+    placed = df.join(F.broadcast(bounds)).withColumn("_range", _place(F.col("_bounds"), key)).drop("_bounds")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
-    return placed.withColumn(name, F.col("_before") + rank).drop("_range", "_before")
+    return placed.join(F.broadcast(counts), "_range").withColumn(name, F.col("_before") + rank).drop("_range", "_before")
 
 
 def pad_to(df: DataFrame, n: int, seed: str, *key: str) -> DataFrame:
@@ -54,7 +68,7 @@ def pad_to(df: DataFrame, n: int, seed: str, *key: str) -> DataFrame:
     have = df.count()
     if not 0 < have < n:
         return df
-    rows = ordinal(df, "_ord", *key)
+    rows = ordinal(df, "_ord", *key, rows=have)
     picks = df.sparkSession.range(n - have).select((F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % have).alias("_ord"))
     return df.unionByName(picks.join(rows, "_ord").drop("_ord"))
 
@@ -62,7 +76,7 @@ def pad_to(df: DataFrame, n: int, seed: str, *key: str) -> DataFrame:
 def chunks(df: DataFrame, n: int, total: int, *order: str) -> DataFrame:
     """chunk: contiguous parts of ceil(total / n) rows by order; there may be fewer than ``n``."""
     size = -(-total // n)
-    return ordinal(df, "_ord", *order).withColumn("chunk", F.floor(F.col("_ord") / size).cast("int")).drop("_ord")
+    return ordinal(df, "_ord", *order, rows=total).withColumn("chunk", F.floor(F.col("_ord") / size).cast("int")).drop("_ord")
 
 
 def length_groups(df: DataFrame, length: str, batch: int, world: int, seed: str, *key: str) -> DataFrame:

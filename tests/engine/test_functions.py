@@ -142,6 +142,19 @@ def test_limits_and_chunks(spark):
     assert value(spark, samplers.balanced(F.array(*map(F.lit, (9, 7, 5, 3))), 2)) == [0, 1, 1, 0]
 
 
+@pytest.mark.parametrize("range_rows", [7, 40, 10**6])
+def test_ordinals(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(samplers, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(samplers, "SAMPLED", 3)
+    rows = [(None if i % 11 == 0 else "same" if i % 2 else f"k{i % 7}", i if i % 13 else None) for i in range(300)]  # nearly half have one first key
+    got = samplers.ordinal(spark.createDataFrame(rows, "a string, b int").repartition(5), "n", "a", "b").collect()
+    assert sorted(r["n"] for r in got) == list(range(300))
+    low = lambda x: (x is not None, x)
+    want = sorted(rows, key=lambda r: (low(r[0])[0], r[0] or "", low(r[1])[0], r[1] or 0))
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["n"])] == want
+    assert samplers.ordinal(spark.createDataFrame([], "a string"), "n", "a").collect() == []
+
+
 def test_trainer_rows(spark):
     pair = spark.createDataFrame([("q", None, "w", "l", "p")], "question string, context string, y_win string, y_lose string, image_path string")
     r = align.trainer_rows(pair).first()
