@@ -9,7 +9,7 @@ from ..functions import arrays as A
 from ..functions import boxes as B
 from ..functions import maths as M
 from ..functions import text as X
-from ..operators import similarity
+from ..operators import nouns, providers, similarity
 from .bindings import LEXICON, query, table
 
 SENTENCES = "list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '')"
@@ -303,7 +303,7 @@ def prj22_arr8_lists(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win9_noun_phrases", "SELECT p_partkey, p_brand || ' ' || p_type || '|' || p_name AS phrases FROM part")
 def win9_noun_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """WIN9, TXT15-17, PRV9: runs of nouns joined to phrases."""
+    """WIN9: runs of nouns joined to phrases."""
     token = lambda c, noun: F.struct(c.alias("word"), F.lit(noun).alias("noun"))
     tokens = F.array(token(F.col("p_brand"), True), token(F.col("p_type"), True), token(F.lit("is"), False), token(F.col("p_name"), True))
     return part(spark, d).select("p_partkey", F.array_join(A.noun_phrases(tokens), "|").alias("phrases"))
@@ -315,3 +315,31 @@ def mth12_jn21_similarity(spark: SparkSession, d: str) -> DataFrame:
     """MTH12, JN21: the first other vector of the same label with a cosine above 0.3, whole vectors."""
     rows = table(spark, d, "embeddings")
     return similarity.similar_first(rows, rows, ["label"], "embedding", 0.3, "vec_id")
+
+
+# A tagger by rule: long words are nouns, short ones stand before them; a noun's lemma is its first six letters.
+@query("txt15_17_tagged_nouns", f"""WITH s AS (SELECT doc_id, unnest({SENTENCES}) AS sentence FROM documents), d AS (SELECT DISTINCT sentence FROM s), w AS (
+  SELECT sentence, unnest(regexp_extract_all(lower(sentence), '[a-z]+')) AS word, unnest(range(len(regexp_extract_all(lower(sentence), '[a-z]+')))) AS i FROM d
+), n AS (
+  SELECT *, i - row_number() OVER (PARTITION BY sentence ORDER BY i) AS island FROM w WHERE length(word) > 6
+), p AS (
+  SELECT sentence, count(*) AS words, min(left(word, 6)) AS lemma FROM n GROUP BY sentence, island
+), q AS (
+  SELECT sentence, count(*) AS phrases, sum(words) AS nouns, max(words) AS longest, min(lemma) AS lemma FROM p GROUP BY sentence
+)
+SELECT doc_id, CAST(sum(phrases) AS BIGINT) AS phrases, CAST(sum(nouns) AS BIGINT) AS nouns, CAST(max(longest) AS INT) AS longest, min(lemma) AS lemma FROM s JOIN q USING (sentence) GROUP BY doc_id""")
+def txt15_17_tagged_nouns(spark: SparkSession, d: str) -> DataFrame:
+    """TXT17, PRV6, PRV9, WIN9: nouns and phrases of all sentences of all documents, by a tagger."""
+
+    def tag(asked: list[dict]) -> list[dict]:
+        import re
+
+        words = lambda s: re.findall("[a-z]+", s.lower())
+        return [{"sentence": r["sentence"], "tokens": [{"text": w, "pos": "NOUN" if len(w) > 6 else "ADJ", "lemma": w[:6]} for w in words(r["sentence"])]} for r in asked]
+
+    said = docs(spark, d).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("sentence"))
+    tagged = nouns.tokens(said, providers.batched(tag, providers.CONTRACTS["tagger"].answers))
+    phrases = nouns.noun_phrases(tagged).groupBy("sentence").agg(F.count("*").alias("phrases"), F.sum("words").alias("nouns"), F.max("words").alias("longest"))
+    lemmas = nouns.noun_lemmas(tagged).groupBy("sentence").agg(F.min("lemma").alias("lemma"))
+    per = said.join(phrases.join(lemmas, "sentence"), "sentence").groupBy("doc_id")
+    return per.agg(F.sum("phrases").alias("phrases"), F.sum("nouns").alias("nouns"), F.max("longest").cast("int").alias("longest"), F.min("lemma").alias("lemma"))
