@@ -56,21 +56,21 @@ def bleu(captions: DataFrame, most: int = 4) -> DataFrame:
     """BLEU of all captions, for up to ``most`` words, from ``predicted`` and ``truths`` (arrays of words).
 
     An n-gram counts as often as the reference that has it most often; lengths are held against the closest reference,
-    the shorter of two. Counts are summed over the table, so only sums travel.
+    the shorter of two. N-grams are rows that are counted by caption, text and gram, so the cost grows with the words.
     """
-    count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
     near = F.array_min(F.transform("truths", lambda t: F.struct(F.abs(F.size(t) - F.size("predicted")).alias("by"), F.size(t).alias("n"))))["n"]
-    columns = [F.size("predicted").alias("length"), near.alias("closest")]
-
-    def right(n: int) -> Column:
-        grams, theirs = _grams(F.col("predicted"), n), F.transform("truths", lambda t: _grams(t, n))
-        most_in_one = lambda g: F.array_max(F.transform(theirs, lambda t: count(t, g)))
-        found = F.transform(F.array_distinct(grams), lambda g: F.least(count(grams, g), most_in_one(g)))
-        return F.aggregate(found, F.lit(0), lambda acc, x: acc + x)
-
-    for n in range(1, most + 1):
-        columns += [right(n).alias(f"right{n}"), F.size(_grams(F.col("predicted"), n)).alias(f"all{n}")]
-    sums = captions.select(*columns).agg(*(F.sum(c).alias(c) for c in ("length", "closest", *(f"{k}{n}" for n in range(1, most + 1) for k in ("right", "all")))))
+    lengths = captions.agg(F.sum(F.size("predicted")).alias("length"), F.sum(near).alias("closest"))
+    own = F.array(F.struct(F.lit(-1).alias("text"), F.col("predicted").alias("words")))
+    sides = F.concat(own, F.transform("truths", lambda t, i: F.struct(i.alias("text"), t.alias("words"))))
+    texts = captions.select(F.monotonically_increasing_id().alias("caption"), F.inline(sides))
+    every = F.concat(*(F.transform(_grams(F.col("words"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, most + 1)))
+    counted = texts.select("caption", "text", F.inline(every)).groupBy("caption", "n", "gram", "text").agg(F.count("*").alias("times"))
+    mine, theirs = F.sum(F.when(F.col("text") < 0, F.col("times"))), F.max(F.when(F.col("text") >= 0, F.col("times")))
+    per = counted.groupBy("caption", "n", "gram").agg(mine.alias("mine"), theirs.alias("theirs"))
+    total = lambda n, x, name: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0)).alias(f"{name}{n}")
+    found = F.least("mine", F.coalesce("theirs", F.lit(0)))
+    sums = per.agg(*(total(n, F.when(F.col("mine").isNotNull(), found), "right") for n in range(1, most + 1)), *(total(n, F.col("mine"), "all") for n in range(1, most + 1)))
+    sums = sums.join(lengths)  # one row each
     # What keeps empty counts from dividing by zero.
     tiny, small = F.lit(1e-15), F.lit(1e-9)
     ratio = (F.col("length") + tiny) / (F.col("closest") + small)
