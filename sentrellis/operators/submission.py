@@ -62,8 +62,10 @@ def bleu(captions: DataFrame, most: int = 4) -> DataFrame:
     lengths = captions.agg(F.sum(F.size("predicted")).alias("length"), F.sum(near).alias("closest"))
     own = F.array(F.struct(F.lit(-1).alias("text"), F.col("predicted").alias("words")))
     sides = F.concat(own, F.transform("truths", lambda t, i: F.struct(i.alias("text"), t.alias("words"))))
-    texts = captions.select(F.monotonically_increasing_id().alias("caption"), F.inline(sides))
-    every = F.concat(*(F.transform(_grams(F.col("words"), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, most + 1)))
+    numbered = captions.withColumn("caption", F.monotonically_increasing_id())  # before the texts become rows
+    texts = numbered.select("caption", F.inline(sides))
+    of = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
+    every = F.concat(*(F.transform(_grams(F.col("words"), n), of(n)) for n in range(1, most + 1)))
     counted = texts.select("caption", "text", F.inline(every)).groupBy("caption", "n", "gram", "text").agg(F.count("*").alias("times"))
     mine, theirs = F.sum(F.when(F.col("text") < 0, F.col("times"))), F.max(F.when(F.col("text") >= 0, F.col("times")))
     per = counted.groupBy("caption", "n", "gram").agg(mine.alias("mine"), theirs.alias("theirs"))
