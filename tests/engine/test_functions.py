@@ -119,6 +119,21 @@ def test_pairs(spark):
     assert pairs.pair_rows(lone).count() == 0 and pairs.chosen_rows(lone).count() == 1
 
 
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_extreme_boxes(spark, parts):
+    """The first of the best, whatever the order of rows; 0.12 at 2006 and 0.125 at 7006 are no tie."""
+    rows = [("i", k % 3, 1000 * (k % 8) + k, [0.12, 0.125, 0.5, 0.88][k % 4], 0.5, [0.1, 0.2, 0.3][k % 3 - 1], 0.4) for k in range(120)]
+    rows += [("j", 0, 2006, 0.12, 0.5, 0.1, 0.1), ("j", 0, 7006, 0.125, 0.5, 0.1, 0.1)]
+    boxes = spark.createDataFrame(rows, "image_id string, label int, ord int, x double, y double, w double, h double").repartition(parts)
+    got = {(r["image_id"], r["label"]): tuple(r)[2:] for r in pairs.extreme_boxes(boxes).collect()}
+    size, edge = lambda r: round(r[5] * r[6], 9), lambda r: round(min(r[3], 1 - r[3], r[4], 1 - r[4]), 9)
+    for key, found in got.items():
+        mine = [r for r in rows if r[:2] == key]
+        best = [max(mine, key=lambda r: (size(r), -r[2])), min(mine, key=lambda r: (size(r), r[2])), min(mine, key=lambda r: (edge(r), r[2])), max(mine, key=lambda r: (edge(r), -r[2]))]
+        assert found == tuple(r[2] for r in best)
+    assert got["j", 0] == (2006, 2006, 2006, 7006)
+
+
 def test_majority(spark):
     rows = [(k, "dog", "a dog" if i < hit else "a cat") for k, (hit, n) in enumerate([(5, 10), (4, 10), (1, 3), (0, 1)]) for i in range(n)]
     got = mask.majority(spark.createDataFrame(rows, "k int, masked_object string, response string"), LEX, ["k"]).orderBy("k").collect()
