@@ -74,6 +74,51 @@ def test_models_tell_random_from_ordinary(spark):
     assert [added for _, _, added in run(docs)] == [[t] for t in random] + [[]] * len(ordinary)
 
 
+def test_recall_by_length_and_runs_of_documents_not_trained_on(spark):
+    """Models that learned from half of the documents, on random strings of 10 characters and more and on the other half."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_samples(spark), secrets.corpus_pairs(docs.filter("doc_id % 2 = 0")))
+    added = lambda d: [r["added"] for r in secrets.find_secrets(d, model).select("added").collect()]
+    rng = np.random.default_rng(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = (lower + upper + digits, upper + digits, lower + digits, digits + "ABCDEF", digits + "abcdef")
+    strings = [(f"{len(a)} characters from {a[0]}, length {n}", f"a {''.join(rng.choice(list(a), n))}, b") for a in alphabets for n in (10, 12, 14, 16, 19, 23) for _ in range(200)]
+    found = dict.fromkeys((k for k, _ in strings), 0)
+    for r in secrets.find_secrets(spark.createDataFrame(strings, "kind string, text string"), model).select("row.kind", "added").collect():
+        found[r["kind"]] += bool(r["added"])
+    print(found)
+    assert min(found.values()) >= 180
+    runs = docs.filter("doc_id % 2 = 1").selectExpr("explode(array_distinct(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{10,}', 0))) AS text").distinct()
+    wrong = sum(map(bool, added(runs)))
+    print(f"runs of the other documents found: {wrong} of {runs.count()}")
+    assert wrong <= 0.001 * runs.count()
+    ordinary = ["2024-01-15", "555-123-4567", "1234567890123456", "user_24-data_2024", "https", "thestateofthedocument", "get_user_name"]
+    assert not any(added(spark.createDataFrame([(t,) for t in ordinary], "text string")))
+
+
+def test_what_base_spans_leave_of_a_run_is_judged(spark):
+    key = "kX9dP2vQ7mZr4TbW"
+    texts = [f"{key}token=abcdef", f"{key}token=abcde", f"{key}-{'0f' * 12}-{key}", f"token={key}", f"{key}token: abcdef/{key}"]
+    got = [[(s["start"], s["match"]) for s in r["added"]] for r in secrets.find_secrets(spark.createDataFrame([(t,) for t in texts], "text string")).select("added").collect()]
+    assert got == [[(0, key)], [(0, f"{key}token=abcde")], [(0, f"{key}-"), (41, f"-{key}")], [], [(0, key)]]
+
+
+def test_query_against_sql_where_models_add_spans(spark, tmp_path):
+    """Random strings without keywords among the documents: in the given tables the models have nothing to add."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    mixed = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(200).collect()
+    texts = [(r["doc_id"], f"{r['text'] or ''} {''.join(rng.choice(mixed, int(rng.integers(8, 40))))} end" + "".join(rng.choice(mixed, 12)) + "token=abcdef") for r in rows]
+    spark.createDataFrame([*texts, (-1, None), (-2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op4_secrets(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.oracle_sql()["op4_secrets"]).fetchall())
+    assert sum("markov" in r[-1] for r in got) > 150
+
+
 def test_counts_of_the_query(spark):
     got = queries.op4_secrets(spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
