@@ -19,8 +19,8 @@ def plain(text):
     return sorted(out)
 
 
-def run(docs):
-    out = secrets.find_secrets(docs)
+def run(docs, model=None):
+    out = secrets.find_secrets(docs, model)
     return [(r["text"], [(s["start"], s["kind"], s["end"]) for s in r["base"]], [s["match"] for s in r["added"]]) for r in out.select("row.text", "base", "added").collect()]
 
 
@@ -58,10 +58,12 @@ def test_rates_on_strings_not_trained_on(spark):
     rng = np.random.default_rng(7)
     alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF"]
     random = ["".join(rng.choice(list(a), int(n))) for a in alphabets for n in rng.integers(20, 64, 500)]
-    words = sorted({w for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in re.findall(r"[a-z]{3,12}", r["text"] or "")})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_samples(spark), secrets.corpus_pairs(docs.filter("doc_id % 2 = 0")))
+    words = sorted({w for r in docs.filter("doc_id % 2 = 1").collect() for w in re.findall(r"[a-z]{3,12}", r["text"] or "")})
     ordinary = [str(rng.choice(["_", "-", "/", ""])).join(rng.choice(words, 6)) for _ in range(1000)] + ["".join(w.title() for w in rng.choice(words, 5)) for _ in range(1000)]
     ordinary = [t for t in ordinary if len(t) >= 20]
-    found = lambda texts: sum(bool(added) or any(k == 2 for _, k, _ in base) for _, base, added in run(spark.createDataFrame([(t,) for t in texts], "text string")))
+    found = lambda texts: sum(bool(added) or any(k == 2 for _, k, _ in base) for _, base, added in run(spark.createDataFrame([(t,) for t in texts], "text string"), model))
     hits, wrong = found(random), found(ordinary)
     print(f"random strings found {hits} of {len(random)}, ordinary ones {wrong} of {len(ordinary)}")
     assert hits > 0.95 * len(random) and wrong < 0.08 * len(ordinary)  # invented words are less like words than real ones
@@ -82,7 +84,7 @@ def test_recall_by_length_and_runs_of_documents_not_trained_on(spark):
     rng = np.random.default_rng(11)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     alphabets = (lower + upper + digits, upper + digits, lower + digits, digits + "ABCDEF", digits + "abcdef")
-    strings = [(f"{len(a)} characters from {a[0]}, length {n}", f"a {''.join(rng.choice(list(a), n))}, b") for a in alphabets for n in (10, 12, 14, 16, 19, 23) for _ in range(200)]
+    strings = [(f"{len(a)} characters to {a[-1]}, length {n}", f"a {''.join(rng.choice(list(a), n))}, b") for a in alphabets for n in (10, 12, 14, 16, 19, 23) for _ in range(200)]
     found = dict.fromkeys((k for k, _ in strings), 0)
     for r in secrets.find_secrets(spark.createDataFrame(strings, "kind string, text string"), model).select("row.kind", "added").collect():
         found[r["kind"]] += bool(r["added"])
