@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -39,31 +41,44 @@ def context_state(ctx: Column | None = None, said: Column | None = None) -> Colu
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def advance(acc: Column, s: Column) -> Column:
     """The state after a step (step, cands): its pairs and its choice added."""
-    clean = F.filter(s["cands"], is_clean)
-    explores = lambda c: ~F.arrays_overlap(c["reps"], acc["ctx"])
-    explore = F.filter(clean, explores)
-    normal = F.filter(clean, lambda c: ~explores(c))
-    bad = F.filter(s["cands"], is_hallucinated)
     many = F.size(s["cands"]) > 1
-    n = F.when(many, F.least(F.size(normal), F.size(bad))).otherwise(0)
-    context = F.array_join(acc["said"], " ")
-    build = lambda w, i: F.struct(
-        s["step"].cast("int").alias("step"), i.cast("int").alias("rank"), w["cand_idx"].cast("int").alias("win"), F.get(bad, i)["cand_idx"].cast("int").alias("lose"),
-        w["sentence"].alias("y_win"), F.get(bad, i)["sentence"].alias("y_lose"), context.alias("context"), acc["ctx"].alias("context_objects"),
-        w["reps"].alias("win_objects"), F.get(bad, i)["hallu"].alias("lose_hallu"),
-    )
-    pairs = F.transform(F.slice(normal, F.lit(1), n), build)
-    pool = F.when(~many, s["cands"]).when(F.size(explore) > 0, explore).when(F.size(normal) > 0, normal).otherwise(s["cands"])
-    best = F.array_min(F.transform(pool, lambda c: F.struct(c["draw"].alias("d"), c["cand_idx"].alias("i"), c.alias("c"))))["c"]
-    choice = F.struct(s["step"].cast("int").alias("step"), best["cand_idx"].cast("int").alias("cand_idx"), best["sentence"].alias("sentence"), best["hallu"].alias("hallu"))
-    return F.struct(
-        F.array_sort(F.array_union(acc["ctx"], best["real"])).alias("ctx"),
-        F.concat(acc["said"], F.array(best["sentence"])).alias("said"),
-        F.concat(acc["pairs"], pairs).alias("pairs"),
-        F.concat(acc["chosen"], F.array(choice)).alias("chosen"),
-    )
+    explores = lambda c: ~F.arrays_overlap(c["reps"], acc["ctx"])
+
+    def split(clean: Column) -> Column:
+        return F.struct(F.filter(clean, explores).alias("explore"), F.filter(clean, lambda c: ~explores(c)).alias("normal"), F.filter(s["cands"], is_hallucinated).alias("bad"))
+
+    def paired(k: Column) -> Column:
+        n = F.when(many, F.least(F.size(k["normal"]), F.size(k["bad"]))).otherwise(0)
+        build = lambda context: lambda w, i: _let(F.get(k["bad"], i), lambda x: F.struct(
+            s["step"].cast("int").alias("step"), i.cast("int").alias("rank"), w["cand_idx"].cast("int").alias("win"), x["cand_idx"].cast("int").alias("lose"),
+            w["sentence"].alias("y_win"), x["sentence"].alias("y_lose"), context.alias("context"), acc["ctx"].alias("context_objects"),
+            w["reps"].alias("win_objects"), x["hallu"].alias("lose_hallu"),
+        ))
+        return F.when(n > 0, _let(F.array_join(acc["said"], " "), lambda context: F.transform(F.slice(k["normal"], F.lit(1), n), build(context)))).otherwise(F.array().cast(f"array<{PAIR}>"))
+
+    def best(k: Column) -> Column:
+        pool = F.when(~many, s["cands"]).when(F.size(k["explore"]) > 0, k["explore"]).when(F.size(k["normal"]) > 0, k["normal"]).otherwise(s["cands"])
+        return _let(pool, lambda p: F.array_min(F.transform(p, lambda c: F.struct(c["draw"].alias("d"), c["cand_idx"].alias("i"), c.alias("c"))))["c"])
+
+    def after(x: Column) -> Column:
+        c = x["best"]
+        choice = F.struct(s["step"].cast("int").alias("step"), c["cand_idx"].cast("int").alias("cand_idx"), c["sentence"].alias("sentence"), c["hallu"].alias("hallu"))
+        return F.struct(
+            F.array_sort(F.array_union(acc["ctx"], c["real"])).alias("ctx"),
+            F.concat(acc["said"], F.array(c["sentence"])).alias("said"),
+            F.concat(acc["pairs"], x["pairs"]).alias("pairs"),
+            F.concat(acc["chosen"], F.array(choice)).alias("chosen"),
+        )
+
+    kinds = _let(F.filter(s["cands"], is_clean), split)
+    return _let(_let(kinds, lambda k: F.struct(paired(k).alias("pairs"), best(k).alias("best"))), after)
 
 
 def fold_steps(judged: DataFrame, seed: str = "s") -> DataFrame:

@@ -165,9 +165,12 @@ def open_requests(objects: DataFrame, images: DataFrame) -> DataFrame:
     return captions.join(images.select("image_id", "image_path"), "image_id").select("image_id", "image_path", "caption")
 
 
-def resolved(sentences: DataFrame, resolver: Provider) -> DataFrame:
-    """Sentences of (context, sentence) with their references resolved; one without an answer stays as it is."""
+def resolved(sentences: DataFrame, resolver: Provider, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Sentences of (context, sentence) with their references resolved; one without an answer stays as it is. ``keep``
+    stores the answers and reads them back: the resolver is asked once, and few answers are sent to the sentences, not
+    all sentences dealt to the answers."""
     key = ["context", "sentence"]
     answers = bound(resolver, CONTRACTS["resolver"])(sentences).dropDuplicates(key).select(*(F.col(k).alias(f"{k}_") for k in key), F.col("resolved").alias("resolved_"))
+    answers = keep(answers) if keep else answers
     same = F.col("context").eqNullSafe(F.col("context_")) & F.col("sentence").eqNullSafe(F.col("sentence_"))
     return sentences.join(answers, same, "left").select(sentences["*"], F.coalesce("resolved_", "sentence").alias("resolved"))
