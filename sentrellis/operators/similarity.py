@@ -26,6 +26,8 @@ CELL_ROWS, BLOCK_ROWS, PIVOTS = 4096, 8192, 1024
 #: Rows of the left that are compared at a time; share of pairs from which products are taken for all of them.
 PART, DENSE = 512, 0.05
 _SLACK = 1e-9
+#: First rows of the right that each row is held against before all pairs are thought of, in rounds; sent to all tasks.
+FIRST_ROWS = (4096, 16384)
 
 
 class _Counts(AccumulatorParam):
@@ -162,9 +164,56 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, key: str = "i
     return dealt.mapInArrow(meet, f"l_id {kind[0]}, r_id {kind[1]}, cosine double")
 
 
+def _held_against(rows: DataFrame, block: pa.Table, group: list[str], order: str, least: float) -> DataFrame:
+    """``rows`` (group, order, v, match) where a row without a match gets the first of ``block``, which is in order."""
+    names = [tuple(r.values()) for r in block.select(group).to_pylist()]
+    code = {g: i for i, g in enumerate(dict.fromkeys(names))}
+    width = int(pc.max(pc.list_value_length(block["v"])).as_py() or 1)
+    sent = rows.sparkSession.sparkContext.broadcast((_unit(_matrix(block["v"], width)), np.array([code[g] for g in names]), code, block[order].to_pylist()))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group_of, code, ids = sent.value
+        names = np.array([*ids, None], object)
+        for batch in batches:
+            match, own = np.array([*batch["match"].to_pylist(), None], object)[:-1], np.array([*batch[order].to_pylist(), None], object)[:-1]
+            groups = np.array([code.get(tuple(r.values()), -1) for r in batch.select(group).to_pylist()], np.int64)
+            open_ = np.flatnonzero([m is None for m in match])
+            for k in range(0, len(open_), PART):
+                some = open_[k : k + PART]
+                vectors = batch["v"].take(pa.array(some))
+                wide = max(held.shape[1], int(pc.max(pc.list_value_length(vectors)).as_py()))
+                near = _unit(_matrix(vectors, wide))[:, : held.shape[1]] @ held.T > least
+                near &= (groups[some][:, None] == group_of[None, :]) & (own[some][:, None] != names[None, :-1])
+                match[some] = names[np.where(near.any(axis=1), near.argmax(axis=1), len(ids))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*group, order, "v")), pa.array(match.tolist(), batch.schema.field("match").type)], schema=batch.schema)
+
+    return rows.mapInArrow(meet, rows.schema)
+
+
 def similar_first(left: DataFrame, right: DataFrame, group: list[str], vector: str, least: float, order: str) -> DataFrame:
-    """For each row of the left, the first of its group on the right, another one, whose cosine is above ``least``."""
-    near = similar_pairs(left, right, least, order, vector).filter("l_id <> r_id")
-    side = lambda df, name: df.select(*group, F.col(order).alias(name)).distinct()
-    both = near.join(side(left, "l_id"), "l_id").join(side(right, "r_id"), ["r_id", *group])
-    return both.groupBy(*group, F.col("l_id").alias(order)).agg(F.min("r_id").alias("match"))
+    """For each row of the left, the first of its group on the right, another one, whose cosine is above ``least``.
+
+    Where partners are not rare, the first is an early one: rows are held against ``FIRST_ROWS`` first rows of the right, those
+    without a match against so many more, and only what is then left takes part in the join of all pairs."""
+    own = lambda df: _usable(df.withColumn("_id", F.struct(*group, F.col(order).alias("_o"))), "_id", vector).select(*(F.col(f"id.{g}").alias(g) for g in group), F.col("id._o").alias(order), "v").dropna(subset=[*group, order])
+    kind = dict(right.dtypes)[order]
+    rows, rest = own(left).withColumn("match", F.lit(None).cast(kind)), own(right)
+    after = None
+    for n in FIRST_ROWS:
+        block = (rest if after is None else rest.filter(F.col(order) >= F.lit(after))).orderBy(order).limit(n).toArrow()
+        if not block.num_rows:
+            break
+        rows = _held_against(rows, block, group, order, least)
+        after = block[order][-1].as_py()
+        if block.num_rows < n:  # all of the right
+            return rows.filter("match is not null").groupBy(*group, order).agg(F.min("match").alias("match"))
+    rows = rows.withColumn("v", F.when(F.col("match").isNull(), F.col("v"))).persist()  # of few rows the vectors are left
+    found = rows.filter("match is not null").select(*group, order, "match")
+    open_ = rows.filter("match is null")
+    if after is not None and not open_.isEmpty():
+        late = rest.filter(F.col(order) >= F.lit(after))
+        near = similar_pairs(open_, late, least, order, "v").filter("l_id <> r_id")
+        side = lambda df, name: df.select(*group, F.col(order).alias(name)).distinct()
+        both = near.join(side(open_, "l_id"), "l_id").join(side(late, "r_id"), ["r_id", *group])
+        found = found.unionByName(both.select(*group, F.col("l_id").alias(order), F.col("r_id").alias("match")))
+    return found.groupBy(*group, order).agg(F.min("match").alias("match"))

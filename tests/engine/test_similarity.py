@@ -1,5 +1,7 @@
 """The similarity join against all pairs, how many it compares, and AMBER's similar words."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -72,3 +74,36 @@ def test_amber_words(spark):
     # Always safe nouns count, but cover nothing; an answer without truth has nothing to cover.
     r = score([(1, ["cab"], [], ["car"]), (2, [], ["dog"], [])], ["cab"])
     assert (r["chair"], r["cover"], r["hal"], r["cog"]) == (0.0, 0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("first", [(4096, 16384), (3, 5), (1, 1)])
+def test_first_similar(spark, monkeypatch, first):
+    """The first partner of a group, from whichever round it comes, against all pairs."""
+    monkeypatch.setattr(similarity, "FIRST_ROWS", first)
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 4 if i % 11 else None, rng.normal(size=8).tolist()) for i in range(160)] + [(200, 1, None), (201, 1, [0.0] * 8), (7, 3, rng.normal(size=8).tolist()), (202, 2, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    got = {(r["label"], r["vec_id"]): r["match"] for r in similarity.similar_first(df, df, ["label"], "embedding", 0.6, "vec_id").collect()}
+    want = {}
+    for g in range(4):
+        own = [(i, x) for i, label, x in rows if label == g]
+        for i, j in pairs(own, own, 0.6):
+            if i != j:
+                want[g, i] = min(j, want.get((g, i), j))
+    assert got == want
+
+
+def test_first_similar_compares_few(spark, monkeypatch):
+    """No pairs of all rows where first partners are early."""
+    monkeypatch.setattr(similarity, "similar_pairs", None)
+    rows = spark.range(30000).selectExpr("id", "id % 5 AS g", "array(1.0D, CAST(id % 7 AS DOUBLE)) AS v")
+    assert similarity.similar_first(rows, rows, ["g"], "v", 0.5, "id").count() == 30000
+
+
+def test_amber_joins_answers_first(spark):
+    """Similar words of a noun that its answer does not hold make no rows: the pairs are joined by both of their words."""
+    associations = spark.createDataFrame([("dog", ["puppy"])], "word string, associated array<string>")
+    answers = spark.createDataFrame([(1, ["puppy"], ["dog"], ["dog"])], "id int, nouns array<string>, truth array<string>, hallu array<string>")
+    similar = spark.range(1000).selectExpr("concat('n', id % 7) AS noun", "concat('w', id) AS word")
+    said = metrics.amber_generative(answers, associations, spark.createDataFrame([], "word string"), similar)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftSemi, \(\(noun#\d+ = noun#\d+\) AND \(word#\d+ = word#\d+\)\)", said)
