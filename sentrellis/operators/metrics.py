@@ -75,13 +75,12 @@ def amber_generative(answers: DataFrame, associations: DataFrame, safe_words: Da
     nouns = answers.select("id", F.posexplode("nouns").alias("pos", "noun")).join(known, "noun", "left_semi")
     nouns = nouns.join(safe_words.select(F.col("word").alias("noun"), F.lit(True).alias("fine")).distinct(), "noun", "left")
     asked = nouns.filter("fine is null").select("id", "noun").distinct()
-    near = asked.join(similar.select("noun", "word").distinct(), "noun")
-    first = None
-    for kind in ("truth", "hallu"):
-        words = _check_words(answers, kind, associations)
-        same = asked.withColumn("word", F.col("noun")).join(words, ["id", "word"]).select("id", "noun", "idx", "place", F.lit(f"{kind}_same").alias("how"))
-        like = near.join(words, ["id", "word"]).select("id", "noun", "idx", "place", F.lit(f"{kind}_like").alias("how"))
-        first = same.unionAll(like) if first is None else first.unionAll(same).unionAll(like)
+    # An answer's own nouns and words first, then what is similar: a noun can be similar to a large share of all words.
+    words = [_check_words(answers, kind, associations).withColumn("kind", F.lit(kind)) for kind in ("truth", "hallu")]
+    beside = asked.join(words[0].unionAll(words[1]), "id")
+    same = beside.filter(F.col("noun") == F.col("word")).withColumn("how", F.concat("kind", F.lit("_same")))
+    like = beside.join(similar.select("noun", "word"), ["noun", "word"], "left_semi").withColumn("how", F.concat("kind", F.lit("_like")))
+    first = same.unionByName(like)
     pick = lambda how: F.min_by(F.when(F.col("how") == how, F.col("idx")), F.when(F.col("how") == how, F.col("place"))).alias(how)
     hits = first.groupBy("id", "noun").agg(*(pick(f"{k}_{h}") for k in ("truth", "hallu") for h in ("same", "like")))
     rows = nouns.join(hits, ["id", "noun"], "left")
