@@ -148,13 +148,9 @@ def question_scores(data: DataFrame, by: list[str] | None = None) -> DataFrame:
     return data.groupBy(*(by or [])).agg(F.count("*").alias("total"), F.sum("correct").alias("correct"), (F.count("*") - F.sum("correct")).alias("wrong"), F.count_if(lh).alias("lh"), F.count_if(vi).alias("vi"), F.count_if(mix).alias("mix"))
 
 
-def attribution(data: DataFrame) -> DataFrame:
-    """lh and vi (0 or 1) of each answer, from its verdict, that of its original (figure 0) and if both say the same."""
-    from pyspark.sql.window import Window as W
-
-    v, same = F.col("verdict"), F.col("same") == "1"
-    o = F.col("original")
-    with_original = data.withColumn("original", F.max(F.when(F.col("figure_id") == 0, F.col("verdict"))).over(W.partitionBy(*PAIR)))
+def _kind(original: Column) -> Column:
+    """lh, vi, mix or none of an answer, by its verdict, that of its original and if both say the same."""
+    v, same, o = F.col("verdict"), F.col("same") == "1", original
     vd, first = F.col("category") == "VD", F.col("figure_id") == 0
     bad, unsure = v == "0", v == "2"
     kind = (
@@ -165,12 +161,32 @@ def attribution(data: DataFrame) -> DataFrame:
         .when(o == "2", F.when(bad | unsure, "vi"))
         .otherwise(F.when(unsure, "vi").when(bad, F.when((F.col("visual_input") == 2) & same, "lh").otherwise("vi")))
     )
-    return with_original.withColumn("kind", F.coalesce(kind, F.lit("none"))).withColumn("lh", F.col("kind").isin("lh", "mix").cast("int")).withColumn("vi", F.col("kind").isin("vi", "mix").cast("int")).drop("original")
+    return F.coalesce(kind, F.lit("none"))
+
+
+def attribution(data: DataFrame) -> DataFrame:
+    """lh and vi (0 or 1) of each answer, from its verdict, that of its original (figure 0) and if both say the same."""
+    from pyspark.sql.window import Window as W
+
+    original = F.max(F.when(F.col("figure_id") == 0, F.col("verdict"))).over(W.partitionBy(*PAIR))
+    rows = data.withColumn("original", original).withColumn("kind", _kind(F.col("original"))).drop("original")
+    return rows.withColumn("lh", F.col("kind").isin("lh", "mix").cast("int")).withColumn("vi", F.col("kind").isin("vi", "mix").cast("int"))
 
 
 def pair_scores(data: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Groups of a question over all figures: right if all are, else attributed by what its answers show."""
-    per = attribution(data).groupBy(*PAIR).agg(F.min("correct").alias("c"), F.sum("lh").alias("lh"), F.sum("vi").alias("vi"), F.count("*").alias("n"))
+    """Groups of a question over all figures: right if all are, else attributed by what its answers show.
+
+    What an answer shows hangs on its group's original, so groups sum up what it would show by each verdict of that, in
+    numbers of fixed width, and no group is held as rows. Of several originals the greatest verdict counts."""
+    told = {"0": 1, "1": 2, "2": 3}  # in the order of the verdicts; 0 stands for any other or none, which attribute alike
+    of = lambda o: F.lit(None).cast("string") if o is None else F.lit(o)
+    shows = lambda o, kinds: F.max(_kind(of(o)).isin(*kinds).cast("int"))
+    verdicts = [None, *told]
+    flags = [shows(o, kinds).alias(f"{name}{k}") for k, o in enumerate(verdicts) for name, kinds in (("lh", ("lh", "mix")), ("vi", ("vi", "mix")))]
+    original = F.max(F.when(F.col("figure_id") == 0, F.coalesce(*(F.when(F.col("verdict") == o, k) for o, k in told.items()), F.when(F.col("verdict") > "2", 4), F.lit(0)))).alias("original")
+    per = data.groupBy(*PAIR).agg(F.min("correct").alias("c"), F.count("*").alias("n"), original, *flags)
+    pick = lambda name: F.coalesce(*(F.when(F.col("original") == k, F.col(f"{name}{k}")) for k in (1, 2, 3)), F.col(f"{name}0"))
+    per = per.select(*PAIR, "c", "n", pick("lh").alias("lh"), pick("vi").alias("vi"))
     return per.groupBy(*(by or [])).agg(F.count("*").alias("total"), F.sum("n").alias("questions"), F.count_if(F.expr("c = 1")).alias("correct"), F.count_if(F.expr("c = 0")).alias("wrong"), F.count_if(F.expr("lh > 0 and vi = 0")).alias("lh"), F.count_if(F.expr("lh = 0 and vi > 0")).alias("vi"), F.count_if(F.expr("lh > 0 and vi > 0")).alias("mix"))
 
 
