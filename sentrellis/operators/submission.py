@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,31 +50,36 @@ def selected_scores(scores: DataFrame, kind: str) -> DataFrame:
     return scores.filter(F.col("level").isin([*levels, "overall"] if set(PART_LEVELS) <= set(parts) else levels))
 
 
-def _grams(words: Column, n: int) -> Column:
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+def _counted(words: list[str] | None, n: int) -> Counter:
+    """How often each run of ``n`` words is in a text, joined by blanks; nulls are left out."""
+    words = words or []
+    return Counter(" ".join(w for w in words[i : i + n] if w is not None) for i in range(len(words) - n + 1))
 
 
 def bleu(captions: DataFrame, most: int = 4) -> DataFrame:
     """BLEU of all captions, for up to ``most`` words, from ``predicted`` and ``truths`` (arrays of words).
 
     An n-gram counts as often as the reference that has it most often; lengths are held against the closest reference,
-    the shorter of two. N-grams are rows that are counted by caption, text and gram, so the cost grows with the words.
+    the shorter of two. Counts are made caption by caption, so a task holds one batch of captions; captions are dealt evenly, n-grams are not shuffled.
     """
     near = F.array_min(F.transform("truths", lambda t: F.struct(F.abs(F.size(t) - F.size("predicted")).alias("by"), F.size(t).alias("n"))))["n"]
+    kind = ", ".join(f"right{n} long, all{n} long" for n in range(1, most + 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f"{side}{n}" for n in range(1, most + 1) for side in ("right", "all")]
+        for batch in batches:
+            sums = dict.fromkeys(names, 0)
+            for predicted, truths in zip(batch["predicted"].to_pylist(), batch["truths"].to_pylist(), strict=True):
+                for n in range(1, most + 1):
+                    mine, theirs = _counted(predicted, n), [_counted(t, n) for t in truths or ()]
+                    sums[f"all{n}"] += sum(mine.values())
+                    sums[f"right{n}"] += sum(min(k, max((t[g] for t in theirs), default=0)) for g, k in mine.items())
+            yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.int64()) for c, v in sums.items()})
+
     lengths = captions.agg(F.sum(F.size("predicted")).alias("length"), F.sum(near).alias("closest"))
-    own = F.array(F.struct(F.lit(-1).alias("text"), F.col("predicted").alias("words")))
-    sides = F.concat(own, F.transform("truths", lambda t, i: F.struct(i.alias("text"), t.alias("words"))))
-    numbered = captions.withColumn("caption", F.monotonically_increasing_id())  # before the texts become rows
-    texts = numbered.select("caption", F.inline(sides))
-    of = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-    every = F.concat(*(F.transform(_grams(F.col("words"), n), of(n)) for n in range(1, most + 1)))
-    counted = texts.select("caption", "text", F.inline(every)).groupBy("caption", "n", "gram", "text").agg(F.count("*").alias("times"))
-    mine, theirs = F.sum(F.when(F.col("text") < 0, F.col("times"))), F.max(F.when(F.col("text") >= 0, F.col("times")))
-    per = counted.groupBy("caption", "n", "gram").agg(mine.alias("mine"), theirs.alias("theirs"))
-    total = lambda n, x, name: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0)).alias(f"{name}{n}")
-    found = F.least("mine", F.coalesce("theirs", F.lit(0)))
-    sums = per.agg(*(total(n, F.when(F.col("mine").isNotNull(), found), "right") for n in range(1, most + 1)), *(total(n, F.col("mine"), "all") for n in range(1, most + 1)))
+    spread = captions.select("predicted", "truths").repartition(int(captions.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # one file is one task
+    sums = spread.mapInArrow(count, kind)
+    sums = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns))
     sums = sums.join(lengths)  # one row each
     # What keeps empty counts from dividing by zero.
     tiny, small = F.lit(1e-15), F.lit(1e-9)

@@ -28,3 +28,12 @@ def test_summary_reads_what_was_kept(spark):
 
 def test_sentences_stay_where_answers_are_few(spark):
     assert "SortMergeJoin [coalesce" not in plan(registry.queries()["prv5_resolved"](spark, SF))
+
+
+def test_groups_of_questions_are_not_sorted(spark):
+    said = plan(registry.queries()["agg17_pair_scores"](spark, SF))
+    assert "Window" not in said and "Sort" not in said
+
+
+def test_bleu_shuffles_no_grams(spark):
+    assert "hashpartitioning" not in plan(registry.queries()["agg24_bleu"](spark, SF))
