@@ -70,3 +70,12 @@ def test_recall_on_the_larger_table(spark):
     missed = [p for p in near if label[p[0]] != label[p[1]]]
     print(f"{len(near)} pairs, {len(missed)} missed")
     assert len(near) > 250 and not missed
+
+
+def test_linked_fingerprints_share_a_bucket(spark):
+    """Nodes without a common MinHash bucket are compared if their fingerprints are in one SimHash component."""
+    rows = [(1, 1, 1, 9, 0, [1]), (2, 2, 2, 9, 7, [2]), (3, 3, 3, 9, 63, [3]), (4, 4, 4, 9, -1, [4]), (5, 5, 5, 9, -1, [5])]
+    nodes = spark.createDataFrame(rows, "fp long, first long, holder long, size long, sim long, bands array<long>")
+    got = {r["fp"]: r["bands"] for r in copies._with_sim_bucket(nodes).collect()}
+    assert [got[k][0] for k in range(1, 6)] == [1, 2, 3, 4, 5] and {len(b) for b in got.values()} == {2}
+    assert got[1][1] == got[2][1] == got[3][1] != got[4][1] == got[5][1]
