@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.lexicon import Lexicon
 from . import pairs, providers, verdict
 
@@ -42,6 +43,12 @@ def _none(c: str) -> Column:
     return F.coalesce(c, F.array().cast(STRINGS))
 
 
+def beside(rows: DataFrame, more: DataFrame, key: str | list[str] = "image_id", how: str = "left") -> DataFrame:
+    """Rows of images joined by image: both sides grow with the images and a run joins them in every step, so none is
+    broadcast, which would gather it on the driver each time."""
+    return rows.join(more.hint("merge"), key, how)
+
+
 class Run:
     """A run whose tables are in ``path``, a folder that driver and executors share."""
 
@@ -75,7 +82,7 @@ class Run:
         asked = providers.bound(self.models.closed_detector, providers.CONTRACTS["closed_detector"])(images.select("image_id", "image_path"))
         labels = asked.groupBy("image_id").agg(F.array_sort(F.collect_set("label")).alias("closed"))
         empty = [F.array().cast(STRINGS).alias(c) for c in STATE[4:]]
-        return images.select("image_id", "image_path", "prompt").join(labels, "image_id", "left").select("image_id", "image_path", "prompt", _none("closed").alias("closed"), *empty, *self._outcome())
+        return beside(images.select("image_id", "image_path", "prompt"), labels).select("image_id", "image_path", "prompt", _none("closed").alias("closed"), *empty, *self._outcome())
 
     @staticmethod
     def _outcome() -> list[Column]:
@@ -83,44 +90,45 @@ class Run:
         return [F.lit(False).alias("ended"), none["pairs"].alias("pairs"), none["chosen"].alias("chosen")]
 
     def _candidates(self, answers: DataFrame, active: DataFrame) -> DataFrame:
-        """image_id, cand_idx and sentence, references resolved by the context, and mentions' representatives."""
-        first = answers.filter("sentence <> ''").groupBy("image_id", "sentence").agg(F.min("cand_idx").alias("cand_idx"))
+        """Each image that said something: image_id, image_path, cands (cand_idx, sentence, reps by number, references
+        resolved by the context) and fresh, the representatives that no earlier step ruled."""
+        # An image's answers are dealt once, all that follows finds them together.
+        first = answers.filter("sentence <> ''").repartition("image_id").groupBy("image_id", "sentence").agg(F.min("cand_idx").alias("cand_idx"))
         if self.models.resolver is not None:
-            with_context = first.join(active.select("image_id", F.array_join("said", " ").alias("context")), "image_id")
+            with_context = beside(first, active.select("image_id", F.array_join("said", " ").alias("context")), how="inner")
             first = providers.resolved(with_context, self.models.resolver).select("image_id", "cand_idx", F.col("resolved").alias("sentence"))
-        rows = first.withColumn("step", F.lit(0))
         if self.models.graph_parser is not None:
+            rows = first.withColumn("step", F.lit(0))
             graphs = providers.bound(self.models.graph_parser, providers.CONTRACTS["graph_parser"])(rows).dropDuplicates(["sentence"])
             rows = rows.join(graphs, "sentence", "left").withColumn("graph", F.coalesce("graph", F.lit("")))
-        found = verdict.mentions(rows, self.lexicon, "graph" if self.models.graph_parser is not None else None)
-        reps = found.groupBy("image_id", "cand_idx").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
-        return first.join(reps, ["image_id", "cand_idx"], "left").select("image_id", "cand_idx", "sentence", _none("reps").alias("reps"))
-
-    def _ruled(self, cands: DataFrame, active: DataFrame, step: int) -> DataFrame:
-        """image_id and the verdicts of objects that no earlier step ruled: arrays new_real, new_hallu, new_unsure."""
-        known = active.select("image_id", F.concat("real", "hallu", "unsure").alias("known"))
-        said = cands.groupBy("image_id").agg(F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps"))
-        fresh = said.join(known, "image_id").select("image_id", F.explode(F.array_except("reps", "known")).alias("rep"))
-        look = providers.bound(self.models.open_detector, providers.CONTRACTS["open_detector"])
-        boxes = self._once("boxes", step, lambda: look(providers.open_requests(fresh, active)))
-        seen = active.select("image_id", F.lit("closed").alias("detector"), F.explode("closed").alias("label"))
-        seen = seen.unionByName(boxes.select("image_id", F.lit("open").alias("detector"), "label"))
-        ruled = verdict.verdicts(fresh, seen, self.vocabulary, self.mode, self.exact)
-        pick = lambda name: F.array_sort(F.collect_set(F.when(F.col("verdict") == name, F.col("rep"))))
-        return ruled.groupBy("image_id").agg(pick("real").alias("new_real"), pick("hallucinated").alias("new_hallu"), pick("uncertain").alias("new_unsure"))
+            found = verdict.mentions(rows, self.lexicon, "graph")
+            reps = found.groupBy("image_id", "cand_idx").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
+            rows = beside(first, reps, ["image_id", "cand_idx"])
+        else:  # sampled sentences repeat: each distinct one is read once
+            rows = first.join(first.select("sentence").distinct().withColumn("reps", verdict.objects_of("sentence", self.lexicon)), "sentence", "left")
+        cands = F.array_sort(F.collect_list(F.struct("cand_idx", "sentence", _none("reps").alias("reps"))))
+        images = active.select("image_id", "image_path", F.concat("real", "hallu", "unsure").alias("known"))
+        gathered = beside(rows.groupBy("image_id").agg(cands.alias("cands")), images, how="inner")
+        fresh = F.array_except(F.flatten(F.transform("cands", lambda c: c["reps"])), F.col("known"))
+        return gathered.select("image_id", "image_path", "cands", fresh.alias("fresh"))
 
     def _step(self, active: DataFrame, step: int) -> DataFrame:
         """The state of the active images after a step."""
         context = active.select("image_id", "image_path", F.lit(step).alias("step"), "prompt", F.array_join("said", " ").alias("context"))
         ask = providers.bound(self.models.generator, providers.CONTRACTS["generator"])
         answers = self._once("answers", step, lambda: ask(providers.generator_requests(context, self.n)))
-        cands = self._once("candidates", step, lambda: self._candidates(answers, active))
+        gathered = self._once("gathered", step, lambda: self._candidates(answers, active))
+        look = providers.bound(self.models.open_detector, providers.CONTRACTS["open_detector"])
+        asked = gathered.filter(F.size("fresh") > 0).select("image_id", "image_path", X.pack_objects(F.col("fresh")).alias("caption"))
+        boxes = self._once("boxes", step, lambda: look(asked))
         some = answers.groupBy("image_id").agg(F.count("*").alias("n_said"))
-        gathered = cands.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("cand_idx", "sentence", "reps"))).alias("cands"))
-        ruled = self._ruled(cands, active, step)
-        rows = active.select(*STATE).join(some, "image_id", "left").join(gathered, "image_id", "left").join(ruled, "image_id", "left")
-        for name in ("real", "hallu", "unsure"):
-            rows = rows.withColumn(name, F.array_sort(F.concat(name, _none(f"new_{name}"))))
+        opened = boxes.groupBy("image_id").agg(F.collect_set("label").alias("opened"))
+        rows = beside(beside(beside(active.select(*STATE), some), gathered.drop("image_path")), opened)
+        ruled = lambda r: verdict.verdict_among(r, F.col("closed"), _none("opened"), self.vocabulary, self.mode, self.exact)
+        rows = rows.withColumn("ruled", F.transform(_none("fresh"), lambda r: F.struct(r.alias("rep"), ruled(r).alias("verdict"))))
+        pick = lambda name: F.transform(F.filter("ruled", lambda x: x["verdict"] == name), lambda x: x["rep"])
+        for name, told in (("real", "real"), ("hallu", "hallucinated"), ("unsure", "uncertain")):
+            rows = rows.withColumn(name, F.array_sort(F.concat(name, pick(told))))
         draw = lambda c: pairs.draw(self.seed, F.col("image_id"), F.lit(step), c["cand_idx"])
         full = lambda c: F.struct(
             c["cand_idx"].alias("cand_idx"), c["sentence"].alias("sentence"), c["reps"].alias("reps"), F.array_intersect(c["reps"], F.col("hallu")).alias("hallu"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrellis.functions.lexicon import Lexicon
-from sentrellis.operators import providers, run
+from sentrellis.operators import providers, run, verdict
 
 LEX = Lexicon({w: w for w in ("dog", "cat", "bus", "tree", "ball")})
 SAID = {
@@ -87,3 +87,37 @@ def test_most_steps(spark, tmp_path):
     assert [x["ended"] for x in r.images().collect()] == [False]
     more = run.Run(spark, f"file://{tmp_path}/run", Asked(spark).models(), LEX, ["dog"]).run(images, most=2)
     assert sorted(x["step"] for x in more.chosen().collect()) == [1, 2]
+
+
+def test_joins_by_image(spark, tmp_path):
+    """No step's own joins by image gather a side on the driver, however small it is."""
+    plans = {}
+
+    class Watched(run.Run):
+        def _once(self, name, step, make):
+            def watched():
+                df = make()
+                plans[name, step] = df._jdf.queryExecution().executedPlan().toString()
+                return df
+
+            return super()._once(name, step, watched)
+
+    images = spark.createDataFrame([(i, f"p/{i}", "Describe.") for i in "abc"], "image_id string, image_path string, prompt string")
+    Watched(spark, f"file://{tmp_path}/run", Asked(spark).models(), LEX, ["dog", "cat"]).run(images)
+    own = {k: p for k, p in plans.items() if k[0] not in ("answers", "boxes") and k[1] > 0}  # the others hold joins of the providers above
+    assert ("state", 3) in own and all("SortMergeJoin [image_id" in p for k, p in own.items())
+    assert not [k for k, p in own.items() if "BroadcastHashJoin [image_id" in p]
+
+
+@pytest.mark.parametrize("mode", ["both", "open", "closed"])
+@pytest.mark.parametrize("exact", [True, False])
+@pytest.mark.parametrize("vocabulary", [[], ["dog", "cat"]])
+def test_verdict_among(spark, mode, exact, vocabulary):
+    """Verdicts from arrays of labels are those from tables of them."""
+    seen = {"a": (["dog", "hot cat"], ["dog", "bus"]), "b": ([], ["big dog", "cat"]), "c": (["cat"], [])}
+    found = spark.createDataFrame([(i, r) for i in "abcd" for r in ("dog", "cat", "bus")], "image_id string, rep string")
+    boxes = spark.createDataFrame([(i, k, label) for i, x in seen.items() for k, labels in zip(("closed", "open"), x, strict=True) for label in labels], "image_id string, detector string, label string")
+    arrays = spark.createDataFrame([(i, *seen.get(i, ([], []))) for i in "abcd"], "image_id string, closed array<string>, opened array<string>")
+    told = found.join(arrays, "image_id").select("image_id", "rep", verdict.verdict_among(F.col("rep"), F.col("closed"), F.col("opened"), vocabulary, mode, exact).alias("verdict"))
+    want = verdict.verdicts(found, boxes, vocabulary, mode, exact).select("image_id", "rep", "verdict")
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
