@@ -1,6 +1,7 @@
-"""Nouns by a tagger: its tokens as a table, phrases as islands of it, concreteness and synonyms by tables of senses.
+"""Nouns by a tagger: its tokens by sentence, phrases as runs of them, concreteness and synonyms by tables of senses.
 
-A tagger is a provider (``providers.CONTRACTS["tagger"]``) that is asked once for each distinct sentence.
+A tagger is a provider (``providers.CONTRACTS["tagger"]``) that is asked once for each distinct sentence. Its tokens are
+several times the text, so they stay in the sentence's row and phrases are told there, not dealt out as rows.
 
 Defined cases: a sentence without an answer, or without tokens, has no nouns; null and empty sentences are not asked for;
 repeated sentences get the same nouns; a word without a sense is not concrete; empty tables give none.
@@ -8,9 +9,10 @@ repeated sentences get the same nouns; a word without a sense is not concrete; e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import providers
 
@@ -24,45 +26,64 @@ ABSTRACT = (
 )
 
 
-def tokens(sentences: DataFrame, tagger: providers.Provider) -> DataFrame:
-    """sentence, i, text, pos and lemma of the tokens of each distinct sentence."""
+def tokens(sentences: DataFrame, tagger: providers.Provider, kept: Callable[[DataFrame], DataFrame] = lambda told: told) -> DataFrame:
+    """sentence and tokens (text, pos, lemma, in order) of each distinct sentence. ``kept`` says what of them is kept: it
+    maps answers row by row where they come, so that nothing more of them is dealt by sentence."""
     asked = sentences.select("sentence").filter("sentence <> ''").distinct()
-    told = providers.bound(tagger, providers.CONTRACTS["tagger"])(asked).dropDuplicates(["sentence"])
-    return told.select("sentence", F.posexplode("tokens").alias("i", "t")).select("sentence", "i", "t.text", "t.pos", "t.lemma")
+    return kept(providers.bound(tagger, providers.CONTRACTS["tagger"])(asked).select("sentence", "tokens")).dropDuplicates(["sentence"])
+
+
+def _is(i: Column, pos: tuple[str, ...]) -> Column:
+    """If the token at a place is one of these; none is outside of the sentence."""
+    return F.coalesce(F.get("tokens", i)["pos"].isin(*pos), F.lit(False))
+
+
+def _runs(begins: Callable[[Column], Column], ends: Callable[[Column], Column]) -> Column:
+    """The runs of a row's tokens between the places where one begins and the next place where one ends: first and p."""
+    places = F.transform("tokens", lambda t, i: i)
+    run = lambda a, b: F.struct(a.alias("first"), F.slice("tokens", a + 1, b - a + 1).alias("p"))
+    return F.zip_with(F.filter(places, begins), F.filter(places, ends), run)
+
+
+def _words(p: Column) -> Column:
+    return F.transform(p, lambda t: t["text"])
+
+
+def phrases(nouns: tuple[str, ...] = NOUNS) -> Column:
+    """first (place), phrase, lemma (the last word as its lemma) and words of a row's runs of nouns; null without tokens."""
+    noun = lambda i: _is(i, nouns)
+    lemma = lambda p: F.concat(F.slice(_words(p), F.lit(1), F.size(p) - 1), F.array(F.element_at(p, -1)["lemma"]))
+    build = lambda r: F.struct(
+        r["first"].alias("first"), F.array_join(_words(r["p"]), " ").alias("phrase"), F.array_join(lemma(r["p"]), " ").alias("lemma"), F.size(r["p"]).alias("words"),
+    )
+    return F.transform(_runs(lambda i: noun(i) & ~noun(i - 1), lambda i: noun(i) & ~noun(i + 1)), build)
 
 
-def _islands(rows: DataFrame) -> DataFrame:
-    """The rows with ``island``: equal for neighbours of a sentence, by the gaps between their places."""
-    order = W.partitionBy("sentence").orderBy("i")  # a sentence's tokens
-    return rows.withColumn("island", F.col("i") - F.row_number().over(order))
+def lemmas(nouns: tuple[str, ...] = NOUNS) -> Column:
+    """i and lemma of a row's nouns; null without tokens."""
+    placed = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t["lemma"].alias("lemma"), t["pos"].isin(*nouns).alias("noun")))
+    return F.transform(F.filter(placed, lambda t: t["noun"]), lambda t: F.struct(t["i"].alias("i"), t["lemma"].alias("lemma")))
 
 
 def noun_phrases(tagged: DataFrame, nouns: tuple[str, ...] = NOUNS) -> DataFrame:
     """sentence, first (place), phrase, lemma (the last word as its lemma) and words: runs of nouns."""
-    rows = _islands(tagged.filter(F.col("pos").isin(*nouns)))
-    parts = F.array_sort(F.collect_list(F.struct("i", "text", "lemma")))
-    runs = rows.groupBy("sentence", "island").agg(parts.alias("p"))
-    text = F.transform("p", lambda x: x["text"])
-    lemma = F.concat(F.slice(text, F.lit(1), F.size("p") - 1), F.array(F.element_at("p", -1)["lemma"]))
-    return runs.select("sentence", F.get("p", F.lit(0))["i"].alias("first"), F.array_join(text, " ").alias("phrase"), F.array_join(lemma, " ").alias("lemma"), F.size("p").alias("words"))
+    return tagged.select("sentence", F.inline(phrases(nouns)))
 
 
 def noun_chunks(tagged: DataFrame, nouns: tuple[str, ...] = NOUNS) -> DataFrame:
     """sentence, first and chunk: a run of nouns with what may stand before it, in lower case, without a leading "the"."""
-    rows = _islands(tagged.filter(F.col("pos").isin(*nouns, *BEFORE))).withColumn("noun", F.col("pos").isin(*nouns))
-    order = W.partitionBy("sentence", "island").orderBy("i")
+    noun, part = lambda i: _is(i, nouns), lambda i: _is(i, (*nouns, *BEFORE))
     # Something that stands before nouns begins a chunk, if a noun is before it.
-    begins = (~F.col("noun") & F.coalesce(F.lag("noun").over(order), F.lit(False))).cast("int")
-    rows = rows.withColumn("_b", begins).withColumn("chunk", F.sum("_b").over(order))
-    parts = F.array_sort(F.collect_list(F.struct("i", "text")))
-    runs = rows.groupBy("sentence", "island", "chunk").agg(parts.alias("p"), F.bool_or("noun").alias("noun")).filter("noun")
-    text = F.lower(F.array_join(F.transform("p", lambda x: x["text"]), " "))
-    return runs.select("sentence", F.get("p", F.lit(0))["i"].alias("first"), F.regexp_replace(text, "^the ", "").alias("chunk"))
+    parted = lambda i: noun(i) & ~noun(i + 1)
+    runs = _runs(lambda i: part(i) & (~part(i - 1) | parted(i - 1)), lambda i: part(i) & (~part(i + 1) | parted(i)))
+    with_noun = F.filter(runs, lambda r: F.exists(r["p"], lambda t: F.coalesce(t["pos"].isin(*nouns), F.lit(False))))
+    text = lambda r: F.regexp_replace(F.lower(F.array_join(_words(r["p"]), " ")), "^the ", "")
+    return tagged.select("sentence", F.inline(F.transform(with_noun, lambda r: F.struct(r["first"].alias("first"), text(r).alias("chunk")))))
 
 
 def noun_lemmas(tagged: DataFrame, nouns: tuple[str, ...] = NOUNS) -> DataFrame:
     """sentence, i and lemma of every noun."""
-    return tagged.filter(F.col("pos").isin(*nouns)).select("sentence", "i", "lemma")
+    return tagged.select("sentence", F.inline(lemmas(nouns)))
 
 
 def concrete(words: DataFrame, senses: DataFrame, abstract: tuple[str, ...] = ABSTRACT) -> DataFrame:

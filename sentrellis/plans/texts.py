@@ -338,8 +338,13 @@ def txt15_17_tagged_nouns(spark: SparkSession, d: str) -> DataFrame:
         return [{"sentence": r["sentence"], "tokens": [{"text": w, "pos": "NOUN" if len(w) > 6 else "ADJ", "lemma": w[:6]} for w in words(r["sentence"])]} for r in asked]
 
     said = docs(spark, d).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("sentence"))
-    tagged = nouns.tokens(said, providers.batched(tag, providers.CONTRACTS["tagger"].answers))
-    phrases = nouns.noun_phrases(tagged).groupBy("sentence").agg(F.count("*").alias("phrases"), F.sum("words").alias("nouns"), F.max("words").alias("longest"))
-    lemmas = nouns.noun_lemmas(tagged).groupBy("sentence").agg(F.min("lemma").alias("lemma"))
-    per = said.join(phrases.join(lemmas, "sentence"), "sentence").groupBy("doc_id")
+
+    def measured(told: DataFrame) -> DataFrame:
+        rows = told.select("sentence", nouns.phrases().alias("p"), nouns.lemmas().alias("l"))
+        words = F.transform("p", lambda p: p["words"])
+        total = F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + w)
+        return rows.select("sentence", F.size("p").alias("phrases"), total.alias("nouns"), F.array_max(words).alias("longest"), F.array_min(F.transform("l", lambda x: x["lemma"])).alias("lemma"))
+
+    tagged = nouns.tokens(said, providers.batched(tag, providers.CONTRACTS["tagger"].answers), measured)
+    per = said.join(tagged.filter("phrases > 0"), "sentence").groupBy("doc_id")
     return per.agg(F.sum("phrases").alias("phrases"), F.sum("nouns").alias("nouns"), F.max("longest").cast("int").alias("longest"), F.min("lemma").alias("lemma"))
