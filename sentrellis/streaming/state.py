@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import Any, NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,37 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
+#: Images whose rows are made at a time.
+PART = 512
+
+
+class Step(NamedTuple):
+    """A step of an image: candidates in parallel lists, and the labels that each detector found so far."""
+
+    step: int
+    cand_idx: list[int]
+    sentences: list[str]
+    reps: list[list[str]]
+    closed: list[str]
+    open: list[str]
+
+
+_STRINGS = pa.list_(pa.string())
+#: The columns of ``ContextState.OUTPUT``.
+ARROW = pa.schema([
+    ("image_id", pa.string()), ("step", pa.int32()), ("cand_idx", pa.int32()), ("sentence", pa.string()), ("context", pa.string()), ("context_objects", _STRINGS), ("win", pa.list_(pa.int32())),
+    ("lose", pa.list_(pa.int32())), ("nonhallu_objects", _STRINGS), ("hallu_objects", _STRINGS), ("uncertain_objects", _STRINGS), ("ended", pa.bool_()),
+])
+
+
+def _listed(values: pa.Array) -> list:
+    """What ``to_pylist`` gives, whole levels at a time."""
+    if not pa.types.is_list(values.type):
+        return values.to_numpy(zero_copy_only=False).tolist() if not values.null_count else values.to_pylist()
+    inner = iter(_listed(values.flatten()))
+    return [None if n is None else list(islice(inner, n)) for n in values.value_lengths().to_pylist()]
+
+
 class ContextState(StatefulProcessor):
     """Keeps an image's context and the verdicts of its objects over its steps, and chooses and pairs candidates as
     ``pairs.fold_steps`` does.
@@ -38,10 +71,30 @@ class ContextState(StatefulProcessor):
         self.state = handle.getValueState("image", "said array<string>, context array<string>, real array<string>, hallu array<string>, unsure array<string>, done boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        *lists, done = self.state.get() if self.state.exists() else ([], [], [], [], [], False)
+        held = self.state.get() if self.state.exists() else None
+        out, held = self._advance(key[0], pd.concat(list(rows)).sort_values("step").itertuples(), held)
+        self.state.update(held)
+        names = [field.split()[0] for field in self.OUTPUT.split(", ")]
+        yield pd.DataFrame(out, columns=names).astype({"step": "Int32", "cand_idx": "Int32"})
+
+    def over_images(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All steps of images (image_id, steps in order), which need no state between batches."""
+        for batch in batches:
+            for k in range(0, len(batch), PART):
+                part = batch.slice(k, PART)
+                sizes, flat = part["steps"].value_lengths().to_pylist(), part["steps"].flatten()
+                steps = map(Step, *(_listed(flat.field(c)) for c in Step._fields))
+                out = [row for image, n in zip(part["image_id"].to_pylist(), sizes, strict=True) for row in self._advance(image, list(islice(steps, n)))[0]]
+                if out:
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types, strict=True)], schema=ARROW)
+
+    def _advance(self, image: str, steps: Iterable[Any], held: tuple | None = None) -> tuple[list[tuple], tuple]:
+        """A row for each step of an image until its last, and what is then held of it."""
+        *lists, done = held or ([], [], [], [], [], False)
         said, context, (real, hallu, unsure) = list(lists[0]), set(lists[1]), map(set, lists[2:])
         out = []
-        for row in pd.concat(list(rows)).sort_values("step").itertuples():
+        for row in steps:
             if done:
                 break
             cands = self._candidates(row)
@@ -52,13 +105,11 @@ class ContextState(StatefulProcessor):
             before, objects = " ".join(said), sorted(context)
             index, sentence, win, lose = None, None, [], []
             if cands:
-                index, sentence, reps, win, lose = self._choose(key[0], row.step, cands, context, hallu, unsure)
+                index, sentence, reps, win, lose = self._choose(image, row.step, cands, context, hallu, unsure)
                 said.append(sentence)
                 context |= real & reps
-            out.append((key[0], row.step, index, sentence, before, objects, win, lose, sorted(real), sorted(hallu), sorted(unsure), done))
-        self.state.update(([], [], [], [], [], True) if done else (said, sorted(context), sorted(real), sorted(hallu), sorted(unsure), False))
-        names = [field.split()[0] for field in self.OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({"step": "Int32", "cand_idx": "Int32"})
+            out.append((image, row.step, index, sentence, before, objects, win, lose, sorted(real), sorted(hallu), sorted(unsure), done))
+        return out, ([], [], [], [], [], True) if done else (said, sorted(context), sorted(real), sorted(hallu), sorted(unsure), False)
 
     @staticmethod
     def _candidates(row: Any) -> list[tuple[int, str, set[str]]]:
@@ -83,9 +134,15 @@ class ContextState(StatefulProcessor):
 
 
 def context_stream(steps: DataFrame, vocabulary: list[str], seed: str = "s", stop_share: float = 0.5) -> DataFrame:
-    """One row for each step of (image_id, step, cand_idx, sentences, reps, closed, open) as it comes, on a stream or a table."""
-    _ = steps.sparkSession.streams.active  # starts what keeps track of state stores, which a table needs too
-    return steps.groupBy("image_id").transformWithStateInPandas(ContextState(vocabulary, seed, stop_share), ContextState.OUTPUT, "Append", "None")
+    """One row for each step of (image_id, step, cand_idx, sentences, reps, closed, open) as it comes, on a stream or a table.
+
+    A table has all steps of an image at once, so they are gathered and the same processor goes over them from first to
+    last; a state store, which is asked over a socket for each image, is for what comes in several batches."""
+    processor = ContextState(vocabulary, seed, stop_share)
+    if steps.isStreaming:
+        return steps.groupBy("image_id").transformWithStateInPandas(processor, ContextState.OUTPUT, "Append", "None")
+    gathered = steps.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*Step._fields))).alias("steps"))
+    return gathered.mapInArrow(processor.over_images, ContextState.OUTPUT)
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str, key: list[str], name: str = "out"):

@@ -129,6 +129,21 @@ def test_context_over_a_stream(spark, tmp_path):
     assert got["j", 2]["cand_idx"] == 5 and not got["j", 2]["ended"]
 
 
+def test_context_over_a_table(spark):
+    """A table's steps, in any order, give what the processor with a state store gives, and ask no state store."""
+    words = ["dog", "cat", "bus", "tree", ""]
+    cands = lambda i, k: [((c + i) % 3 * 7, words[(i * k + c * c) % 5], [w for w in words[:4] if w == words[(i * k + c * c) % 5]]) for c in range((i + k) % 4)]
+    steps = [(i, k, cands(i, k)) for i in range(40) for k in range(5)]
+    rows = [(str(i), k, [c[0] for c in x], [c[1] for c in x], [c[2] for c in x], words[: (i + k) % 3], words[: i % 4]) for i, k, x in steps] + [(None, 1, [3], [None], [["dog"]], [], ["dog"])]
+    table = spark.createDataFrame(rows[::2] + rows[1::2], STEP).repartition(3)
+    got = state.context_stream(table, ["dog", "cat"])
+    assert "TransformWithState" not in got._jdf.queryExecution().executedPlan().toString()
+    with_store = table.groupBy("image_id").transformWithStateInPandas(state.ContextState(["dog", "cat"]), state.ContextState.OUTPUT, "Append", "None")
+    _ = spark.streams.active  # starts what keeps track of state stores
+    said = sorted(map(repr, got.collect()))
+    assert said == sorted(map(repr, with_store.collect())) and 100 < len(said) < len(rows)
+
+
 def test_append_once(spark, tmp_path, monkeypatch):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([("i", 1), ("i", 1), ("j", 2)], "image_id string, step int")
