@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,9 +64,10 @@ def _check_words(answers: DataFrame, words: str, associations: DataFrame) -> Dat
     return near.select("id", "idx", place(0, F.col("k")), "word").unionAll(own.select("id", "idx", place(1, F.lit(0)), "word"))
 
 
-def amber_generative(answers: DataFrame, associations: DataFrame, safe_words: DataFrame, similar: DataFrame) -> DataFrame:
+def amber_generative(answers: DataFrame, associations: DataFrame, safe_words: DataFrame, similar: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """CHAIR, Cover, Hal and Cog in percent, from answers (id, nouns, truth, hallu), associations (word, associated), words that are always
-    safe (word), and similar words (noun, word), found once for all words by ``similarity.similar_pairs``.
+    safe (word), and similar words (noun, word), or what leaves those rows whose noun and word are similar: of many words few
+    pairs meet in an answer, and ``similarity.similar_among`` compares no others.
 
     Only nouns that some association knows are counted. A noun that is one of the safe words of its answer covers that
     word's truth. Any other covers what it is and what it is similar to among the answer's misleading words (both, if
@@ -79,7 +81,8 @@ def amber_generative(answers: DataFrame, associations: DataFrame, safe_words: Da
     words = [_check_words(answers, kind, associations).withColumn("kind", F.lit(kind)) for kind in ("truth", "hallu")]
     beside = asked.join(words[0].unionAll(words[1]), "id")
     same = beside.filter(F.col("noun") == F.col("word")).withColumn("how", F.concat("kind", F.lit("_same")))
-    like = beside.join(similar.select("noun", "word"), ["noun", "word"], "left_semi").withColumn("how", F.concat("kind", F.lit("_like")))
+    alike = similar(beside) if callable(similar) else beside.join(similar.select("noun", "word"), ["noun", "word"], "left_semi")
+    like = alike.withColumn("how", F.concat("kind", F.lit("_like")))
     first = same.unionByName(like)
     pick = lambda how: F.min_by(F.when(F.col("how") == how, F.col("idx")), F.when(F.col("how") == how, F.col("place"))).alias(how)
     hits = first.groupBy("id", "noun").agg(*(pick(f"{k}_{h}") for k in ("truth", "hallu") for h in ("same", "like")))

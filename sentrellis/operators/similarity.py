@@ -20,12 +20,17 @@ import pyarrow.compute as pc
 from pyspark.accumulators import Accumulator, AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Vectors of a cell on average, and of a block of either side at most on average; pivots at most.
 CELL_ROWS, BLOCK_ROWS, PIVOTS = 4096, 8192, 1024
 #: Rows of the left that are compared at a time; share of pairs from which products are taken for all of them.
 PART, DENSE = 512, 0.05
 _SLACK = 1e-9
+#: Rows that a batch of vectors dealt to cells holds at most: a vector can go to all of them.
+DEALT = 16384
+#: Vectors of a block of ids at most on average, where pairs are given; pairs whose vectors are taken at a time.
+AMONG_ROWS, AMONG_PAIRS = 65536, 8192
 #: First rows of the right that each row is held against before all pairs are thought of, in rounds; sent to all tasks.
 FIRST_ROWS = (4096, 16384)
 
@@ -69,13 +74,15 @@ def _cells(rows: DataFrame, pivots: np.ndarray, reach: float | None, radius: np.
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, radius = sent.value
-        for batch in batches:
+        for batch in (b.slice(k, PART) for b in batches for k in range(0, len(b), PART)):
             angle = np.arccos(np.clip(_unit(_matrix(batch["v"], pivots.shape[1])) @ pivots.T, -1, 1))
             if reach is None:
-                row, cell = np.arange(len(batch)), angle.argmin(axis=1)
+                rows, cells = np.arange(len(batch)), angle.argmin(axis=1)
             else:
-                row, cell = np.nonzero((angle <= radius + reach + _SLACK) & (angle <= angle.min(axis=1, keepdims=True) + 2 * reach + _SLACK))
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(row)) for c in ("id", "v")), pa.array(cell.astype(np.int32)), pa.array(angle[row, cell])], ["id", "v", "cell", "angle"])
+                rows, cells = np.nonzero((angle <= radius + reach + _SLACK) & (angle <= angle.min(axis=1, keepdims=True) + 2 * reach + _SLACK))
+            for k in range(0, len(rows), DEALT):
+                row, cell = rows[k : k + DEALT], cells[k : k + DEALT]
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(row)) for c in ("id", "v")), pa.array(cell.astype(np.int32)), pa.array(angle[row, cell])], ["id", "v", "cell", "angle"])
 
     kind = dict(rows.dtypes)["id"]
     return rows.mapInArrow(deal, f"id {kind}, v array<double>, cell int, angle double")
@@ -164,6 +171,74 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, key: str = "i
     return dealt.mapInArrow(meet, f"l_id {kind[0]}, r_id {kind[1]}, cosine double")
 
 
+def _by_id(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, where the vectors of each begin and how many there are, and all vectors by id."""
+    ids = pa.concat_arrays([i for i, _ in held]).dictionary_encode()
+    code = ids.indices.to_numpy()
+    n = np.bincount(code, minlength=len(ids.dictionary))
+    return ids.dictionary, np.cumsum(n) - n, n, np.concatenate([v for _, v in held])[np.argsort(code, kind="stable")]
+
+
+def _alike(left: tuple, right: tuple, l_ids: pa.Array, r_ids: pa.Array, least: float) -> np.ndarray:
+    """Which pairs of ids have vectors (``_by_id``) with a product above ``least``."""
+    (l_names, l_start, l_n, l_v), (r_names, r_start, r_n, r_v) = left, right
+    i, j = (pc.fill_null(pc.index_in(ids, names, skip_nulls=True), -1).to_numpy() for ids, names in ((l_ids, l_names), (r_ids, r_names)))
+    n = np.where((i >= 0) & (j >= 0), l_n[i] * r_n[j], 0)  # an id can have several vectors
+    ends, found = np.cumsum(n), np.zeros(len(n), bool)
+    for k in range(0, int(ends[-1]), AMONG_PAIRS):
+        nth = np.arange(k, min(k + AMONG_PAIRS, int(ends[-1])))
+        row = np.searchsorted(ends, nth, side="right")
+        a, b = np.divmod(nth - ends[row] + n[row], r_n[j[row]])
+        near = np.einsum("nd,nd->n", l_v[l_start[i[row]] + a], r_v[r_start[j[row]] + b]) > least
+        found[row[near]] = True
+    return found
+
+
+def similar_among(asked: DataFrame, rows: DataFrame, least: float, pair: tuple[str, str], key: str = "id", vector: str = "vector") -> DataFrame:
+    """The rows of ``asked`` whose two ids, columns ``pair``, have vectors in ``rows`` with a cosine above ``least``: what a
+    semi-join with ``similar_pairs`` leaves, without the pairs that nobody asks for.
+
+    Ids are dealt to blocks by hash. A row goes to the task of its two blocks, and the vectors of either block to all
+    tasks of it; a task holds two blocks and lets its rows pass."""
+    spark = asked.sparkSession
+    vectors = _usable(rows, key, vector).filter("id is not null")
+    n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return asked.limit(0)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(-(-n // AMONG_ROWS), int(np.ceil(np.sqrt(tasks))))
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    place = lambda side, i, j: ((i.cast("long") * blocks + j) * 3 + side).alias("code")  # noqa: E731  # one number, which sorts without comparing rows
+    other, none = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.lit(None).cast(asked.schema).alias("row")
+    spread = vectors.select("id", "v", own("id").alias("own"), other.alias("other"))
+    lefts = spread.select(place(0, F.col("own"), F.col("other")), "id", "v", none)
+    rights = spread.select(place(1, F.col("other"), F.col("own")), "id", "v", none)
+    kinds = dict(vectors.dtypes)
+    pairs = asked.select(place(2, *map(own, pair)), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("id", "v")), F.struct("*").alias("row"))
+    dealt = lefts.unionAll(rights).unionAll(pairs).repartition(max(tasks, blocks**2), F.floor(F.col("code") / 3)).sortWithinPartitions("code")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, known = None, ([], []), None
+        for batch in batches:
+            codes = batch["code"].to_numpy()
+            new = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1))
+            for lo, hi in zip(new, np.append(new[1:], len(batch)), strict=True):
+                where, side = divmod(codes[lo], 3)
+                part = batch.slice(lo, hi - lo)
+                if where != now:
+                    now, held, known = where, ([], []), None
+                if side < 2:
+                    held[side].append((part["id"], _unit(_matrix(part["v"], width))))
+                    continue
+                if known is None:
+                    known, held = [_by_id(h) for h in held] if all(held) else [], ([], [])
+                if known:
+                    found = _alike(*known, *(pc.struct_field(part["row"], c) for c in pair), least)
+                    yield pa.RecordBatch.from_arrays([part["row"].filter(pa.array(found))], ["row"])
+
+    return dealt.mapInArrow(meet, StructType([StructField("row", asked.schema)])).select("row.*")
+
+
 def _held_against(rows: DataFrame, block: pa.Table, group: list[str], order: str, least: float) -> DataFrame:
     """``rows`` (group, order, v, match) where a row without a match gets the first of ``block``, which is in order."""
     names = [tuple(r.values()) for r in block.select(group).to_pylist()]

@@ -3,9 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sentrellis.operators import metrics, similarity
+from sentrellis.plans import registry
 
 
 def pairs(a, b, least):
@@ -107,3 +109,48 @@ def test_amber_joins_answers_first(spark):
     similar = spark.range(1000).selectExpr("concat('n', id % 7) AS noun", "concat('w', id) AS word")
     said = metrics.amber_generative(answers, associations, spark.createDataFrame([], "word string"), similar)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join LeftSemi, \(\(noun#\d+ = noun#\d+\) AND \(word#\d+ = word#\d+\)\)", said)
+
+
+@pytest.mark.parametrize("block,at_once", [(65536, 8192), (20, 7)])
+def test_among_given_pairs(spark, monkeypatch, block, at_once):
+    """What a semi-join with all pairs leaves: asked twice or never, unknown and null ids, ids of several vectors or none."""
+    monkeypatch.setattr(similarity, "AMONG_ROWS", block)
+    monkeypatch.setattr(similarity, "AMONG_PAIRS", at_once)
+    rng = np.random.default_rng(3)
+    rows = [(f"w{i % 70}", rng.normal(size=6).tolist()) for i in range(90)] + [("w80", None), ("w81", [0.0] * 6), ("w82", [float("nan")] * 6), (None, [1.0] * 6), ("w83", [1.0, 2.0])]
+    ids = [*(f"w{i}" for i in range(75)), "w80", "w81", "w82", "w83", "x", None]
+    asked = [(k, a, b, {"k": k}) for k, (a, b) in enumerate((a, b) for a in ids for b in ids if a != "w9" and (a is None or a != b or a == "w3"))] + [(-1, "w3", "w3", {"k": 1})] * 2
+    words, table = spark.createDataFrame(rows, "id string, vector array<double>").repartition(3), spark.createDataFrame(asked, "k int, noun string, word string, more struct<k: int>").repartition(2)
+    near = pairs(rows, rows, 0.3)
+    want = [(k, a, b) for k, a, b, _ in asked if a and b and (a, b) in near]
+    got = similarity.similar_among(table, words, 0.3, ("noun", "word"))
+    assert got.schema == table.schema
+    said = got.collect()
+    assert sorted((r["k"], r["noun"], r["word"]) for r in said) == sorted(want) and len(want) > 500 and all(r["more"]["k"] == abs(r["k"]) for r in said)
+    assert similarity.similar_among(table, words.limit(0), 0.3, ("noun", "word")).collect() == [] and similarity.similar_among(table.limit(0), words, 0.3, ("noun", "word")).collect() == []
+    held = [(pa.array([i for i, _ in rows[:90]]), similarity._unit(np.array([v for _, v in rows[:90]])))]
+    sides = [pa.array([x[k] for x in asked]) for k in (1, 2)]
+    known = similarity._by_id(held)
+    first = {(i, j) for i, j in pairs(rows[:90], rows[:90], 0.3)}
+    assert similarity._alike(known, known, *sides, 0.3).tolist() == [(a, b) in first for _, a, b, _ in asked]
+
+
+def test_dealt_batches_are_small(spark, monkeypatch):
+    """A batch does not grow with the number of cells that its vectors go to."""
+    monkeypatch.setattr(similarity, "DEALT", 1000)
+    rng = np.random.default_rng(5)
+    pivots, vectors = similarity._unit(rng.normal(size=(50, 8))), rng.normal(size=(1300, 8))
+
+    class Rows:
+        sparkSession, dtypes, mapInArrow = spark, [("id", "bigint")], staticmethod(lambda deal, kind: deal)  # noqa: N815
+
+    deal = similarity._cells(Rows, pivots, 3.0, np.full(50, 3.0))
+    batches = list(deal(iter([pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(vectors.tolist())], ["id", "v"])])))
+    assert max(map(len, batches)) == 1000 and sum(map(len, batches)) == 1300 * 50
+    assert len({(i, c) for b in batches for i, c in zip(b["id"].to_pylist(), b["cell"].to_pylist(), strict=True)}) == 1300 * 50
+
+
+def test_amber_compares_what_answers_ask(spark, monkeypatch):
+    """The query makes no pairs of all words."""
+    monkeypatch.setattr(similarity, "similar_pairs", None)
+    assert registry.queries()["agg11_amber_generative"](spark, "/root/testdata/sf0.001").count() == 1
