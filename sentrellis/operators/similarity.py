@@ -214,7 +214,7 @@ def similar_among(asked: DataFrame, rows: DataFrame, least: float, pair: tuple[s
     lefts = spread.select(place(0, F.col("own"), F.col("other")), "id", "v", none)
     rights = spread.select(place(1, F.col("other"), F.col("own")), "id", "v", none)
     kinds = dict(vectors.dtypes)
-    pairs = asked.select(place(2, *map(own, pair)), *(F.lit(None).cast(kinds[c]).alias(c) for c in ("id", "v")), F.struct("*").alias("row"))
+    pairs = asked.select(place(2, *map(own, pair)), F.lit(None).cast(kinds["id"]).alias("id"), F.array().cast(kinds["v"]).alias("v"), F.struct("*").alias("row"))  # null lists are counted anew for each row of a batch
     dealt = lefts.unionAll(rights).unionAll(pairs).repartition(max(tasks, blocks**2), F.floor(F.col("code") / 3)).sortWithinPartitions("code")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
